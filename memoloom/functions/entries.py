@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from memoloom.functions import jsons
 from memoloom.functions.scopes import column_or, user_scope
-from memoloom.functions.text import col, strip, unfence
+from memoloom.functions.columns import col
+from memoloom.functions.text import strip, unfence
 from memoloom.schemas import DEFAULT_CATEGORY, GLOBAL_SCOPE, IMPORTANCE_EXTRACTED
 
 ENTRY_TYPE = "struct<text:string,category:string,scope:string,importance:double,metadata:string>"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from memoloom.functions.text import col
+from memoloom.functions.columns import col
 
 VARIANT_MAP = "map<string,variant>"
 

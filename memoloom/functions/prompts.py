@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from memoloom.functions.text import col
+from memoloom.functions.columns import col
 
 # Instructions for the three model uses, worded for this library. Callers may pass their own.
 EXTRACTION_INSTRUCTIONS = (

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memoloom.functions.text import col, strip
+from memoloom.functions.columns import col
+from memoloom.functions.text import strip
 
 _PART = r"^\d+(\s*-\s*\d+)?$"
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from memoloom.functions import jsons
-from memoloom.functions.text import col, strip, unfence
+from memoloom.functions.columns import col, let
+from memoloom.functions.text import strip, unfence
 
 # Labels and the reasoning given for unusable replies.
 CORRECT = "CORRECT"
@@ -31,21 +32,22 @@ def parse_verdict(reply: Column | str) -> Column:
     label itself stays as written.
     """
     reply = col(reply)
-    v = jsons.parse(unfence(reply))
-    label = jsons.field(v, "label")
-    known = F.upper(strip(label))
-    own = F.when(
-        ~F.coalesce(jsons.kind(jsons.field(v, "score", "variant")), F.lit("")).isin("STRING", "BOOLEAN"),
-        jsons.field(v, "score", "double"),
-    )
-    score = F.when(known == CORRECT, F.lit(1.0)).when(known == WRONG, F.lit(0.0)).otherwise(own)
-    return (
-        F.when(v.isNull(), verdict(F.lit(ERROR), F.concat(F.lit(UNDECODABLE), reply), F.lit(0.0)))
-        .when(
-            ~jsons.is_object(v), verdict(F.lit(WRONG), F.concat(F.lit(NOT_AN_OBJECT), reply), F.lit(0.0))
+
+    def judge(v: Column) -> Column:
+        label = jsons.field(v, "label")
+        known = F.upper(strip(label))
+        kind = F.coalesce(jsons.kind(jsons.field(v, "score", "variant")), F.lit(""))
+        own = F.when(~kind.isin("STRING", "BOOLEAN"), jsons.field(v, "score", "double"))
+        score = F.when(known == CORRECT, F.lit(1.0)).when(known == WRONG, F.lit(0.0)).otherwise(own)
+        undecodable = verdict(F.lit(ERROR), F.concat(F.lit(UNDECODABLE), reply), F.lit(0.0))
+        no_object = verdict(F.lit(WRONG), F.concat(F.lit(NOT_AN_OBJECT), reply), F.lit(0.0))
+        return (
+            F.when(v.isNull(), undecodable)
+            .when(~jsons.is_object(v), no_object)
+            .otherwise(verdict(label, jsons.field(v, "reasoning"), score))
         )
-        .otherwise(verdict(label, jsons.field(v, "reasoning"), score))
-    )
+
+    return let(jsons.parse(unfence(reply)), judge)
 
 
 def response_text(response: Column | str) -> Column:
@@ -54,21 +56,20 @@ def response_text(response: Column | str) -> Column:
     The first `output_text` part of a message wins, then the first text found in output order, then the raw JSON.
     """
     raw = col(response)
-    output = F.from_json(raw, _RESPONSE)["output"]
-    messages = F.filter(output, lambda item: item["type"] == "message")
-    parts = F.flatten(F.transform(messages, lambda item: F.coalesce(item["content"], F.array())))
-    answers = F.filter(parts, lambda part: part["type"] == "output_text")
-    texts = F.flatten(
-        F.transform(
-            output,
-            lambda item: F.when(item["text"].isNotNull(), F.array(item["text"])).otherwise(
-                F.filter(F.coalesce(item["content"]["text"], F.array().cast("array<string>")), lambda t: t.isNotNull())
-            ),
+
+    def find(output: Column) -> Column:
+        messages = F.filter(output, lambda item: item["type"] == "message")
+        parts = F.flatten(F.transform(messages, lambda item: F.coalesce(item["content"], F.array())))
+        answer = F.try_element_at(F.filter(parts, lambda part: part["type"] == "output_text"), F.lit(1))
+        texts = F.flatten(F.transform(output, _texts))
+        return F.coalesce(
+            F.when(answer.isNotNull(), F.coalesce(answer["text"], F.lit(""))), F.try_element_at(texts, F.lit(1)), raw
         )
-    )
-    first_answer = F.try_element_at(answers, F.lit(1))
-    return F.coalesce(
-        F.when(first_answer.isNotNull(), F.coalesce(first_answer["text"], F.lit(""))),
-        F.try_element_at(texts, F.lit(1)),
-        raw,
-    )
+
+    return let(F.from_json(raw, _RESPONSE)["output"], find)
+
+
+def _texts(item: Column) -> Column:
+    """An item's own text, or else the texts of its parts."""
+    parts = F.coalesce(item["content"]["text"], F.array().cast("array<string>"))
+    return F.when(item["text"].isNotNull(), F.array(item["text"])).otherwise(F.filter(parts, lambda t: t.isNotNull()))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memoloom.functions.columns import col, let
+
 # The characters Python's str.strip() removes.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
@@ -17,10 +19,6 @@ LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 FENCE = "```"
 
 
-def col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 def strip(c: Column | str) -> Column:
     return F.btrim(col(c), F.lit(WHITESPACE))
 
@@ -51,7 +49,12 @@ def explode_lines(df: DataFrame, text: str = "text", out: str = "line") -> DataF
 
 def unfence(c: Column | str) -> Column:
     """Stripped text without a surrounding code fence; a fence needs three lines or more to be removed."""
-    body = strip(c)
-    lines = split_lines(body)
-    inner = strip(F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 2, F.lit(0))), "\n"))
-    return F.when(body.startswith(FENCE) & (F.size(lines) >= 3), inner).otherwise(body)
+
+    def inner(lines: Column) -> Column:
+        return strip(F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 2, F.lit(0))), "\n"))
+
+    def opened(body: Column) -> Column:
+        unwrapped = let(split_lines(body), lambda lines: F.when(F.size(lines) >= 3, inner(lines)).otherwise(body))
+        return F.when(body.startswith(FENCE), unwrapped).otherwise(body)
+
+    return let(strip(c), opened)

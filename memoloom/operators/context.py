@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memoloom.functions.scopes import column_or
-from memoloom.functions.text import col
+from memoloom.functions.columns import col
 from memoloom.schemas import DEFAULT_CATEGORY, GLOBAL_SCOPE
 
 # Line formats and their fillers.

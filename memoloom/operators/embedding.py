@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memoloom.functions.text import col
+from memoloom.functions.columns import col
 from memoloom.functions.vectors import hash_vector, l2_normalize
 
 VECTOR = T.ArrayType(T.FloatType())

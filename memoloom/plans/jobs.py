@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memoloom import schemas as S
-from memoloom.functions.entries import content_id, materialize, normalize_entries
+from memoloom.functions.entries import materialize, normalize_entries
 from memoloom.functions.text import is_blank, strip
 from memoloom.operators import grading, inference
 from memoloom.operators.context import attach_context
@@ -36,20 +36,15 @@ def import_payloads(
         raise ValueError(f"unsupported input format: {input_format}")
 
     def chosen(df: DataFrame, fmt: str) -> DataFrame:
-        if input_format != "auto":
-            return df
-        return df.where(parsers.file_format("_metadata.file_path", wording) == fmt)
-
-    found = files.existing(spark, paths)
-    binary = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(found)
-    text = spark.read.option("recursiveFileLookup", True).text(found)
+        return df.where(parsers.file_format("file", wording) == fmt) if input_format == "auto" else df
 
     def whole(fmt: str) -> DataFrame:
-        return chosen(binary, fmt).select("path", files.decoded("content").alias("text"))
+        found = chosen(files.scan_files(spark, paths), fmt)
+        return found.select(F.col("file").alias("path"), files.decoded("content").alias("text"))
 
     def lines() -> DataFrame:
-        rows = chosen(text, "jsonl")
-        return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
+        found = chosen(files.scan_lines(spark, paths), "jsonl")
+        return found.select(F.col("file").alias("path"), F.col("value").alias("line"))
 
     branches = {
         "markdown": lambda: parsers.parse_markdown(whole("markdown")),
@@ -114,11 +109,13 @@ def run_search(
 
 
 def with_query_id(questions: DataFrame, name: str = "query_id") -> DataFrame:
-    """Questions with a key made from their content, for inputs that bring none. Equal rows are asked once."""
+    """Questions with a key of their own, for inputs that bring none.
+
+    Row numbers may differ when a lost partition is computed again, so they are written down once.
+    """
     if name in questions.columns:
         return questions
-    keyed = questions.withColumn(name, content_id(*[F.to_json(F.struct(*questions.columns))]))
-    return keyed.dropDuplicates([name])
+    return materialized(questions.withColumn(name, F.monotonically_increasing_id()), "questions")
 
 
 def run_eval(

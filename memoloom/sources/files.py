@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from memoloom.functions.text import clean_text, explode_lines, strip, universal_newlines
 
@@ -14,25 +15,44 @@ _SUFFIX = r"(?i)\.(txt|md|markdown|jsonl)$"
 
 
 def existing(spark: SparkSession, paths: list[str]) -> list[str]:
-    """The paths that can be read; others are reported and left out."""
+    """The paths there are; others are reported and left out."""
+    context = spark.sparkContext
+    hadoop_path, conf = context._jvm.org.apache.hadoop.fs.Path, context._jsc.hadoopConfiguration()
     found = []
     for path in [paths] if isinstance(paths, str) else paths:
-        try:
-            spark.read.format("binaryFile").load(path)
+        place = hadoop_path(path)
+        if place.getFileSystem(conf).globStatus(place):
             found.append(path)
-        except AnalysisException:
-            print(f"input path does not exist: {path}")
+        else:
+            print(f"input path does not exist: {path}", file=sys.stderr)
     return found
 
 
-def _binary(spark: SparkSession, paths: list[str], suffix: str | None) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(existing(spark, paths))
-    return files if suffix is None else files.where(F.col("_metadata.file_path").rlike(suffix))
+def scan_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """file (location), length and content of all files below `paths`. A filter on `file` is applied to the listing."""
+    found = existing(spark, paths)
+    if not found:
+        return spark.createDataFrame([], "file string, length bigint, content binary")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(found)
+    return files.select(F.col("_metadata.file_path").alias("file"), "length", "content")
+
+
+def scan_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """file and value of every line below `paths`, large files in splits; a filter on `file` as in `scan_files`."""
+    found = existing(spark, paths)
+    if not found:
+        return spark.createDataFrame([], "file string, value string")
+    lines = spark.read.option("recursiveFileLookup", True).text(found)
+    return lines.select(F.col("_metadata.file_path").alias("file"), "value")
+
+
+def _of_kind(df: DataFrame, suffix: str | None) -> DataFrame:
+    return df if suffix is None else df.where(F.col("file").rlike(suffix))
 
 
 def list_files(spark: SparkSession, paths: list[str], suffix: str | None = _SUFFIX) -> DataFrame:
     """path and length of the files below `paths`, directories taken recursively; suffix None keeps every file."""
-    return _binary(spark, paths, suffix).select("path", "length")
+    return _of_kind(scan_files(spark, paths), suffix).select(F.col("file").alias("path"), "length")
 
 
 def decoded(content: Column | str) -> Column:
@@ -43,22 +63,17 @@ def decoded(content: Column | str) -> Column:
 
 def read_texts(spark: SparkSession, paths: list[str], suffix: str | None = _SUFFIX) -> DataFrame:
     """path and whole stripped text, one row per file."""
-    return _binary(spark, paths, suffix).select("path", decoded("content").alias("text"))
+    found = _of_kind(scan_files(spark, paths), suffix)
+    return found.select(F.col("file").alias("path"), decoded("content").alias("text"))
 
 
 def read_lines(spark: SparkSession, paths: list[str], suffix: str | None = None) -> DataFrame:
-    """path and line for every non-blank line, stripped. Large files are read in splits."""
-    lines = spark.read.option("recursiveFileLookup", True).text(existing(spark, paths))
-    lines = lines.select(F.col("_metadata.file_path").alias("path"), "value")
-    if suffix is not None:
-        lines = lines.where(F.col("path").rlike(suffix))
-    return explode_lines(lines, "value", "line")
+    """path and line for every non-blank line, stripped."""
+    found = _of_kind(scan_lines(spark, paths), suffix)
+    return explode_lines(found.withColumnRenamed("file", "path"), "value", "line")
 
 
 def read_json_lines(spark: SparkSession, paths: list[str], suffix: str | None = r"(?i)\.jsonl$") -> DataFrame:
     """path and line of JSON-lines files: as `read_lines`, but only line feeds and carriage returns end a line."""
-    lines = spark.read.option("recursiveFileLookup", True).text(existing(spark, paths))
-    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
-    if suffix is not None:
-        lines = lines.where(F.col("path").rlike(suffix))
-    return clean_text(lines, "line")
+    found = _of_kind(scan_lines(spark, paths), suffix)
+    return clean_text(found.select(F.col("file").alias("path"), F.col("value").alias("line")), "line")

@@ -12,7 +12,10 @@ from memoloom.sources.files import existing
 
 def read_json_array(spark: SparkSession, paths: list[str], schema: T.StructType = JUDGED_RESULT) -> DataFrame:
     """One row per array element; missing fields are null. A file that does not hold an array is an error."""
-    files = spark.read.option("wholetext", True).text(existing(spark, paths))
+    found = existing(spark, paths)
+    if not found:
+        raise FileNotFoundError(f"no result file at {paths}")
+    files = spark.read.option("wholetext", True).text(found)
     array = F.from_json("value", T.ArrayType(schema), {"mode": "FAILFAST"})
     not_array = F.raise_error(F.concat(F.lit("not a JSON array: "), F.col("_metadata.file_path")))
     checked = F.when(F.ltrim("value").startswith("["), array).otherwise(not_array.cast(T.ArrayType(schema)))

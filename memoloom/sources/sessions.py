@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memoloom.functions.ranges import filter_numbers
 from memoloom.functions.scopes import sample_user, session_path
-from memoloom.functions.text import col
+from memoloom.functions.columns import col
 from memoloom.operators.context import transcript_of
 from memoloom.sources.files import read_texts
 
