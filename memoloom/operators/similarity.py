@@ -145,7 +145,7 @@ def _scan_with_carried(table: pa.Table, m: DataFrame, id_type, k, min_score, met
             for at in np.split(order, cuts) if len(order) else []:
                 offer("=" + wanted[int(group[at[0]])].as_py(), ids[at], rows[at])
         for group in running.values():
-            yield _hits(group.result(), schema)
+            yield from _hits(group.result(), schema)
 
     out = _hit_type(id_type, m.schema["id"].dataType)
     schema = _arrow(out)
@@ -222,7 +222,7 @@ def _cell_scanner(k, min_score, metric, schema):
                 now = tuple(piece.column(c)[0].as_py() for c in ("key", "qn", "mn"))
                 if now != cell:
                     if running is not None:
-                        yield _hits(running.result(), schema)
+                        yield from _hits(running.result(), schema)
                     cell, held, running = now, [], None
                 if piece.column("side")[0].as_py() == 0:
                     held.append(piece.select(["query_id", "vector"]))
@@ -238,7 +238,7 @@ def _cell_scanner(k, min_score, metric, schema):
                     _matrix(piece.column("vector"), running.vectors.shape[1]),
                 )
         if running is not None:
-            yield _hits(running.result(), schema)
+            yield from _hits(running.result(), schema)
 
     return scan
 
@@ -284,5 +284,7 @@ def _arrow(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def _hits(result: pd.DataFrame, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pandas(result, schema=schema, preserve_index=False)
+def _hits(result: pd.DataFrame, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    if len(result):
+        columns = [pa.array(result[field.name].to_numpy(), field.type) for field in schema]
+        yield pa.RecordBatch.from_arrays(columns, schema=schema)
