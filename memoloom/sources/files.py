@@ -1,4 +1,7 @@
-"""Text files. Scans select by file metadata, so files of other kinds are not opened."""
+"""Text files. Scans select by file metadata, so files of other kinds are not opened.
+
+As in every Spark file scan, files without content and files whose names start with `_` or `.` are passed over.
+"""
 
 from __future__ import annotations
 

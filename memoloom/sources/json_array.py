@@ -6,20 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from memoloom.functions.text import strip
 from memoloom.schemas import JUDGED_RESULT
-from memoloom.sources.files import existing
+from memoloom.sources.files import scan_files
 
 
 def read_json_array(spark: SparkSession, paths: list[str], schema: T.StructType = JUDGED_RESULT) -> DataFrame:
     """One row per array element; missing fields are null. A file that does not hold an array is an error."""
-    found = existing(spark, paths)
-    if not found:
-        raise FileNotFoundError(f"no result file at {paths}")
-    files = spark.read.option("wholetext", True).text(found)
+    texts = scan_files(spark, paths).select("file", F.col("content").cast("string").alias("value"))
     array = F.from_json("value", T.ArrayType(schema), {"mode": "FAILFAST"})
-    not_array = F.raise_error(F.concat(F.lit("not a JSON array: "), F.col("_metadata.file_path")))
-    checked = F.when(F.ltrim("value").startswith("["), array).otherwise(not_array.cast(T.ArrayType(schema)))
-    return files.select(F.explode(checked).alias("item")).select("item.*")
+    not_array = F.raise_error(F.concat(F.lit("not a JSON array: "), F.col("file")))
+    checked = F.when(strip("value").startswith("["), array).otherwise(not_array.cast(T.ArrayType(schema)))
+    return texts.select(F.explode(checked).alias("item")).select("item.*")
 
 
 def read_results(spark: SparkSession, path: str, schema: T.StructType = JUDGED_RESULT) -> DataFrame:
