@@ -16,7 +16,7 @@ from catalog.inputs import (
 )
 from memoloom.functions.hits import filter_min_score, normalize_hits
 from memoloom.functions.text import is_blank
-from memoloom.operators.context import attach_context, transcripts
+from memoloom.operators.context import attach_context, transcript_parts
 from memoloom.operators.embedding import attach_vectors, missing_vectors
 from memoloom.operators.grading import join_back
 from memoloom.operators.search import align, attach_payload, search_vectors
@@ -166,11 +166,11 @@ def agg_context(spark, sf_dir):
 @query(
     "agg_transcript",
     """
-    SELECT conv_id, count(*) AS turns,
-           CASE WHEN conv_id % 2 = 0 THEN '[Session Date: day ' || conv_id || ']' || chr(10) ELSE '' END
+    SELECT conv_id, turn // 1024 AS part, count(*) AS turns,
+           CASE WHEN conv_id % 2 = 0 AND turn // 1024 = 0 THEN '[Session Date: day ' || conv_id || ']' || chr(10) ELSE '' END
              || string_agg(CASE WHEN role = 'system' THEN 'Unknown' ELSE role END || ': ' || text, chr(10)
                            ORDER BY turn) AS transcript
-    FROM conversations GROUP BY conv_id
+    FROM conversations GROUP BY conv_id, turn // 1024
     """,
 )
 def agg_transcript(spark, sf_dir):
@@ -181,7 +181,7 @@ def agg_transcript(spark, sf_dir):
         "text",
         F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("day "), F.col("conv_id").cast("string"))).alias("date"),
     )
-    return transcripts(turns, ["conv_id"], date="date")
+    return transcript_parts(turns, ["conv_id"], date="date")
 
 
 @query(

@@ -13,7 +13,7 @@ from memoloom.schemas import DEFAULT_CATEGORY, GLOBAL_SCOPE
 DATE_OPEN, DATE_CLOSE = "[Session Date: ", "]"
 UNKNOWN_SPEAKER = "Unknown"
 
-TURNS_PER_CHUNK = 1024
+TURNS_PER_PART = 1024
 
 
 def turn_line(speaker: Column | str, text: Column | str) -> Column:
@@ -35,37 +35,44 @@ def transcript_of(turns: Column | str, date: Column | str | None = None) -> Colu
     return with_date(F.array_join(lines, "\n"), date)
 
 
-def transcripts(
+def transcript_parts(
     turns: DataFrame,
     by: list[str],
     order: str = "turn",
     speaker: str = "speaker",
     text: str = "text",
     date: str | None = None,
+    turns_per_part: int = TURNS_PER_PART,
 ) -> DataFrame:
-    """One transcript per session from rows of turns, `order` being a whole number unique within the session.
+    """Transcripts from rows of turns: by, part, transcript, turns.
 
-    Lines are joined in chunks of consecutive turns first and the chunks after that, so a very long session is
-    gathered by many tasks and only its chunks meet in one.
+    `order` is a whole number, unique within the session. Sessions whose numbers stay below `turns_per_part` are one
+    part, number 0. Longer ones come in consecutive parts of a bounded number of turns, the first under the date line,
+    so no task gathers more than a part however long a session is.
     """
     lines = turns.select(
         *by,
-        F.floor(F.col(order) / TURNS_PER_CHUNK).alias("_chunk"),
+        F.floor(F.col(order) / turns_per_part).alias("part"),
         F.col(order).alias("_order"),
         turn_line(speaker, text).alias("_line"),
         (F.col(date) if date else F.lit(None).cast("string")).alias("_date"),
     )
-    chunks = lines.groupBy(*by, "_chunk").agg(
+    parts = lines.groupBy(*by, "part").agg(
         F.expr("listagg(_line, '\\n') WITHIN GROUP (ORDER BY _order)").alias("_text"),
         F.max("_date").alias("_date"),
-        F.count(F.lit(1)).alias("_turns"),
+        F.count(F.lit(1)).alias("turns"),
     )
-    whole = chunks.groupBy(*by).agg(
-        F.expr("listagg(_text, '\\n') WITHIN GROUP (ORDER BY _chunk)").alias("_text"),
-        F.max("_date").alias("_date"),
-        F.sum("_turns").alias("turns"),
+    header = F.when(F.col("part") == 0, F.col("_date"))
+    return parts.select(*by, "part", with_date(F.col("_text"), header).alias("transcript"), "turns")
+
+
+def transcripts(turns: DataFrame, by: list[str], **options) -> DataFrame:
+    """One transcript per session: the parts joined. A transcript is one value, so it has to fit into one row."""
+    parts = transcript_parts(turns, by, **options)
+    return parts.groupBy(*by).agg(
+        F.expr("listagg(transcript, '\\n') WITHIN GROUP (ORDER BY part)").alias("transcript"),
+        F.sum("turns").alias("turns"),
     )
-    return whole.select(*by, with_date(F.col("_text"), "_date" if date else None).alias("transcript"), "turns")
 
 
 def three_decimals(score: Column) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from memoloom.functions import prompts, replies
 from memoloom.functions.entries import ENTRIES_TYPE, entry, parse_entries
 from memoloom.functions.scopes import column_or, path_user, user_scope
+from memoloom.operators.lookup import lookup
 from memoloom.schemas import IMPORTANCE_EXTRACTED
 
 # Parameters sent with each use, and the results of failed and dry runs.
@@ -125,12 +126,20 @@ def infer(
 
 
 def _look_up(df: DataFrame, responses: DataFrame, key: Column, request: Column) -> DataFrame:
-    """Left join by request hash. Many rows may ask the same; AQE splits such a key, the other side being unique."""
-    known = responses.select(F.col("request_hash").alias("_hash"), "response")
-    joined = df.withColumn("_key", key).withColumn("_asked", request.isNotNull())
-    joined = joined.join(known, F.col("_key") == F.col("_hash"), "left")
-    error = F.when(F.col("_asked") & F.col("response").isNull(), F.lit("no response for this request"))
-    return joined.withColumn("error", error).drop("_key", "_hash", "_asked")
+    """Left join by request hash; requests that very many rows make are spread over tasks."""
+    known = responses.select(F.col("request_hash").alias("_key"), "response")
+    asked = df.withColumn("_key", F.when(request.isNotNull(), key))
+    joined = lookup(asked, known, "_key", F.xxhash64(*_hashable(df)), "left")
+    unanswered = F.col("_key").isNotNull() & F.col("response").isNull()
+    error = F.when(unanswered, F.lit("no response for this request"))
+    return joined.select(*df.columns, "response", error.alias("error"))
+
+
+def _hashable(df: DataFrame) -> list[str]:
+    """Columns to tell rows apart by, short ones first choice: maps and variants have no hash."""
+    plain = [name for name, kind in df.dtypes if kind in ("bigint", "int", "string")]
+    numbers = [name for name, kind in df.dtypes if kind in ("bigint", "int")]
+    return numbers or plain
 
 
 def _caller(provider: ModelCalls, system: str, params: dict, retry: Retry):

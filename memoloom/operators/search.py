@@ -9,6 +9,7 @@ from memoloom.functions.hits import normalize_hits
 from memoloom.functions.scopes import column_or, visible_scopes
 from memoloom.functions.text import is_blank, strip
 from memoloom.operators.embedding import Embedder, embed
+from memoloom.operators.lookup import lookup
 from memoloom.operators.similarity import knn_join
 from memoloom.schemas import DEFAULT_MIN_SCORE, DEFAULT_TOP_K, GLOBAL_SCOPE
 from memoloom.workspace import materialized
@@ -51,15 +52,15 @@ def search_vectors(
 def attach_payload(hits: DataFrame, memories: DataFrame) -> DataFrame:
     """Hits with what they show of their memory.
 
-    The memories are reduced to the ids hit before anything is joined, and copies that share an id to one row, so
-    neither many copies nor a memory that every query hits multiplies rows. `hits` is read twice: pass a materialised
-    frame when it is costly.
+    The memories are reduced to the ids hit before anything is joined, and copies that share an id to one row. A
+    memory that very many queries hit is spread over tasks. `hits` is read several times: pass a materialised frame
+    when it is costly.
     """
     shown = [c for c in PAYLOAD_COLUMNS if c in memories.columns]
     wanted = hits.select("id").distinct()
     payload = memories.select("id", *shown).join(wanted, "id", "left_semi")
     payload = payload.groupBy("id").agg(F.min(F.struct(*shown)).alias("_payload"))
-    return hits.join(payload, "id").select(*hits.columns, "_payload.*")
+    return lookup(hits, payload, "id", F.xxhash64("query_id")).select(*hits.columns, "_payload.*")
 
 
 def align(queries: DataFrame, hits: DataFrame, out: str = "results") -> DataFrame:

@@ -36,6 +36,8 @@ MEMORIES_PER_CELL = 32768
 MAX_PARTS = 4096
 # Scopes cut apart. A scope beyond the largest 100,000 holds less than 1/100,000 of its side and stays whole.
 MAX_CUT_SCOPES = 100_000
+# Keys asked for are broadcast to thin out the memories before the shuffle when there are at most this many.
+MAX_ASKED_KEYS = 200_000
 # A carried search over few scopes hands them to the scan as a filter.
 MAX_PUSHED_SCOPES = 1000
 
@@ -178,6 +180,9 @@ def _meet_in_cells(q: DataFrame, m: DataFrame, k, min_score, metric) -> DataFram
     keys = F.array_compact(F.array(F.concat(F.lit("="), F.col("scope")), F.lit(_ALL)))
     m = m.withColumn("key", F.explode(keys))
 
+    asked = q.select("key").distinct()
+    if asked.limit(MAX_ASKED_KEYS + 1).count() <= MAX_ASKED_KEYS:
+        m = m.join(F.broadcast(asked), "key", "left_semi")
     query_parts = _parts(q, QUERIES_PER_CELL, "qp", _ALL)
     memory_parts = _parts(m, MEMORIES_PER_CELL, "mp", _ALL)
     # At most 2 x MAX_CUT_SCOPES short rows, hence the broadcast; both sides use the same one. The counts read the

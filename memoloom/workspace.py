@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+_LOCAL: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -15,9 +18,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="memoloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.conf.get("spark.app.id", "")
+    if application not in _LOCAL:
+        _LOCAL[application] = tempfile.mkdtemp(prefix="memoloom-")
+    return _LOCAL[application]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -25,7 +29,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialized(df, name: str):
+def materialized(df: DataFrame, name: str) -> DataFrame:
     """The frame written once to the shared folder and read back: a cut in the lineage that survives lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)

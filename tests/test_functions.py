@@ -12,7 +12,7 @@ from memoloom.functions.ranges import filter_numbers, range_members
 from memoloom.functions.replies import parse_verdict, response_text
 from memoloom.functions.scopes import infer_category, path_user, user_scope, visible_scopes
 from memoloom.functions.text import WHITESPACE, explode_lines, strip, unfence
-from memoloom.operators.context import contexts, three_decimals, transcripts
+from memoloom.operators.context import contexts, three_decimals, transcript_parts, transcripts
 
 FENCE = "```"
 
@@ -234,6 +234,15 @@ def test_transcripts_of_long_sessions(spark):
     assert got[0]["turns"] == 2500
 
 
+def test_parts_of_long_sessions(spark):
+    turns = spark.range(2500).select(
+        F.lit(1).alias("s"), F.col("id").alias("turn"), F.lit("a").alias("speaker"), F.col("id").cast("string").alias("text"), F.lit("May").alias("d")
+    )
+    got = {r["part"]: r for r in transcript_parts(turns, ["s"], date="d").collect()}
+    assert [got[p]["turns"] for p in (0, 1, 2)] == [1024, 1024, 452]
+    assert got[0]["transcript"].startswith("[Session Date: May]\na: 0\n") and got[1]["transcript"].startswith("a: 1024\n")
+
+
 def test_transcript_defaults(spark):
     turns = spark.createDataFrame([(1, 0, None, "hi", ""), (1, 1, "b", None, ""), (2, 0, "a", "x", "May")], "s int, turn int, speaker string, text string, d string")
     got = {r["s"]: r["transcript"] for r in transcripts(turns, ["s"], date="d").collect()}

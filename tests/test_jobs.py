@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from memoloom.operators import grading
 from memoloom.operators.embedding import HashEmbedder
 from memoloom.operators.inference import DryRun, ModelCalls
+from memoloom.operators.lookup import lookup
 from memoloom.operators.search import align, attach_payload, search_batch, search_one, search_vectors
 from memoloom.plans import jobs
 from memoloom.schemas import JUDGED_RESULT
+from memoloom.workspace import shared_folder
 
 NOW = 1_700_000_000_000
 EMBEDDER = HashEmbedder(16)
@@ -162,6 +164,32 @@ def test_agent_eval_skips_search(spark):
     assert jobs.run_agent_ingest(texts, DryRun()).collect()[0]["agent_response"] == "Dry-run ingest: p"
 
 
+def test_lookup_spreads_hot_keys(spark):
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"))
+    rows = rows.unionByName(spark.createDataFrame([(-1, None)], "id long, k string"))
+    table = rows.where("k is not null").select("k", F.concat(F.lit("v-"), "k").alias("v")).distinct().where("k <> '4'")
+    for how in ("inner", "left"):
+        plain = rows.join(table, "k", how).select("id", "k", "v")
+        spread = lookup(rows, table, "k", F.xxhash64("id"), how, rows_per_part=10).select("id", "k", "v")
+        assert sorted(map(tuple, plain.collect()), key=repr) == sorted(map(tuple, spread.collect()), key=repr)
+
+
+def test_shared_folder():
+    class Session:
+        def __init__(self, **settings):
+            self.settings = {k.replace("_", "."): v for k, v in settings.items()}
+            self.conf = self
+
+        def get(self, key, default):
+            return self.settings.get(key, default)
+
+    assert shared_folder(Session(spark_checkpoint_dir="s3://b/x/")) == "s3://b/x"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Session(spark_master="yarn"))
+    local = Session(spark_master="local[2]", spark_app_id="a")
+    assert shared_folder(local) == shared_folder(local)
+
+
 # ---------------------------------------------------------------------------------------------- reports
 
 
