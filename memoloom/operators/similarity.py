@@ -289,7 +289,7 @@ def _arrow(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def _hits(result: pd.DataFrame, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    if len(result):
+def _hits(result: pd.DataFrame | None, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    if result is not None:
         columns = [pa.array(result[field.name].to_numpy(), field.type) for field in schema]
         yield pa.RecordBatch.from_arrays(columns, schema=schema)

@@ -1,8 +1,8 @@
 """Best-k bookkeeping for one set of query vectors, used inside tasks.
 
-Scores are defined by the difference form in float64 (`l2`: 1 - squared distance, `cosine`: cosine similarity).
-A matrix product finds the pairs that can matter; only those are scored in the defining form, so the outcome does not
-depend on how rows are spread over batches and tasks. Ties go to the smaller id.
+Scores are defined by the difference form in float64 (`l2`: 1 - squared distance, `cosine`: cosine similarity). A
+float32 matrix product, with room for its rounding, finds the pairs that can matter; only those are scored in the
+defining form, so the outcome does not depend on how rows are spread over batches and tasks. Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -11,8 +11,13 @@ import numpy as np
 import pandas as pd
 
 METRICS = ("l2", "cosine")
-_ROWS_PER_PRODUCT = 4096
+_ROWS_PER_PRODUCT = 2048
 _QUERIES_PER_PRODUCT = 1024
+# Pairs per query and k kept from one product without looking for a higher floor first.
+_LOOSE = 4
+# Merge found pairs once there are this many, or as many as are held.
+_MERGE_AT = 4096
+_LARGEST_FLOAT32_NORM = 1e15
 
 
 class RunningTopK:
@@ -24,9 +29,16 @@ class RunningTopK:
         self.k = k
         self.metric = metric
         self.squares = np.einsum("ij,ij->i", self.vectors, self.vectors)
-        floor = -np.inf if min_score is None else min_score
-        self.floor = np.full(len(self.query_ids), floor, dtype=np.float64)
-        self.best = pd.DataFrame({"q": np.empty(0, np.int64), "score": np.empty(0), "id": []})
+        self.floor = np.full(len(self.query_ids), -np.inf if min_score is None else min_score, dtype=np.float64)
+        # l2: score = 2qr - r*r + (1 - q*q), the first two terms being one product; cosine: product of unit vectors.
+        if metric == "l2":
+            self.left = np.hstack([2.0 * self.vectors, np.full((len(self.vectors), 1), -1.0)])
+            self.offset = 1.0 - self.squares
+        else:
+            self.left = _unit(self.vectors, self.squares)
+            self.offset = np.zeros(len(self.vectors))
+        self.q, self.score, self.id = np.empty(0, np.int64), np.empty(0), None
+        self.pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         """Offer rows. `vectors` has one row per id."""
@@ -34,39 +46,37 @@ class RunningTopK:
         if keep is not None:
             ids, vectors = ids[keep], vectors[keep]
         for start in range(0, len(ids), _ROWS_PER_PRODUCT):
-            rows = slice(start, start + _ROWS_PER_PRODUCT)
-            self._add_rows(ids[rows], vectors[rows].astype(np.float64))
+            part = slice(start, start + _ROWS_PER_PRODUCT)
+            self._add_rows(ids[part], vectors[part].astype(np.float64))
 
     def _add_rows(self, ids: np.ndarray, rows: np.ndarray) -> None:
         squares = np.einsum("ij,ij->i", rows, rows)
-        found = []
+        right = np.hstack([rows, squares[:, None]]) if self.metric == "l2" else _unit(rows, squares)
+        longest = np.sqrt(squares.max())
+        safe = max(longest, np.sqrt(self.squares.max(initial=0.0))) < _LARGEST_FLOAT32_NORM
+        kind = np.float32 if safe else np.float64
+        right = right.astype(kind)
+        size = 2.0 * np.sqrt(self.squares) * longest + longest**2 if self.metric == "l2" else np.ones(len(self.squares))
+        room = 2.0 * (rows.shape[1] + 4) * np.finfo(kind).eps * (size + 1.0)
         for start in range(0, len(self.query_ids), _QUERIES_PER_PRODUCT):
-            q, r = self._candidates(start, rows, squares)
+            part = slice(start, start + _QUERIES_PER_PRODUCT)
+            product = self.left[part].astype(kind) @ right.T
+            q, r = self._candidates(product, self.floor[part] - self.offset[part] - room[part], room[part])
             if len(q):
-                found.append(self._scored(q, r, ids, rows, squares))
-        if found:
-            self._merge(pd.concat(found, ignore_index=True))
-
-    def _candidates(self, start: int, rows: np.ndarray, squares: np.ndarray):
-        """Pairs whose product-form score, with room for rounding, reaches the query's floor and its k best here."""
-        part = slice(start, start + _QUERIES_PER_PRODUCT)
-        product = self.vectors[part] @ rows.T
-        own = self.squares[part][:, None]
-        if self.metric == "l2":
-            scores = 1.0 - (own + squares[None, :] - 2.0 * product)
-            room = 1e-9 * (1.0 + own[:, 0] + squares.max())
-        else:
-            with np.errstate(divide="ignore", invalid="ignore"):
-                scores = np.nan_to_num(product / np.sqrt(own * squares[None, :]), nan=0.0, posinf=0.0, neginf=0.0)
-            room = np.full(scores.shape[0], 1e-9)
-        floor = self.floor[part]
-        if scores.shape[1] > self.k:
-            kth = np.partition(scores, -self.k, axis=1)[:, -self.k]
-            floor = np.maximum(floor, kth)
-        q, r = np.nonzero(scores >= (floor - room)[:, None])
-        return q + start, r
-
-    def _scored(self, q, r, ids, rows, squares) -> pd.DataFrame:
+                self._score(q + start, r, ids, rows, squares)
+        if sum(len(p[0]) for p in self.pending) >= max(_MERGE_AT, len(self.q)):
+            self._merge()
+
+    def _candidates(self, product: np.ndarray, bound: np.ndarray, room: np.ndarray):
+        """Pairs that may reach the bound and, where that leaves many, the k best of this product."""
+        near = product >= bound.astype(product.dtype)[:, None]
+        rows = product.shape[1]
+        if rows > self.k and np.count_nonzero(near) > _LOOSE * self.k * len(product):
+            kth = np.partition(product, rows - self.k, axis=1)[:, rows - self.k]
+            near &= product >= (kth - 2.0 * room).astype(product.dtype)[:, None]
+        return np.nonzero(near)
+
+    def _score(self, q, r, ids, rows, squares) -> None:
         left, right = self.vectors[q], rows[r]
         if self.metric == "l2":
             gap = left - right
@@ -76,27 +86,48 @@ class RunningTopK:
             dots = np.einsum("ij,ij->i", left, right)
             scores = np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
         keep = scores >= self.floor[q]
-        return pd.DataFrame({"q": q[keep], "score": scores[keep], "id": ids[r[keep]]})
+        if keep.any():
+            self.pending.append((q[keep], scores[keep], ids[r[keep]]))
 
-    def _merge(self, found: pd.DataFrame) -> None:
-        if found.empty:
+    def _merge(self) -> None:
+        """Keep the k best of held and pending pairs, and raise the floors to the k-th scores."""
+        if not self.pending:
             return
-        pool = found if self.best.empty else pd.concat([self.best, found], ignore_index=True)
-        pool = pool.sort_values(["q", "score", "id"], ascending=[True, False, True], kind="stable")
-        self.best = pool.groupby("q", sort=False).head(self.k)
-        place = self.best.groupby("q", sort=False).cumcount()
-        full = self.best[place == self.k - 1]
-        self.floor[full["q"].to_numpy()] = full["score"].to_numpy()
-
-    def result(self) -> pd.DataFrame:
-        """query_id, id, score of the rows kept."""
-        return pd.DataFrame(
-            {
-                "query_id": self.query_ids[self.best["q"].to_numpy(dtype=np.int64)],
-                "id": self.best["id"].to_numpy(),
-                "score": self.best["score"].to_numpy(),
-            }
-        )
+        held = [] if self.id is None else [(self.q, self.score, self.id)]
+        q, score, ids = (np.concatenate(columns) for columns in zip(*held, *self.pending))
+        self.pending = []
+        order = np.lexsort((-score, q))
+        q, score, ids = q[order], score[order], ids[order]
+        first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+        sizes = np.diff(np.r_[first, len(q)])
+        full = sizes >= self.k
+        self.floor[q[first[full]]] = score[first[full] + self.k - 1]
+        keep = score >= self.floor[q]
+        q, score, ids = q[keep], score[keep], ids[keep]
+        counts = np.bincount(q, minlength=len(self.floor))
+        tied = counts[q] > self.k
+        if tied.any():
+            # More rows reach the k-th score than there is room for: the smaller ids stay.
+            pairs = pd.DataFrame({"q": q[tied], "score": score[tied], "id": ids[tied], "at": np.flatnonzero(tied)})
+            pairs = pairs.sort_values(["q", "score", "id"], ascending=[True, False, True], kind="stable")
+            surplus = pairs[pairs.groupby("q", sort=False).cumcount() >= self.k]["at"].to_numpy()
+            stay = np.ones(len(q), dtype=bool)
+            stay[surplus] = False
+            q, score, ids = q[stay], score[stay], ids[stay]
+        self.q, self.score, self.id = q, score, ids
+
+    def result(self) -> pd.DataFrame | None:
+        """query_id, id, score of the rows kept, None without any."""
+        self._merge()
+        if not len(self.q):
+            return None
+        return pd.DataFrame({"query_id": self.query_ids[self.q], "id": self.id, "score": self.score})
+
+
+def _unit(rows: np.ndarray, squares: np.ndarray) -> np.ndarray:
+    """Rows of length one; zero rows stay zero."""
+    norms = np.sqrt(squares)[:, None]
+    return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
 def _without_surplus_copies(ids: np.ndarray, vectors: np.ndarray, k: int):
@@ -107,6 +138,7 @@ def _without_surplus_copies(ids: np.ndarray, vectors: np.ndarray, k: int):
     if len(ids) <= k:
         return None
     bits = np.ascontiguousarray(vectors, dtype=np.float32).view(np.uint32).astype(np.uint64)
+    # Odd multipliers make a cheap signature; rows that share one are compared in full below.
     weights = (np.arange(1, bits.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     signature = (bits * weights).sum(axis=1, dtype=np.uint64)
     _, first, group, counts = np.unique(signature, return_index=True, return_inverse=True, return_counts=True)

@@ -197,4 +197,24 @@ def test_running_top_k_in_batches(batch):
     for q in range(6):
         want = [i for _, i in sorted(zip(-scores[q], ids))[:4]]
         got = running.result()
-        assert got[got["query_id"] == q]["id"].tolist() == want
+        assert sorted(got[got["query_id"] == q]["id"]) == sorted(want)
+
+
+@pytest.mark.parametrize("scale", [1e-12, 1.0, 1e9, 1e25])
+def test_running_top_k_for_vectors_of_any_length(scale):
+    rng = np.random.default_rng(8)
+    queries = (rng.normal(size=(5, 16)) * scale).astype(np.float32)
+    rows = (rng.normal(size=(5000, 16)) * scale).astype(np.float32)
+    rows[::2] = rows[0] + (rng.normal(size=(2500, 16)) * scale * 1e-6).astype(np.float32)  # many near copies
+    for metric in ("l2", "cosine"):
+        running = RunningTopK(np.arange(5), queries, 3, None, metric)
+        running.add(np.arange(5000), rows)
+        q, r = queries.astype(float), rows.astype(float)
+        if metric == "l2":
+            scores = np.array([[1.0 - ((a - b) ** 2).sum() for b in r] for a in q])
+        else:
+            scores = (q @ r.T) / np.sqrt((q * q).sum(1)[:, None] * (r * r).sum(1)[None, :])
+        got = running.result()
+        for i in range(5):
+            best = np.sort(scores[i])[-3:]
+            assert np.allclose(np.sort(got[got["query_id"] == i]["score"]), best, rtol=1e-12, atol=1e-12)
