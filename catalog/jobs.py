@@ -94,12 +94,12 @@ def line_client():
     f"""
     WITH {SQL_SESSIONS}
     SELECT path, user_id, {sql_strip("line")} AS text, 'fact' AS category, 'user:' || user_id AS scope,
-           0.5::DOUBLE AS importance, {NOW_MS} AS timestamp, {DIMENSION}::BIGINT AS dimension
+           0.5::DOUBLE AS importance, '{NOW_MS}' AS timestamp, '{DIMENSION}' AS dimension
     FROM (SELECT path, user_id, unnest(string_split(text, chr(10))) AS line FROM sessions)
     WHERE {sql_strip("line")} <> ''
     UNION ALL
-    SELECT path, user_id, 'Dry-run memory from session_' || session, 'fact', 'user:' || user_id, 0.5, {NOW_MS},
-           {DIMENSION}
+    SELECT path, user_id, 'Dry-run memory from session_' || session, 'fact', 'user:' || user_id, 0.5, '{NOW_MS}',
+           '{DIMENSION}'
     FROM sessions
     UNION ALL
     SELECT path, user_id, 'Dry-run ingest: ' || path, 'agent_response', NULL, NULL, NULL, NULL FROM sessions
@@ -118,8 +118,8 @@ def job_ingest(spark, sf_dir):
         "category",
         "scope",
         "importance",
-        "timestamp",
-        F.size("vector").cast("bigint").alias("dimension"),
+        F.col("timestamp").cast("string").alias("timestamp"),
+        F.size("vector").cast("string").alias("dimension"),
     )
     told = inference.agent_ingest(texts, DryRun()).select(
         "path", "user_id", F.col("agent_response").alias("text"), F.lit("agent_response").alias("category")

@@ -110,7 +110,7 @@ def _jsonl_lines(spark, sf_dir):
            CASE WHEN doc_id % 6 = 2 THEN 'user:7' ELSE 'global' END AS scope,
            CASE WHEN doc_id % 6 = 1 THEN 0.25 ELSE 0.7 END::DOUBLE AS importance,
            CASE WHEN doc_id % 6 = 3 THEN doc_id::VARCHAR END AS id,
-           CASE doc_id % 6 WHEN 0 THEN n_chars WHEN 3 THEN 1696118400000 END AS timestamp,
+           CASE doc_id % 6 WHEN 0 THEN n_chars WHEN 3 THEN 1696118400000 END::VARCHAR AS timestamp,
            CASE WHEN doc_id % 6 = 3 THEN 'own' ELSE 'jsonl' END AS source,
            CASE WHEN doc_id % 6 = 2 THEN source END AS metadata_raw,
            CASE WHEN doc_id % 6 = 3 THEN lang END AS lang,
@@ -127,7 +127,7 @@ def src_jsonl(spark, sf_dir):
         "scope",
         "importance",
         "id",
-        "timestamp",
+        F.col("timestamp").cast("string").alias("timestamp"),
         _meta("source").alias("source"),
         _meta("metadata_raw").alias("metadata_raw"),
         _meta("lang").alias("lang"),
@@ -281,7 +281,8 @@ sessions AS (
 
 @query("src_sessions", f"WITH {SQL_SESSIONS} SELECT * FROM sessions")
 def src_sessions(spark, sf_dir):
-    return sessions.sessions(samples(spark, sf_dir))
+    rows = sessions.sessions(samples(spark, sf_dir))
+    return rows.withColumn("session", F.col("session").cast("bigint"))
 
 
 @query(

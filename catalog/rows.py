@@ -262,7 +262,7 @@ def set_flatten_entries(spark, sf_dir):
     "fn_normalize_hit",
     f"""
     WITH {SQL_VECTORS}
-    SELECT id, CASE WHEN vec_id % 3 = 0 THEN NULL ELSE label END::BIGINT AS label,
+    SELECT id, CASE WHEN vec_id % 3 = 0 THEN NULL ELSE label END::VARCHAR AS label,
            CASE WHEN vec_id % 3 = 0 THEN 'plain text' END AS raw_metadata,
            CASE WHEN vec_id % 4 = 0 THEN 'global' ELSE scope END AS scope,
            CASE WHEN vec_id % 5 = 0 THEN 0.0 ELSE label / 8.0 END::DOUBLE AS score
@@ -283,7 +283,7 @@ def fn_normalize_hit(spark, sf_dir):
     hits = normalize_hits(raw)
     return hits.select(
         "id",
-        F.try_variant_get("metadata", "$.label", "bigint").alias("label"),
+        F.try_variant_get("metadata", "$.label", "string").alias("label"),
         F.when(F.schema_of_variant("metadata") == "STRING", F.col("metadata").cast("string")).alias("raw_metadata"),
         "scope",
         "score",

@@ -187,20 +187,24 @@ def agg_transcript(spark, sf_dir):
 @query(
     "join_results_back",
     """
-    SELECT d.doc_id AS item_id, d.text AS question, l.quality, l.toxic
+    SELECT d.doc_id AS item_id, d.text AS question, l.quality::VARCHAR AS quality, l.toxic::VARCHAR AS toxic
     FROM documents d LEFT JOIN labels l USING (doc_id)
     """,
 )
 def join_results_back(spark, sf_dir):
     items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("question"))
-    graded = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item_id"), "quality", "toxic")
+    graded = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("item_id"),
+        F.col("quality").cast("string").alias("quality"),
+        F.col("toxic").cast("string").alias("toxic"),
+    )
     return join_back(items, graded)
 
 
 @query(
     "join_vectors",
     """
-    SELECT doc_id::VARCHAR AS id, text, len(embedding) AS dimension, embedding[1]::DOUBLE AS first_component
+    SELECT doc_id::VARCHAR AS id, text, len(embedding)::VARCHAR AS dimension, embedding[1]::DOUBLE AS first_component
     FROM documents LEFT JOIN embeddings ON vec_id = doc_id
     """,
 )
@@ -210,7 +214,7 @@ def join_vectors(spark, sf_dir):
     attached = attach_vectors(payloads, ready).select(
         "id",
         "text",
-        F.size("vector").cast("bigint").alias("dimension"),
+        F.size("vector").cast("string").alias("dimension"),
         F.element_at("vector", 1).cast("double").alias("first_component"),
     )
     return attached.unionByName(missing_vectors(payloads, ready), allowMissingColumns=True)

@@ -14,7 +14,7 @@ from memoloom.operators import grading, inference
 from memoloom.operators.context import attach_context
 from memoloom.operators.embedding import Embedder, embed
 from memoloom.operators.search import align, search_batch
-from memoloom.sources import files, memory_table, parsers
+from memoloom.sources import files, memory_table, parsers, sessions
 from memoloom.workspace import materialized
 
 
@@ -71,6 +71,44 @@ def run_import(
     return store(import_payloads(spark, paths, input_format, **options), embedder, table_path, now_ms, mode)
 
 
+def _is_workbook(paths: list[str], selected: bool, mark: str | None) -> bool:
+    """One JSON file is a session workbook when samples, sessions or a user are chosen, or its path says so."""
+    if len(paths) != 1 or not paths[0].lower().endswith(".json"):
+        return False
+    return selected or bool(mark and mark.lower() in paths[0].lower())
+
+
+def ingest_texts(
+    spark: SparkSession,
+    paths: list[str],
+    *,
+    sample_range: str | None = None,
+    session_range: str | None = None,
+    user: str | None = None,
+    workbook_mark: str | None = None,
+) -> DataFrame:
+    """text, path, user_id to ingest: the session transcripts of a workbook, or whole conversation files."""
+    if _is_workbook(paths, bool(sample_range or session_range or user), workbook_mark):
+        books = sessions.read_workbooks(spark, paths)
+        found = sessions.sessions(books, sample_range=sample_range, session_range=session_range, user=user)
+        return found.select("text", "path", "user_id")
+    return files.read_texts(spark, paths).select("text", "path", F.lit(user).cast("string").alias("user_id"))
+
+
+def eval_questions(
+    spark: SparkSession,
+    path: str,
+    *,
+    sample_range: str | None = None,
+    user: str | None = None,
+    workbook_mark: str | None = None,
+) -> DataFrame:
+    """Questions of a workbook, or one per line of a file: JSON objects or plain text."""
+    if _is_workbook([path], bool(sample_range or user), workbook_mark):
+        return sessions.questions(sessions.read_workbooks(spark, [path]), sample_range=sample_range, user=user)
+    return sessions.question_lines(files.read_lines(spark, [path]), user)
+
+
 def extracted_payloads(texts: DataFrame, provider: inference.Provider, **options) -> DataFrame:
     """Payloads a model finds in (text, path, user_id) rows."""
     found = inference.extract(texts, provider, **options)

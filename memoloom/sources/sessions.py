@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memoloom.functions.ranges import filter_numbers
 from memoloom.functions.scopes import sample_user, session_path
+from memoloom.functions.text import clean_text
 from memoloom.functions.columns import col
 from memoloom.operators.context import transcript_of
 from memoloom.sources.files import read_texts
@@ -137,3 +138,20 @@ def question_lines(lines: DataFrame, user: str | None = None) -> DataFrame:
         value("ground_truth").alias("ground_truth"),
         F.coalesce(F.lit(user).cast("string"), value("user_id")).alias("user_id"),
     )
+
+
+def text_lines(lines: DataFrame, user: str | None = None) -> DataFrame:
+    """Texts to ingest from JSON lines (path, line) with text, path, user_id and timestamp; others are left out."""
+    item = F.from_json(F.when(F.col("line").startswith("{"), F.col("line")), _MAP)
+
+    def value(name: str):
+        return F.try_element_at(F.col("_item"), F.lit(name))
+
+    given = lines.select("path", item.alias("_item"))
+    rows = given.select(
+        value("text").alias("text"),
+        F.coalesce(value("path"), F.col("path")).alias("path"),
+        F.coalesce(F.lit(user).cast("string"), value("user_id")).alias("user_id"),
+        value("timestamp").alias("timestamp"),
+    )
+    return clean_text(rows)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memoloom.operators.embedding import HashEmbedder, ModelEmbedder, embed
+from memoloom.plans import jobs
 from memoloom.schemas import memory_schema
 from memoloom.sources import files, json_array, memory_table, parsers, sessions
 
@@ -186,6 +187,26 @@ def test_single_sample_workbook(spark, tmp_path):
     assert [(r["sample"], r["text"]) for r in got] == [(0, "Cy: hey")]
 
 
+def test_text_lines(spark, tmp_path):
+    path = write(tmp_path / "t.jsonl", '{"text": " a ", "path": "s/1", "user_id": "u"}\n{"text": "b"}\nplain\n{"path": "x"}\n')
+    lines = files.read_json_lines(spark, [path])
+    rows = {r["text"]: r for r in sessions.text_lines(lines).collect()}
+    assert set(rows) == {"a", "b"}
+    assert (rows["a"]["path"], rows["a"]["user_id"]) == ("s/1", "u")
+    assert rows["b"]["path"].endswith("t.jsonl") and rows["b"]["user_id"] is None
+
+
+def test_choice_between_workbook_and_files(spark, tmp_path):
+    book = write(tmp_path / "Chats" / "book.json", json.dumps([SAMPLE, PLAIN]))
+    notes = write(tmp_path / "notes.txt", "note")
+    assert jobs.ingest_texts(spark, [book], sample_range="all", user="me").count() == 4
+    assert jobs.ingest_texts(spark, [book], workbook_mark="chats").count() == 4
+    assert jobs.ingest_texts(spark, [book]).count() == 0  # a JSON file is no conversation file
+    assert jobs.ingest_texts(spark, [notes], user="me").first()["user_id"] == "me"
+    assert jobs.eval_questions(spark, book, sample_range="0").count() == 2
+    assert jobs.eval_questions(spark, notes, user="me").first()["question"] == "note"
+
+
 # ---------------------------------------------------------------------------------------------- result sets
 
 
