@@ -14,6 +14,8 @@ from memoloom.operators.similarity import knn_join
 from memoloom.schemas import DEFAULT_MIN_SCORE, DEFAULT_TOP_K, GLOBAL_SCOPE
 from memoloom.workspace import materialized
 
+# At most so many ids are handed to the scan of the memories as a filter.
+MAX_PUSHED_IDS = 100
 # What a hit shows of a memory; the vector stays behind.
 PAYLOAD_COLUMNS = ("text", "category", "scope", "importance", "timestamp", "metadata")
 
@@ -52,13 +54,19 @@ def search_vectors(
 def attach_payload(hits: DataFrame, memories: DataFrame) -> DataFrame:
     """Hits with what they show of their memory.
 
-    The memories are reduced to the ids hit before anything is joined, and copies that share an id to one row. A
+    The memories are reduced to the ids hit before anything is joined, and copies that share an id to one row. A few
+    ids become a filter of the scan, which skips row groups by the Bloom filters the memory table keeps of its ids. A
     memory that very many queries hit is spread over tasks. `hits` is read several times: pass a materialised frame
     when it is costly.
     """
     shown = [c for c in PAYLOAD_COLUMNS if c in memories.columns]
     wanted = hits.select("id").distinct()
-    payload = memories.select("id", *shown).join(wanted, "id", "left_semi")
+    few = wanted.limit(MAX_PUSHED_IDS + 1).toArrow().column("id").to_pylist()
+    payload = memories.select("id", *shown)
+    if len(few) <= MAX_PUSHED_IDS:
+        payload = payload.where(F.col("id").isin(few))
+    else:
+        payload = payload.join(wanted, "id", "left_semi")
     payload = payload.groupBy("id").agg(F.min(F.struct(*shown)).alias("_payload"))
     return lookup(hits, payload, "id", F.xxhash64("query_id")).select(*hits.columns, "_payload.*")
 

@@ -31,15 +31,20 @@ def import_payloads(
     max_items: int = S.RESULT_ITEMS_PER_FILE,
     wording: parsers.ResultWording = parsers.ResultWording(),
 ) -> DataFrame:
-    """Payloads of all files below `paths`. Every branch opens its own files only, JSON lines in splits."""
+    """Payloads of all files below `paths`.
+
+    Every format opens its own files only, JSON lines in splits. The files are listed once per way of reading.
+    """
     if input_format not in (*parsers.FORMATS, "auto"):
         raise ValueError(f"unsupported input format: {input_format}")
 
     def chosen(df: DataFrame, fmt: str) -> DataFrame:
         return df.where(parsers.file_format("file", wording) == fmt) if input_format == "auto" else df
 
+    binary = files.scan_files(spark, paths) if input_format != "jsonl" else None
+
     def whole(fmt: str) -> DataFrame:
-        found = chosen(files.scan_files(spark, paths), fmt)
+        found = chosen(binary, fmt)
         return found.select(F.col("file").alias("path"), files.decoded("content").alias("text"))
 
     def lines() -> DataFrame:

@@ -72,7 +72,8 @@ def table_rows(entries: DataFrame, dimension: int, mode: str = "pro") -> DataFra
 def append(entries: DataFrame, path: str) -> int:
     """Append stored entries and return how many there were. Nothing is compared with rows already there.
 
-    Rows are sorted by scope within each task, without a shuffle, so that a search by scope skips row groups.
+    Rows are sorted by scope within each task, without a shuffle, so that a search by scope skips row groups; Bloom
+    filters over the ids do the same for a lookup of a few memories.
     """
     spark = entries.sparkSession
     table = spark.read.parquet(path)
@@ -83,7 +84,7 @@ def append(entries: DataFrame, path: str) -> int:
     counted = Observation(f"append-{uuid.uuid4().hex}")
     rows = rows.observe(counted, F.count(F.lit(1)).alias("rows"))
     rows = rows.withMetadata("vector", {_DIMENSION: dimension})
-    rows.write.mode("append").parquet(path)
+    rows.write.mode("append").option("parquet.bloom.filter.enabled#id", True).parquet(path)
     return int(counted.get["rows"])
 
 
