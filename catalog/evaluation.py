@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import query
-from catalog.inputs import SQL_ONE_LINE, choice, doc_files, one_line, sql_choice, sql_doc_path, table
+from catalog.inputs import SQL_ONE_LINE, choice, doc_path, one_line, sql_choice, sql_doc_path, table
 from catalog.parsing import SQL_ENTRIES, reply
 from memoloom.functions import prompts
 from memoloom.functions.entries import flatten_entries
@@ -110,9 +110,7 @@ def agg_failures(spark, sf_dir):
 
 
 def _docs(spark, sf_dir):
-    return doc_files(spark, sf_dir).join(
-        table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id"
-    )
+    return table(spark, sf_dir, "documents").select("doc_id", doc_path().alias("path"), "text", "lang", "source")
 
 
 def _responses(asked, request, response, system):

@@ -9,6 +9,7 @@ from catalog.inputs import (
     SQL_ONE_LINE,
     choice,
     doc_files,
+    doc_path,
     one_line,
     sql_choice,
     sql_doc_path,
@@ -220,10 +221,8 @@ def src_format_dispatch(spark, sf_dir):
         ),
         *[text] * 3,
     )
-    files = doc_files(spark, sf_dir, suffix).join(
-        table(spark, sf_dir, "documents").select("doc_id", content.alias("content")), "doc_id"
-    )
-    payloads = parsers.parse_files(files.select("path", F.col("content").alias("text")))
+    files = table(spark, sf_dir, "documents").select(doc_path(suffix).alias("path"), content.alias("text"))
+    payloads = parsers.parse_files(files)
     return payloads.groupBy(_meta("source").alias("source")).agg(
         F.count(F.lit(1)).alias("memories"), F.sum(F.length("text")).alias("characters")
     )

@@ -12,6 +12,8 @@ from pyspark.sql.utils import AnalysisException
 from memoloom.schemas import memory_schema
 
 _DIMENSION = "dimension"
+# Writer options: Bloom filters over the ids, as large as the number of ids in a row group asks for.
+_ID_FILTER = {"parquet.bloom.filter.enabled#id": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
 
 
 def _with_dimension(schema: T.StructType, dimension: int) -> T.StructType:
@@ -84,7 +86,7 @@ def append(entries: DataFrame, path: str) -> int:
     counted = Observation(f"append-{uuid.uuid4().hex}")
     rows = rows.observe(counted, F.count(F.lit(1)).alias("rows"))
     rows = rows.withMetadata("vector", {_DIMENSION: dimension})
-    rows.write.mode("append").option("parquet.bloom.filter.enabled#id", True).parquet(path)
+    rows.write.mode("append").options(**_ID_FILTER).parquet(path)
     return int(counted.get["rows"])
 
 
