@@ -13,8 +13,8 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-# The line ends Python's str.splitlines() honours, as a regular expression.
-LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+# The line ends Python's str.splitlines() honours besides line feed and carriage return with line feed.
+LINE_END = "[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 FENCE = "```"
 
@@ -32,8 +32,13 @@ def is_blank(c: Column | str) -> Column:
     return F.coalesce(strip(c), F.lit("")) == ""
 
 
+def unify_line_ends(c: Column | str) -> Column:
+    """Every line end as a line feed."""
+    return F.regexp_replace(F.replace(col(c), F.lit("\r\n"), F.lit("\n")), LINE_END, "\n")
+
+
 def split_lines(c: Column | str) -> Column:
-    return F.split(col(c), LINE_END)
+    return F.split(unify_line_ends(c), "\n")
 
 
 def clean_text(df: DataFrame, text: str = "text") -> DataFrame:
@@ -50,11 +55,18 @@ def explode_lines(df: DataFrame, text: str = "text", out: str = "line") -> DataF
 def unfence(c: Column | str) -> Column:
     """Stripped text without a surrounding code fence; a fence needs three lines or more to be removed."""
 
-    def inner(lines: Column) -> Column:
-        return strip(F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 2, F.lit(0))), "\n"))
+    def without_last(body: Column, rest: Column) -> Column:
+        last = F.substring_index(rest, "\n", -1)
+        inner = strip(F.left(rest, F.length(rest) - F.length(last)))
+        return F.when(F.contains(rest, F.lit("\n")), inner).otherwise(body)
+
+    def without_first(body: Column, lines: Column) -> Column:
+        first = F.instr(lines, "\n")
+        rest = F.when(first > 0, F.right(lines, F.length(lines) - first)).otherwise(F.lit(""))
+        return let(rest, lambda rest: without_last(body, rest))
 
     def opened(body: Column) -> Column:
-        unwrapped = let(split_lines(body), lambda lines: F.when(F.size(lines) >= 3, inner(lines)).otherwise(body))
+        unwrapped = let(unify_line_ends(body), lambda lines: without_first(body, lines))
         return F.when(body.startswith(FENCE), unwrapped).otherwise(body)
 
     return let(strip(c), opened)

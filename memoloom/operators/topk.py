@@ -42,12 +42,13 @@ class RunningTopK:
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         """Offer rows. `vectors` has one row per id."""
-        keep = _without_surplus_copies(ids, vectors, self.k)
-        if keep is not None:
-            ids, vectors = ids[keep], vectors[keep]
         for start in range(0, len(ids), _ROWS_PER_PRODUCT):
             part = slice(start, start + _ROWS_PER_PRODUCT)
-            self._add_rows(ids[part], vectors[part].astype(np.float64))
+            some_ids, rows = ids[part], vectors[part]
+            keep = _without_surplus_copies(some_ids, rows, self.k)
+            if keep is not None:
+                some_ids, rows = some_ids[keep], rows[keep]
+            self._add_rows(some_ids, rows.astype(np.float64))
 
     def _add_rows(self, ids: np.ndarray, rows: np.ndarray) -> None:
         squares = np.einsum("ij,ij->i", rows, rows)

@@ -12,6 +12,7 @@ from memoloom.operators.lookup import lookup
 from memoloom.operators.search import align, attach_payload, search_batch, search_one, search_vectors
 from memoloom.plans import jobs
 from memoloom.schemas import JUDGED_RESULT
+from memoloom.sources.json_array import write_results
 from memoloom.workspace import shared_folder
 
 NOW = 1_700_000_000_000
@@ -89,12 +90,15 @@ def test_search_finds_the_same_text(spark, memories):
     assert search_one(" ", memories, EMBEDDER).count() == 0
 
 
-def test_search_batch_keeps_every_query(spark, memories):
+def test_search_batch_keeps_every_query(spark, memories, tmp_path):
     queries = spark.createDataFrame([(0, " milk", "u"), (1, "milk", "v"), (2, " ", "u"), (3, None, None), (4, "milk", None)], "query_id int, query string, user_id string")
     rows = {r["query_id"]: r for r in jobs.run_search(queries, memories, EMBEDDER, min_score=0.9).collect()}
     found = {i: [h["text"] for h in rows[i]["results"]] for i in range(5)}
     assert found == {0: ["milk"], 1: [], 2: [], 3: [], 4: ["milk"]}
     assert rows[0]["query"] == "milk"
+    write_results(jobs.run_search(queries, memories, EMBEDDER, min_score=0.9), str(tmp_path / "out"))
+    written = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert {r["query_id"]: [h["metadata"] for h in r["results"]] for r in written}[0] == [{"t": "milk"}]
 
 
 def test_basic_tables_count_as_global(spark, tmp_path):
