@@ -78,9 +78,11 @@ def agg_accuracy(spark, sf_dir):
              count(*) FILTER (broken) AS server_errors, count(*) FILTER (missing) AS missing_ground_truth,
              count(*) FILTER (broken OR missing) AS excluded
       FROM marked)
-    SELECT *, round(correct * 100.0::DOUBLE / total, 9) AS correct_pct, round(wrong * 100.0::DOUBLE / total, 9) AS wrong_pct,
+    SELECT *, round(correct * 100.0::DOUBLE / total, 9) AS correct_pct,
+           round(wrong * 100.0::DOUBLE / total, 9) AS wrong_pct,
            round(CASE WHEN total - server_errors - missing_ground_truth > 0
-                THEN correct * 100.0::DOUBLE / (total - server_errors - missing_ground_truth) END, 9) AS adjusted_accuracy,
+                THEN correct * 100.0::DOUBLE / (total - server_errors - missing_ground_truth) END, 9)
+             AS adjusted_accuracy,
            round(CASE WHEN total - excluded > 0 THEN correct * 100.0::DOUBLE / (total - excluded) END, 9)
              AS adjusted_accuracy_distinct
     FROM counts
@@ -115,7 +117,8 @@ def _docs(spark, sf_dir):
 
 def _responses(asked, request, response, system):
     """A table of responses, one per distinct request."""
-    hashed = asked.select(inference.request_hash(request, F.lit(system)).alias("request_hash"), response.alias("response"))
+    key = inference.request_hash(request, F.lit(system))
+    hashed = asked.select(key.alias("request_hash"), response.alias("response"))
     return ResponsesTable(hashed.groupBy("request_hash").agg(F.min("response").alias("response")))
 
 

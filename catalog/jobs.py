@@ -149,7 +149,8 @@ def _sql_search(scoped: bool) -> str:
              'user:' || lang AS scope
       FROM documents),
     asked AS MATERIALIZED (
-      SELECT item_id AS query_id, {sql_strip("text")} AS query, CASE WHEN item_id % 2 = 0 THEN 'en' ELSE 'fr' END AS user_id,
+      SELECT item_id AS query_id, {sql_strip("text")} AS query,
+             CASE WHEN item_id % 2 = 0 THEN 'en' ELSE 'fr' END AS user_id,
              {sql_hash_vector(sql_strip("text"), DIMENSION)} AS vector
       FROM benchmark),
     scored AS (
@@ -211,7 +212,8 @@ def repeat_client():
       SELECT query_id, query AS question, 'truth ' || query_id AS ground_truth, user_id,
              coalesce(context, '') AS context, coalesce(context_ids, '') AS context_ids
       FROM asked LEFT JOIN contexts USING (query_id))
-    SELECT *, 're: Question: ' || question || chr(10) || chr(10) || 'Related Memories:' || chr(10) || context AS answer, 'direct' AS mode
+    SELECT *, 're: Question: ' || question || chr(10) || chr(10) || 'Related Memories:' || chr(10) || context
+             AS answer, 'direct' AS mode
     FROM items
     UNION ALL
     SELECT query_id, question, ground_truth, user_id, '', '', 'Dry-run agent answer to: ' || question, 'agent'
@@ -269,19 +271,13 @@ def job_judge(spark, sf_dir):
     label = F.when(F.col("quality") == 1, F.lit("correct")).otherwise(F.lit("Wrong"))
     reply = F.when(F.col("toxic") == 1, F.lit("no verdict")).otherwise(F.to_json(F.struct(label.alias("label"))))
     request = prompts.judge_request("question", "ground_truth", "answer")
-    responses = answers.select(
-        inference.request_hash(request, F.lit(prompts.JUDGE_INSTRUCTIONS)).alias("request_hash"), reply.alias("response")
-    )
+    key = inference.request_hash(request, F.lit(prompts.JUDGE_INSTRUCTIONS))
+    responses = answers.select(key.alias("request_hash"), reply.alias("response"))
     done = jobs.run_judge(answers, ResponsesTable(responses))
     accuracy = done.accuracy.select(F.lit("accuracy").alias("report"), F.round("accuracy", 9).alias("value"))
     failures = done.failures.agg(F.count(F.lit(1)).cast("double").alias("value"))
-    counts = done.report.select(
-        F.explode(
-            F.create_map(
-                F.lit("correct"), F.col("correct").cast("double"), F.lit("server_errors"), F.col("server_errors").cast("double")
-            )
-        ).alias("report", "value")
-    )
+    numbers = done.report.selectExpr("double(correct) AS correct", "double(server_errors) AS server_errors")
+    counts = numbers.unpivot([], ["correct", "server_errors"], "report", "value")
     by_label = done.results.groupBy(
         F.concat(F.lit("label "), F.upper("judge_result.label")).alias("report")
     ).agg(F.count(F.lit(1)).cast("double").alias("value"))

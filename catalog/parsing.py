@@ -252,9 +252,8 @@ def samples(spark, sf_dir):
         F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("speaker"), "text"))).alias("turns")
     )
     key = F.concat(F.lit('"session_'), F.col("session").cast("string"))
-    date = F.when(
-        F.col("sample") % 3 != 0, F.concat(key, F.lit('_date_time":"day '), F.col("session").cast("string"), F.lit('",'))
-    )
+    dated = F.concat(key, F.lit('_date_time":"day '), F.col("session").cast("string"), F.lit('",'))
+    date = F.when(F.col("sample") % 3 != 0, dated)
     content = F.concat(F.coalesce(date, F.lit("")), key, F.lit('":'), F.to_json("turns"))
     grouped = listed.select("sample", content.alias("content")).groupBy("sample").agg(
         F.array_join(F.array_sort(F.collect_list("content")), ",").alias("content")
@@ -469,7 +468,8 @@ def fn_response_text(spark, sf_dir):
 @query(
     "fn_render_prompt",
     """
-    SELECT doc_id, 'Question: ' || lang || chr(10) || chr(10) || 'Related Memories:' || chr(10) || text AS answer_request,
+    SELECT doc_id,
+           'Question: ' || lang || chr(10) || chr(10) || 'Related Memories:' || chr(10) || text AS answer_request,
            '{' || lang || '} ' || source || ' = ' || text || ' {answer}' AS judge_request,
            '[remember what''s said, keep existing memory]' || chr(10) || chr(10) || text AS ingest_request,
            'Ingested via chat. Response: ' || substr(text, 1, 50) || '...' AS ingest_status

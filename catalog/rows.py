@@ -10,7 +10,6 @@ from catalog.inputs import (
     choice,
     doc_files,
     doc_path,
-    memories,
     sql_choice,
     sql_doc_path,
     sql_hash_vector,
@@ -247,10 +246,11 @@ def set_union_payloads(spark, sf_dir):
 def set_flatten_entries(spark, sf_dir):
     n = (F.col("doc_id") % 4).cast("int")
     numbers = F.slice(F.sequence(F.lit(0), F.lit(2)), F.lit(1), n)
-    entries = F.transform(
-        numbers,
-        lambda i: F.struct(F.concat("lang", F.lit("-"), i.cast("string")).alias("text"), F.col("source").alias("category")),
-    )
+
+    def entry(i):
+        return F.struct(F.concat("lang", F.lit("-"), i.cast("string")).alias("text"), F.col("source").alias("category"))
+
+    entries = F.transform(numbers, entry)
     docs = table(spark, sf_dir, "documents").select("doc_id", F.when(n != 3, entries).alias("entries"))
     return flatten_entries(docs, "entries", keep=("doc_id",))
 
@@ -301,5 +301,7 @@ def udf_embed(spark, sf_dir):
     embedder = HashEmbedder(16)
     vectors_of = table(spark, sf_dir, "documents").select("doc_id", embedder.embed_passage("text").alias("vector"))
     return vectors_of.select("doc_id", F.posexplode("vector").alias("position", "x")).select(
-        "doc_id", F.col("position").cast("bigint").alias("position"), F.round(F.col("x").cast("double"), 6).alias("component")
+        "doc_id",
+        F.col("position").cast("bigint").alias("position"),
+        F.round(F.col("x").cast("double"), 6).alias("component"),
     )

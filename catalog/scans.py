@@ -90,8 +90,10 @@ def io_json_array(spark, sf_dir):
         F.array(n.cast("string"), F.col("source")).alias("context_ids"),
         F.struct(F.col("source").alias("reasoning"), ((n % 4) / 4.0).alias("score")).alias("judge_result"),
     )
-    items = table(spark, sf_dir, "documents").select(F.floor(n / DOCS_PER_ARRAY).alias("file"), F.to_json(item).alias("j"))
-    arrays = items.groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("a"))
+    docs = table(spark, sf_dir, "documents")
+    items = docs.select(F.floor(n / DOCS_PER_ARRAY).alias("file"), F.to_json(item).alias("j"))
+    array = F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]"))
+    arrays = items.groupBy("file").agg(array.alias("a"))
     arrays.select("a").write.option("maxRecordsPerFile", 1).text(f"{root}/arrays")
 
     rows = json_array.read_json_array(spark, [f"{root}/arrays"], RESULT)

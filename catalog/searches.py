@@ -119,7 +119,9 @@ def filter_min_score_query(spark, sf_dir):
     """,
 )
 def topk_rank(spark, sf_dir):
-    scored = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("query_id"), F.col("n_chars").alias("score"))
+    scored = table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("source").alias("query_id"), F.col("n_chars").alias("score")
+    )
     return top_k(scored, 10, tie="doc_id").withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -167,7 +169,8 @@ def agg_context(spark, sf_dir):
     "agg_transcript",
     """
     SELECT conv_id, turn // 1024 AS part, count(*) AS turns,
-           CASE WHEN conv_id % 2 = 0 AND turn // 1024 = 0 THEN '[Session Date: day ' || conv_id || ']' || chr(10) ELSE '' END
+           CASE WHEN conv_id % 2 = 0 AND turn // 1024 = 0 THEN '[Session Date: day ' || conv_id || ']' || chr(10)
+                ELSE '' END
              || string_agg(CASE WHEN role = 'system' THEN 'Unknown' ELSE role END || ': ' || text, chr(10)
                            ORDER BY turn) AS transcript
     FROM conversations GROUP BY conv_id, turn // 1024

@@ -17,8 +17,7 @@ def normalize_hits(df: DataFrame) -> DataFrame:
     if "scope" in df.columns:
         changes["scope"] = F.coalesce("scope", F.lit(GLOBAL_SCOPE))
     if "score" in df.columns:
-        score = F.col("score").try_cast("double") if dict(df.dtypes)["score"] == "string" else F.col("score").cast("double")
-        changes["score"] = F.coalesce(score, F.lit(0.0))
+        changes["score"] = F.coalesce(F.col("score").try_cast("double"), F.lit(0.0))
     return df.withColumns(changes)
 
 

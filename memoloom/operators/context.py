@@ -47,7 +47,7 @@ def transcript_parts(
     """Transcripts from rows of turns: by, part, transcript, turns.
 
     `order` numbers the turns of a session from its start, without repeats. Sessions whose numbers stay below
-    `turns_per_part` are one part, number 0. Longer ones come in consecutive parts of a bounded number of turns, the first under the date line,
+    `turns_per_part` are one part, number 0. Longer ones come in consecutive parts, the first under the date line,
     so no task gathers more than a part however long a session is.
     """
     lines = turns.select(

@@ -92,7 +92,8 @@ def knn_join(
 
     carried = _carried(q, carried_queries)
     if carried is not None:
-        hits = _scan_with_carried(carried, m.where(F.col("vector").isNotNull()), q.schema["query_id"].dataType, k, min_score, metric)
+        present = m.where(F.col("vector").isNotNull())
+        hits = _scan_with_carried(carried, present, q.schema["query_id"].dataType, k, min_score, metric)
     else:
         hits = _meet_in_cells(q, m, k, min_score, metric)
     return top_k(hits, k)
