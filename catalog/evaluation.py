@@ -183,16 +183,16 @@ def infer_extract(spark, sf_dir):
     "infer_answer",
     """
     SELECT doc_id, 'Dry-run answer to: ' || text AS dry_answer,
-           CASE WHEN doc_id % 3 = 0 THEN 'Error generating answer' ELSE lang END AS answer
+           CASE WHEN lang = 'de' THEN 'Error generating answer' ELSE source END AS answer
     FROM documents
     """,
 )
 def infer_answer(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(
-        "doc_id", F.col("text").alias("question"), F.col("doc_id").cast("string").alias("context"), "lang"
+        "doc_id", F.col("text").alias("question"), F.col("doc_id").cast("string").alias("context"), "lang", "source"
     )
-    known = docs.where(F.col("doc_id") % 3 != 0)  # requests without a response fail
-    provider = _responses(known, prompts.answer_request("question", "context"), F.col("lang"), "sys")
+    known = docs.where("lang <> 'de'")  # requests without a response fail
+    provider = _responses(known, prompts.answer_request("question", "context"), F.col("source"), "sys")
     dry = inference.answer(docs, DryRun()).withColumnRenamed("answer", "dry_answer")
     return inference.answer(dry, provider, system="sys").select("doc_id", "dry_answer", "answer")
 
@@ -201,25 +201,24 @@ def infer_answer(spark, sf_dir):
     "infer_judge",
     """
     SELECT doc_id, 'CORRECT' AS dry_label, 'Dry-run pass' AS dry_reasoning, 1.0::DOUBLE AS dry_score,
-           CASE doc_id % 3 WHEN 0 THEN 'ERROR' WHEN 1 THEN 'CORRECT' ELSE 'WRONG' END AS label,
-           CASE doc_id % 3 WHEN 0 THEN 'Error: no response for this request' ELSE lang END AS reasoning,
-           CASE doc_id % 3 WHEN 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS score
+           CASE lang WHEN 'de' THEN 'ERROR' WHEN 'en' THEN 'CORRECT' ELSE 'WRONG' END AS label,
+           CASE lang WHEN 'de' THEN 'Error: no response for this request' ELSE source END AS reasoning,
+           CASE lang WHEN 'en' THEN 1.0 ELSE 0.0 END::DOUBLE AS score
     FROM documents
     """,
 )
 def infer_judge(spark, sf_dir):
-    n = F.col("doc_id")
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
         F.col("text").alias("question"),
-        n.cast("string").alias("answer"),
+        F.col("doc_id").cast("string").alias("answer"),
         F.col("source").alias("ground_truth"),
         "lang",
     )
-    label = F.when(n % 3 == 1, F.lit("CORRECT")).otherwise(F.lit("WRONG"))
-    response = F.to_json(F.struct(label.alias("label"), F.col("lang").alias("reasoning")))
+    label = F.when(F.col("lang") == "en", F.lit("CORRECT")).otherwise(F.lit("WRONG"))
+    response = F.to_json(F.struct(label.alias("label"), F.col("ground_truth").alias("reasoning")))
     request = prompts.judge_request("question", "ground_truth", "answer")
-    provider = _responses(docs.where(n % 3 != 0), request, response, prompts.JUDGE_INSTRUCTIONS)
+    provider = _responses(docs.where("lang <> 'de'"), request, response, prompts.JUDGE_INSTRUCTIONS)
     dry = inference.judge(docs, DryRun()).withColumnRenamed("judge_result", "dry")
     return inference.judge(dry, provider).select(
         "doc_id",
