@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memoloom.llm import quality, simhash
+from memoloom.llm import packing, quality, simhash, tokens
+from memoloom.workspace import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,3 +39,15 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_simhash_dedup")
 def simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_token_ids")
+def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "token-ids")
+    tokens.write_ids(table(spark, sf_dir, "documents"), path)
+    return tokens.read_ids(spark, path)
+
+
+@query("op8_best_fit_packing")
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
