@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -12,7 +13,7 @@ import duckdb
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 
-import catalog  # noqa: E402
+import __spark_entry__ as registered  # noqa: E402
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -44,12 +45,12 @@ def _rows(columns, rows):
 
 def compare(spark, con, key: str, sf_dir: str) -> tuple[int, str]:
     """Number of rows and "" when equal, else what differs."""
-    catalog.load()
-    df = catalog.QUERIES[key](spark, sf_dir)
+    df = registered.queries()[key](spark, sf_dir)
     got, got_columns = _rows(df.columns, [tuple(r) for r in df.collect()])
-    if key not in catalog.ORACLES:
+    sql = registered.oracle_sql().get(key)
+    if sql is None:
         return len(got), ""
-    result = con.execute(catalog.ORACLES[key])
+    result = con.execute(sql)
     want, want_columns = _rows([c[0] for c in result.description], result.fetchall())
     if got_columns != want_columns:
         return len(got), f"columns {got_columns} != {want_columns}"
@@ -72,11 +73,11 @@ def main() -> None:
     sf_dir = f"/root/testdata/sf{sys.argv[1] if len(sys.argv) > 1 else '0.01'}"
     builder = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
     builder = builder.config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
+    builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="memoloom-oracle-"))
     spark = builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.sparkContext.setLogLevel("OFF")
     con = connect(sf_dir)
-    catalog.load()
-    keys = sys.argv[2:] or list(catalog.QUERIES)
+    keys = sys.argv[2:] or list(registered.queries())
     for key in keys:
         start = time.time()
         try:
@@ -84,7 +85,7 @@ def main() -> None:
         except Exception as error:
             n, problem = -1, f"{type(error).__name__}: {str(error)[:1500]}"
         mark = "ok " if not problem and n > 0 else "BAD"
-        oracle = "O" if key in catalog.ORACLES else "-"
+        oracle = "O" if key in registered.oracle_sql() else "-"
         print(f"{mark} {oracle} {key} rows={n} {time.time() - start:.1f}s {problem}", flush=True)
 
 
