@@ -16,7 +16,8 @@ import numpy as np
 
 MAGIC = b"S8B1"
 BLOCK = 4096
-_HEAD = struct.Struct("<4sQQ")
+_HEAD = "<4sQQ"
+_HEAD_SIZE = struct.calcsize(_HEAD)
 #: Fixed values of the format: (ids, bits each) of every selector; selector 0 is the escape.
 SELECTORS = (
     (1, 60), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6),
@@ -26,13 +27,8 @@ _COUNT = np.array([n for n, _ in SELECTORS])
 
 
 def _widths(values: np.ndarray) -> np.ndarray:
-    width = np.zeros(len(values), np.uint8)
-    rest = values.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        high = rest >> np.uint64(step) != 0
-        width[high] += np.uint8(step)
-        rest[high] >>= np.uint64(step)
-    return width + (rest != 0).astype(np.uint8)
+    """Bits of each value; above 2**53 one more at times, which only makes an escape of it."""
+    return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
 
 
 def _choices(width: np.ndarray) -> np.ndarray:
@@ -88,17 +84,17 @@ def encode(values: np.ndarray) -> bytes:
     escaped = np.flatnonzero(selector == 0)
     words[escaped] = np.arange(len(escaped), dtype=np.uint64)
     offsets = np.searchsorted(owner, np.arange(blocks + 1)).astype("<u4")
-    parts = (_HEAD.pack(MAGIC, n, len(escaped)), offsets.tobytes(), words.astype("<u8").tobytes())
+    parts = (struct.pack(_HEAD, MAGIC, n, len(escaped)), offsets.tobytes(), words.astype("<u8").tobytes())
     return b"".join((*parts, padded[first[escaped]].astype("<u8").tobytes()))
 
 
 def decode(data: bytes) -> np.ndarray:
-    magic, n, escapes = _HEAD.unpack_from(data)
+    magic, n, escapes = struct.unpack_from(_HEAD, data)
     if magic != MAGIC:
         raise ValueError("not a Simple-8b sequence")
     blocks = -(-n // BLOCK)
-    offsets = np.frombuffer(data, "<u4", blocks + 1, _HEAD.size).astype(np.int64)
-    start = _HEAD.size + offsets.nbytes // 2
+    offsets = np.frombuffer(data, "<u4", blocks + 1, _HEAD_SIZE).astype(np.int64)
+    start = _HEAD_SIZE + offsets.nbytes // 2
     words = np.frombuffer(data, "<u8", int(offsets[-1]), start)
     raw = np.frombuffer(data, "<u8", escapes, start + words.nbytes)
     selector = (words >> np.uint64(60)).astype(np.int64)

@@ -26,6 +26,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from memoloom.llm.simple8b import decode, encode
+from memoloom.workspace import materialized
+
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Distinct words that one worker remembers; beyond it, it starts afresh.
 REMEMBERED = 1_000_000
@@ -102,11 +105,9 @@ def write_ids(
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def group(part: int, first: int, names: list[int | None], ids: list[bytes]) -> pa.RecordBatch:
-        from memoloom.llm import simple8b
-
         values = np.frombuffer(b"".join(ids), "<u4")
         lengths = [len(x) // 4 for x in ids]
-        row = ([part], [first], [len(values)], [names], [lengths], [simple8b.encode(values)])
+        row = ([part], [first], [len(values)], [names], [lengths], [encode(values)])
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
         columns = [pa.array(v, k) for v, k in zip(row, kinds, strict=True)]
         return pa.RecordBatch.from_arrays(columns, ["part", "first", "n_ids", "doc_ids", "lengths", "payload"])
@@ -135,15 +136,13 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
     groups = spark.read.schema(GROUPS).parquet(path)
     totals = groups.groupBy("part").agg(F.sum("n_ids").alias("n"))  # as many rows as the writer had tasks
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    bases = totals.select("part", F.coalesce(before, F.lit(0)).alias("base"))
+    bases = materialized(totals.select("part", F.coalesce(before, F.lit(0)).alias("base")), "token-bases")  # size known
     rows = groups.join(bases, "part").select((F.col("base") + F.col("first")).alias("first"), "doc_ids", "lengths", "payload")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from memoloom.llm import simple8b
-
         for batch in batches:
             for row in batch.to_pylist():
-                data = simple8b.decode(row["payload"]).astype("<u4")
+                data = decode(row["payload"]).astype("<u4")
                 ends = np.cumsum(row["lengths"])
                 starts = ends - row["lengths"]
                 cuts = list(zip(starts.tolist(), ends.tolist(), strict=True))
