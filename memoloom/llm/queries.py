@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memoloom.llm import contamination, packing, pivots, quality, simhash, tokens
+from memoloom.llm import contamination, packing, pages, pivots, quality, repeats, simhash, tokens
 from memoloom.workspace import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +108,13 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.nearest_to_every(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_repeated_passages")
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op5_html_extraction")
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"))
