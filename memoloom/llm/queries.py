@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memoloom.llm import contamination, packing, pages, pivots, quality, repeats, simhash, tokens
+from memoloom.llm import contamination, packing, pages, pivots, preferences, quality, repeats, simhash, tokens
 from memoloom.workspace import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,3 +118,54 @@ def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_html_extraction")
 def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(table(spark, sf_dir, "pages"))
+
+
+def _shown(turns: str) -> str:
+    """SQL of (pair_id, text) from numbered turns."""
+    return f"""SELECT pair_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY pos) AS shown
+               FROM {turns} GROUP BY pair_id"""
+
+
+def _spans(turns: str) -> str:
+    """SQL of (pair_id, spans) from the numbered turns of prompt and continuation."""
+    return f"""SELECT pair_id, string_agg(CAST(s AS VARCHAR) || '-' || CAST(s + len(text) + 10 AS VARCHAR), ',' ORDER BY pos) AS spans FROM (
+                 SELECT *, coalesce(sum(len(role) + len(text) + 24) OVER (PARTITION BY pair_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                           + len(role) + 13 AS s FROM {turns}
+               ) WHERE role = 'assistant' AND pos > n_common GROUP BY pair_id"""
+
+
+@query(
+    "op6_preference_formatting",
+    f"""
+    WITH c AS (
+      SELECT conv_id AS pair_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+      FROM conversations WHERE conv_id IS NOT NULL
+    ),
+    ids AS (SELECT pair_id, max(pos) AS n, max(CASE WHEN role = 'assistant' THEN pos END) AS last FROM c GROUP BY pair_id),
+    reply AS (SELECT c.pair_id - 1 AS pair_id, c.text FROM c JOIN ids ON c.pair_id = ids.pair_id AND c.pos = ids.last),
+    r AS (
+      SELECT pair_id, role, text, row_number() OVER (PARTITION BY pair_id ORDER BY pos) AS pos FROM (
+        SELECT c.pair_id, c.role, CASE WHEN c.pos = ids.last THEN reply.text ELSE c.text END AS text, c.pos
+        FROM c JOIN ids ON c.pair_id = ids.pair_id LEFT JOIN reply ON reply.pair_id = c.pair_id
+      ) WHERE text IS NOT NULL
+    ),
+    differ AS (
+      SELECT pair_id, min(pos) - 1 AS n FROM (
+        SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.pos, r.pos) AS pos FROM c FULL JOIN r ON c.pair_id = r.pair_id AND c.pos = r.pos
+        WHERE c.pos IS NULL OR r.pos IS NULL OR c.role <> r.role OR c.text <> r.text
+      ) GROUP BY pair_id
+    ),
+    k AS (SELECT ids.pair_id, coalesce(differ.n, ids.n) AS n_common FROM ids LEFT JOIN differ ON ids.pair_id = differ.pair_id),
+    ck AS (SELECT c.*, k.n_common FROM c JOIN k ON c.pair_id = k.pair_id),
+    rk AS (SELECT r.*, k.n_common FROM r JOIN k ON r.pair_id = k.pair_id)
+    SELECT k.pair_id, CAST(k.n_common AS BIGINT) AS n_common, coalesce(p.shown, '') AS prompt, coalesce(x.shown, '') AS chosen,
+           coalesce(y.shown, '') AS rejected, coalesce(cm.spans, '') AS chosen_mask, coalesce(rm.spans, '') AS rejected_mask
+    FROM k LEFT JOIN ({_shown('(SELECT * FROM ck WHERE pos <= n_common)')}) p ON p.pair_id = k.pair_id
+    LEFT JOIN ({_shown('(SELECT * FROM ck WHERE pos > n_common)')}) x ON x.pair_id = k.pair_id
+    LEFT JOIN ({_shown('(SELECT * FROM rk WHERE pos > n_common)')}) y ON y.pair_id = k.pair_id
+    LEFT JOIN ({_spans('ck')}) cm ON cm.pair_id = k.pair_id LEFT JOIN ({_spans('rk')}) rm ON rm.pair_id = k.pair_id
+    """,
+)
+def preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preferences.preference_text(table(spark, sf_dir, "conversations"))
