@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memoloom.llm import contamination, packing, pages, pivots, preferences, quality, repeats, simhash, tokens
+from memoloom.llm import contamination, licences, packing, pages, pivots, preferences, quality, repeats, simhash, tokens
 from memoloom.workspace import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,3 +169,8 @@ def _spans(turns: str) -> str:
 )
 def preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preferences.preference_text(table(spark, sf_dir, "conversations"))
+
+
+@query("op1_licence_scan")
+def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.document_licences(table(spark, sf_dir, "documents"))
