@@ -1,6 +1,6 @@
 """Repeated passages: bytes covered by a 50-byte string that also starts in a document with a smaller id.
 
-1. Each 50-byte window is owned by its smallest 16-byte hash, its anchor; windows in a row with one anchor form a range
+1. Each 50-byte window is owned by its smallest 24-byte hash, its anchor; windows in a row with one anchor form a range
    of at most 32, whose context is all bytes they cover. Equal windows have equal anchors, so a window can only repeat
    inside one anchor. Ranges go, packed per chunk of text, to the bucket of their anchor. Copies inside a chunk are
    settled before that, so a passage that very many documents share reaches a bucket once for each chunk.
@@ -13,7 +13,7 @@
 4. An anchor with very many contexts would make a hot cell. Its open ranges are cut into single windows instead, and
    these go through step 1 and 2 again, dealt by their own hash: equal windows collapse per chunk, others spread.
 
-Everything is judged on the input texts. Bytes are compared by 96 bits of hashes in step 2 and by themselves in step 3.
+Everything is judged on the input texts. Bytes are compared by 80 bits of hashes in step 2 and by themselves in step 3.
 
 Defined results: a null text is empty; texts below 50 bytes are kept whole; rows that share an id never match each other;
 rows with a null id lose nothing and cause nothing to be lost; repeated rows give equal rows. Long texts are cut into
@@ -28,23 +28,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memoloom.llm.run_index import RunIndex
-from memoloom.workspace import materialized
+from memoloom.llm.storage import written
 
 LENGTH = 50
-ANCHOR = 16
+ANCHOR = 24
 #: Windows of one range at most (five bits), bytes of a segment and of a chunk.
 RANGE = 32
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 #: Contexts of an anchor that share a cell; more are cut into windows.
-CELL_CONTEXTS = 64
-BUCKETS_PER_PARTITION = 4
+CELL_CONTEXTS = 32
+CELLS_PER_PARTITION = 8
 
 _WHOLE, _OPEN, _HOT = 1, 2, 3
-_MARK = np.dtype([("start", "<i8"), ("anchor", "<u8"), ("n", "u1"), ("status", "u1")])
+#: A mark is a range: its first window and how many, in one number; an open one has its anchor and status too.
+_OPEN_MARK = np.dtype([("range", "<i8"), ("anchor", "<u4"), ("status", "u1")])
+#: What a packet says of each of its documents: id, tag, number of the segment, number of ranges.
+_DOC = np.dtype([("id", "<i8"), ("tag", "<u4"), ("segment", "<u2"), ("n", "<u2")])
 _POWER = 0x9E3779B97F4A7C15
 
 
@@ -154,10 +157,8 @@ def _marked_rows(ids, keys, marks: np.ndarray) -> list[tuple[int, int, bytes]]:
     return [(int(ids[a]), int(keys[a]), marks[a:b].tobytes()) for a, b in zip(heads.tolist(), ends.tolist(), strict=True)]
 
 
-def _marks(start, anchor, n, status) -> np.ndarray:
-    out = np.zeros(len(start), _MARK)
-    out["start"], out["anchor"], out["n"], out["status"] = start, anchor, n, status
-    return out
+def _range(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return start.astype(np.int64) << 5 | (n.astype(np.int64) - 1)
 
 
 def _packets(chunk: Chunk, owner, start, n, anchor, context, route, buckets: int) -> Iterator[tuple]:
@@ -171,20 +172,21 @@ def _packets(chunk: Chunk, owner, start, n, anchor, context, route, buckets: int
     place = start - chunk.begins[owner]
     bucket = (route % np.uint64(buckets)).astype(np.int64)
     settled = np.flatnonzero(later)
-    marks = _marks((place + chunk.bases[owner])[settled], anchor[settled], n[settled], _WHOLE)
-    for k, row in enumerate(_marked_rows(ids[settled], chunk.keys[owner][settled], marks)):
-        yield ((row[0] + k) % buckets, None, None, None, None, *row)
+    marks = _range((place + chunk.bases[owner])[settled], n[settled])
+    for row in _marked_rows(ids[settled], chunk.keys[owner][settled], marks):
+        yield (row[0] % buckets, None, None, None, None, *row)
     sent = np.flatnonzero(~later)
-    sent = sent[np.argsort(bucket[sent], kind="stable")]
+    sent = sent[np.lexsort((owner[sent], bucket[sent]))]
     heads = np.flatnonzero(np.r_[True, bucket[sent][1:] != bucket[sent][:-1]]) if len(sent) else np.zeros(0, int)
+    short = (anchor >> np.uint64(32)).astype("<u4")
+    digest = context.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]
+    places = _range(place + (chunk.bases % SEGMENT)[owner], n).astype("<u4")
     for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(sent)], strict=True):
         part = sent[a:b]
         who, counts = np.unique(owner[part], return_counts=True)
-        docs = np.stack([chunk.ids[who], chunk.keys[who], chunk.bases[who], counts], axis=1).astype("<i8").tobytes()
-        by_owner = part[np.argsort(owner[part], kind="stable")]
-        anchors = (anchor[by_owner] >> np.uint64(32)).astype("<u4").tobytes()
-        places = (place[by_owner] << 5 | (n[by_owner] - 1)).astype("<u4").tobytes()
-        yield (int(bucket[part[0]]), anchors, context[by_owner].astype("<u8").tobytes(), places, docs, None, None, None)
+        docs = np.zeros(len(who), _DOC)
+        docs["id"], docs["tag"], docs["segment"], docs["n"] = chunk.ids[who], chunk.keys[who], chunk.bases[who] // SEGMENT, counts
+        yield (int(bucket[part[0]]), short[part].tobytes(), digest[part].tobytes(), places[part].tobytes(), docs.tobytes(), None, None, None)
 
 
 def _send(buckets: int):
@@ -227,9 +229,12 @@ def _settle(single: bool):
         if not packets:
             return []
         gather = lambda name, kind: np.concatenate([np.frombuffer(p[name], kind) for p in packets])
-        anchors, contexts, places = gather("anchors", "<u4"), gather("contexts", "<u8"), gather("places", "<u4").astype(np.int64)
-        docs = gather("docs", "<i8").reshape(-1, 4)
-        ids, keys, bases = (np.repeat(docs[:, i], docs[:, 3]) for i in range(3))
+        anchors, places, docs = gather("anchors", "<u4"), gather("places", "<u4"), gather("docs", _DOC)
+        digest = np.zeros((len(anchors), 8), np.uint8)
+        digest[:, 2:] = gather("contexts", np.uint8).reshape(-1, 6)
+        contexts = digest.view("<u8")[:, 0]
+        owner = np.repeat(np.arange(len(docs)), docs["n"])
+        ids = docs["id"][owner]
         order = np.lexsort((ids, contexts, anchors))
         new_anchor = np.r_[True, anchors[order][1:] != anchors[order][:-1]]
         new = new_anchor | np.r_[True, contexts[order][1:] != contexts[order][:-1]]
@@ -241,12 +246,18 @@ def _settle(single: bool):
             status[contexts_of > 1] = _OPEN
             status[contexts_of > CELL_CONTEXTS] = _HOT
         status[ids[order] > least] = _WHOLE
-        kept = status > 0
-        at = order[kept]
-        marks = _marks((places >> 5)[at] + bases[at], anchors[at], (places & 31)[at] + 1, status[kept])
-        whole = marks["status"] == _WHOLE
-        rows = [(*row, False) for row in _marked_rows(ids[at[whole]], keys[at[whole]], marks[whole])]
-        return rows + [(*row, True) for row in _marked_rows(ids[at[~whole]], keys[at[~whole]], marks[~whole])]
+        rows = []
+        for open_ in (False, True):
+            chosen = np.flatnonzero((status > _WHOLE) if open_ else (status == _WHOLE))
+            at = order[chosen]
+            base = docs["segment"][owner[at]].astype(np.int64) * SEGMENT
+            marks = places[at].astype(np.int64) + (base << 5)
+            if open_:
+                whole = np.zeros(len(at), _OPEN_MARK)
+                whole["range"], whole["anchor"], whole["status"] = marks, anchors[at], status[chosen]
+                marks = whole
+            rows += [(*row, open_) for row in _marked_rows(ids[at], docs["tag"][owner[at]], marks)]
+        return rows
 
     return task
 
@@ -255,33 +266,36 @@ _CELL = "cell long, anchor long, doc_id long, text_key long, start long, context
 _CELL_NAMES = ["cell", "anchor", "doc_id", "text_key", "start", "context"]
 
 
-def _reopen(buckets: int):
+def _reopen(buckets: int, cell_count: int):
     """Over (doc_id, text_key, packed text, marks): cells rows of open ranges, packets of the windows of hot ones."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _powers()
         unpack = zstandard.ZstdDecompressor().decompress
         kinds = [pa.int64()] * 5 + [pa.binary()]
+        cells, hot, size = [], [], 0
         for batch in batches:
-            cells, hot, size = [], [], 0
-            for row in batch.to_pylist():
-                data = unpack(row["packed"])
-                marks = np.frombuffer(b"".join(row["marks"]), _MARK)
-                marks = marks[marks["status"] > _WHOLE]
-                for start, anchor, n, status in marks.tolist():
-                    context = data[start : start + n + LENGTH - 1]
+            for i in range(batch.num_rows):
+                doc_id, key, packed, marks = (batch.column(c)[i].as_py() for c in range(4))
+                data = unpack(packed)
+                for place, anchor, status in np.frombuffer(b"".join(marks), _OPEN_MARK).tolist():
+                    start = place >> 5
+                    context = data[start : start + (place & 31) + LENGTH]
                     if status == _OPEN:
-                        cells.append((anchor % buckets, anchor, row["doc_id"], row["text_key"], start, context))
+                        cells.append((anchor % cell_count, anchor, doc_id, key, start, context))
                     else:
-                        hot.append((row["doc_id"], row["text_key"], start, context))
+                        hot.append((doc_id, key, start, context))
                         size += len(context)
-                        if size >= SEGMENT:
-                            yield windows(hot, powers)
-                            hot, size = [], 0
-            if cells:
-                yield both(_batch(cells, _CELL_NAMES, kinds), None)
-            if hot:
-                yield windows(hot, powers)
+                    if size >= SEGMENT:
+                        yield windows(hot, powers)
+                        hot, size = [], 0
+                if len(cells) >= 10_000:
+                    yield both(_batch(cells, _CELL_NAMES, kinds), None)
+                    cells = []
+        if cells:
+            yield both(_batch(cells, _CELL_NAMES, kinds), None)
+        if hot:
+            yield windows(hot, powers)
 
     def windows(hot: list[tuple], powers: np.ndarray) -> pa.RecordBatch:
         chunk = Chunk(hot, powers)
@@ -360,15 +374,20 @@ def _in_cell(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     for i, hit in found.items():
         edges = np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0]))
         first, n = edges[::2], edges[1::2] - edges[::2]
-        out.append((int(ids[i]), keys[i], _marks(starts[i] + first, 0, n, _WHOLE).tobytes(), False))
+        out.append((int(ids[i]), keys[i], _range(starts[i] + first, n).tobytes(), False))
     if out:
         yield _batch(out, _MARKED_NAMES, _MARKED_KINDS)
 
 
+def text_key(text: Column) -> Column:
+    """32 bits that tell texts apart which share an id."""
+    return F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(0xFFFFFFFF)
+
+
 def _packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text_key, packed): texts as compressed bytes; the key tells texts apart that share an id."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text).alias("text_key"), text.alias("text"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
@@ -380,19 +399,23 @@ def _packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _settled(packets: DataFrame, single: bool) -> DataFrame:
-    return packets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_settle(single), _MARKED)
+    buckets = _partitions(packets)
+    return packets.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket").mapInArrow(_settle(single), _MARKED)
+
+
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, marks): the ranges of windows that a smaller document has too, in packed form."""
-    spark = docs.sparkSession
-    buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = _partitions(docs)
     packed = _packed(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    first = materialized(_settled(packed.mapInArrow(_send(buckets), _PACKET), False), "repeats-first")
+    first = written(_settled(packed.mapInArrow(_send(buckets), _PACKET), False), "repeats-first")
     waiting = first.where("open").groupBy("doc_id", "text_key").agg(F.collect_list("marks").alias("marks"))
     joined = packed.join(waiting, ["doc_id", "text_key"])
     schema = f"{_prefixed(_CELL, 'c_')}, {_prefixed(_PACKET, 'p_')}"
-    opened = materialized(joined.mapInArrow(_reopen(buckets), schema), "repeats-open")
+    opened = written(joined.mapInArrow(_reopen(buckets, CELLS_PER_PARTITION * buckets), schema), "repeats-open")
     cells = opened.where("c_cell is not null").select(*[F.col(f"c_{c}").alias(c) for c in _CELL_NAMES])
     cells = cells.repartition("cell").sortWithinPartitions("cell")
     windows = opened.where("p_bucket is not null").select(*[F.col(f"p_{c}").alias(c) for c in _PACKET_NAMES])
@@ -419,10 +442,11 @@ def _cut(whole: bool):
             yield _batch(out, names, kinds)
 
     def removed(size: int, packed: list[bytes]) -> np.ndarray:
-        marks = np.frombuffer(b"".join(packed), _MARK)
+        marks = np.frombuffer(b"".join(packed), "<i8")
+        start, n = marks >> 5, (marks & 31) + 1
         change = np.zeros(size + 1, np.int64)
-        np.add.at(change, marks["start"], 1)
-        np.add.at(change, marks["start"] + marks["n"].astype(np.int64) + LENGTH - 1, -1)
+        np.add.at(change, start, 1)
+        np.add.at(change, start + n + LENGTH - 1, -1)
         return np.cumsum(change[:size]) > 0
 
     def characters(data: bytes, gone: np.ndarray) -> str:
