@@ -99,8 +99,7 @@ def agg_score_report(spark, sf_dir):
     f"""
     WITH {SQL_JUDGED}
     SELECT item_id, coalesce(user_id, 'unknown') AS user_id,
-           CASE WHEN length(question) > 60 THEN substr(question, 1, 60) || '...' ELSE question END AS question,
-           coalesce(reasoning, 'No reasoning') AS reasoning, score
+           question, coalesce(reasoning, 'No reasoning') AS reasoning, score
     FROM judged WHERE score < 1.0
     """,
 )
@@ -278,9 +277,8 @@ def status_client():
     SELECT doc_id, 'Dry-run ingest: ' || path AS dry_response,
            CASE WHEN body = '' THEN 'Skipped: empty text'
                 ELSE 'Ingested via chat. Response: '
-                  || substr(CASE WHEN doc_id % 2 = 0 THEN source ELSE 'user_' || substr(md5(path), 1, 8) END
-                    || ' [remember what''s said, keep existing memory]' || chr(10) || chr(10) || body, 1, 50)
-                  || '...' END AS agent_response
+                  || CASE WHEN doc_id % 2 = 0 THEN source ELSE 'user_' || substr(md5(path), 1, 8) END
+                    || ' [remember what''s said, keep existing memory]' || chr(10) || chr(10) || body END AS agent_response
     FROM told
     """,
 )

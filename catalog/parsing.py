@@ -167,15 +167,15 @@ def _result_files(spark, sf_dir):
       SELECT *, doc_id // {ITEMS_PER_RESULT_FILE} AS number,
              CASE WHEN doc_id % 6 <> 0 THEN ((doc_id % 4) / 4.0)::DOUBLE END AS score,
              CASE WHEN doc_id % 5 <> 0 THEN source END AS truth
-      FROM documents WHERE doc_id % {ITEMS_PER_RESULT_FILE} < 32)
-    SELECT 'Record R' || number || ', category ' || lang || ', question ' || doc_id || ' evaluation result.'
+      FROM documents)
+    SELECT 'Graded item ' || doc_id || ' of R' || number || ' (' || lang || ').'
              || CASE WHEN {sql_strip("text")} <> '' THEN ' Question: ' || {sql_strip("text")} ELSE '' END
              || coalesce(' Ground Truth: ' || truth, '')
-             || coalesce(' The score for this question is approximately ' || score || '.', '') AS text,
+             || coalesce(' Graded with ' || score || '.', '') AS text,
            'fact' AS category, 'global' AS scope, 0.6::DOUBLE AS importance,
            'result' AS source, '/in/result_' || number || '.json' AS meta_path, 'R' || number AS record_id,
            doc_id::VARCHAR AS question_index, lang AS category_raw, score::VARCHAR AS score,
-           'Keywords: R' || number || '; ' || lang || '; evaluation' AS keywords_line
+           'R' || number || ', ' || lang || ', graded item' AS keywords_line
     FROM items WHERE {sql_strip("text")} <> '' OR truth IS NOT NULL
     """,
 )
@@ -202,7 +202,7 @@ def src_result_json(spark, sf_dir):
     SELECT {sql_choice("doc_id", "'markdown'", "'markdown'", "'jsonl'", "'result'", "'text'", "'text'", "'text'")}
              AS source, count(*) AS memories,
            sum(length(CASE WHEN doc_id % 7 = 3
-                           THEN 'Record R1, category ' || lang || ', question None evaluation result. Question: '
+                           THEN 'Graded item None of R1 (' || lang || '). Question: '
                                 || {sql_strip(SQL_ONE_LINE)}
                            ELSE {sql_strip(SQL_ONE_LINE)} END))::BIGINT AS characters
     FROM documents WHERE {sql_strip(SQL_ONE_LINE)} <> '' GROUP BY 1
@@ -472,7 +472,7 @@ def fn_response_text(spark, sf_dir):
            'Question: ' || lang || chr(10) || chr(10) || 'Related Memories:' || chr(10) || text AS answer_request,
            '{' || lang || '} ' || source || ' = ' || text || ' {answer}' AS judge_request,
            '[remember what''s said, keep existing memory]' || chr(10) || chr(10) || text AS ingest_request,
-           'Ingested via chat. Response: ' || substr(text, 1, 50) || '...' AS ingest_status
+           'Ingested via chat. Response: ' || text AS ingest_status
     FROM documents
     """,
 )

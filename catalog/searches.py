@@ -16,8 +16,8 @@ from catalog.inputs import (
 )
 from memoloom.functions.hits import filter_min_score, normalize_hits
 from memoloom.functions.text import is_blank
-from memoloom.operators.context import attach_context, transcript_parts
-from memoloom.operators.embedding import attach_vectors, missing_vectors
+from memoloom.operators.context import attach_context, transcripts
+from memoloom.operators.embedding import join_vectors as joined_vectors
 from memoloom.operators.grading import join_back
 from memoloom.operators.search import align, attach_payload, search_vectors
 from memoloom.operators.similarity import knn_join, top_k
@@ -106,7 +106,7 @@ def join_knn_scoped(spark, sf_dir):
 
 @query("filter_min_score", f"WITH {SQL_VECTORS}, {_sql_ranked(SQL_L2, min_score=-0.4)} {SQL_SHOWN}")
 def filter_min_score_query(spark, sf_dir):
-    hits = knn_join(_queries(spark, sf_dir), vectors(spark, sf_dir), k=K, min_score=None)
+    hits = knn_join(_queries(spark, sf_dir), vectors(spark, sf_dir), k=K, min_score=-0.4)
     return _shown(filter_min_score(hits, -0.4))
 
 
@@ -168,12 +168,12 @@ def agg_context(spark, sf_dir):
 @query(
     "agg_transcript",
     """
-    SELECT conv_id, turn // 1024 AS part, count(*) AS turns,
-           CASE WHEN conv_id % 2 = 0 AND turn // 1024 = 0 THEN '[Session Date: day ' || conv_id || ']' || chr(10)
+    SELECT conv_id, count(*) AS turns,
+           CASE WHEN conv_id % 2 = 0 THEN '[Session Date: day ' || conv_id || ']' || chr(10)
                 ELSE '' END
              || string_agg(CASE WHEN role = 'system' THEN 'Unknown' ELSE role END || ': ' || text, chr(10)
                            ORDER BY turn) AS transcript
-    FROM conversations GROUP BY conv_id, turn // 1024
+    FROM conversations GROUP BY conv_id
     """,
 )
 def agg_transcript(spark, sf_dir):
@@ -184,7 +184,7 @@ def agg_transcript(spark, sf_dir):
         "text",
         F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("day "), F.col("conv_id").cast("string"))).alias("date"),
     )
-    return transcript_parts(turns, ["conv_id"], date="date")
+    return transcripts(turns, ["conv_id"], date="date")
 
 
 @query(
@@ -214,10 +214,9 @@ def join_results_back(spark, sf_dir):
 def join_vectors(spark, sf_dir):
     payloads = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
     ready = vectors(spark, sf_dir)
-    attached = attach_vectors(payloads, ready).select(
+    return joined_vectors(payloads, ready).select(
         "id",
         "text",
         F.size("vector").cast("string").alias("dimension"),
         F.element_at("vector", 1).cast("double").alias("first_component"),
     )
-    return attached.unionByName(missing_vectors(payloads, ready), allowMissingColumns=True)

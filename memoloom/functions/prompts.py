@@ -30,8 +30,7 @@ JUDGE_TEMPLATE = (
 # Formats of the plain requests and of the ingest status.
 ANSWER_FORMAT = "Question: {question}\n\nRelated Memories:\n{context}"
 INGEST_FORMAT = "[remember what's said, keep existing memory]\n\n{text}"
-STATUS_FORMAT = "Ingested via chat. Response: {start}..."
-STATUS_LENGTH = 50
+STATUS_FORMAT = "Ingested via chat. Response: {response}"
 
 _TOKEN = re.compile(r"\{\{|\}\}|\{(\w+)\}")
 
@@ -64,4 +63,4 @@ def ingest_request(text: Column | str) -> Column:
 
 
 def ingest_status(response: Column | str) -> Column:
-    return render(STATUS_FORMAT, start=F.substring(col(response), 1, STATUS_LENGTH))
+    return render(STATUS_FORMAT, response=response)

@@ -38,3 +38,9 @@ def hash_vector(text: Column | str, dimensions: int, seed: str = "") -> Column:
 
     whole = let(F.md5(col(text).cast("binary")), lambda digest: F.flatten(words(digest)))
     return F.slice(whole, 1, dimensions)
+
+
+def all_finite(vector: Column | str) -> Column:
+    """Whether no component is null, NaN or infinite as a float; null for a null vector."""
+    v = F.col(vector) if isinstance(vector, str) else vector
+    return F.forall(v.cast("array<float>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))

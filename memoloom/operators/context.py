@@ -13,6 +13,7 @@ from memoloom.schemas import DEFAULT_CATEGORY, GLOBAL_SCOPE
 DATE_OPEN, DATE_CLOSE = "[Session Date: ", "]"
 UNKNOWN_SPEAKER = "Unknown"
 
+# How many turns are gathered at a time while a transcript is put together.
 TURNS_PER_PART = 1024
 
 
@@ -67,7 +68,8 @@ def transcript_parts(
 
 
 def transcripts(turns: DataFrame, by: list[str], **options) -> DataFrame:
-    """One transcript per session: the parts joined. A transcript is one value, so it has to fit into one row."""
+    """by, transcript, turns: one transcript per session, however long. A transcript is one value of one row; on the way
+    there a task gathers the lines of a part, then the parts of a session."""
     parts = transcript_parts(turns, by, **options)
     return parts.groupBy(*by).agg(
         F.expr("listagg(transcript, '\\n') WITHIN GROUP (ORDER BY part)").alias("transcript"),

@@ -20,6 +20,8 @@ class Embedder:
     """Maps texts to vectors of `dimensions` floats; an empty or null text becomes the zero vector."""
 
     dimensions: int
+    costly = False
+    """Whether vectors are worth storing rather than computing again."""
 
     def vector(self, text: Column) -> Column:
         raise NotImplementedError
@@ -63,10 +65,12 @@ class ModelEmbedder(Embedder):
     batch_size: int = 32
     normalize: bool = True
     query_instruction: str = ""
+    costly = True
 
     def vector(self, text: Column) -> Column:
         udf = predict_batch_udf(self.make_predict, return_type=VECTOR, batch_size=self.batch_size)
-        v = udf(F.coalesce(text, F.lit("")))
+        # a model is called once for a row, whatever filters the optimizer moves or infers
+        v = udf.asNondeterministic()(F.coalesce(text, F.lit("")))
         return l2_normalize(v) if self.normalize else v
 
     def embed_query(self, text: Column | str) -> Column:
@@ -79,11 +83,17 @@ def embed(df: DataFrame, embedder: Embedder, text: str = "text", out: str = "vec
     return df.withColumn(out, embedder.embed_query(text) if query else embedder.embed_passage(text))
 
 
+def join_vectors(payloads: DataFrame, vectors: DataFrame, on: str = "id", vector: str = "vector") -> DataFrame:
+    """Payloads with ready-made vectors, joined on id; payloads for which none is at hand keep null."""
+    return payloads.join(vectors.select(on, vector), on, "left")
+
+
 def attach_vectors(payloads: DataFrame, vectors: DataFrame, on: str = "id", vector: str = "vector") -> DataFrame:
-    """Payloads with ready-made vectors, joined on id; payloads without one are left out."""
+    """Payloads with ready-made vectors; payloads without one are left out."""
     return payloads.join(vectors.select(on, vector), on)
 
 
-def missing_vectors(payloads: DataFrame, vectors: DataFrame, on: str = "id") -> DataFrame:
+def missing_vectors(payloads: DataFrame, vectors: DataFrame, on: str = "id", vector: str = "vector") -> DataFrame:
     """Payloads for which no vector is at hand."""
-    return payloads.join(vectors.select(on), on, "left_anti")
+    joined = join_vectors(payloads, vectors.withColumn(vector, F.lit(True)), on, vector)
+    return joined.where(F.col(vector).isNull()).drop(vector)

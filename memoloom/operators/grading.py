@@ -14,7 +14,6 @@ MISSING_TRUTH = ("No gold", "No valid gold")
 MISSING_TRUTH_ANY_CASE = "empty"
 UNKNOWN_USER = "unknown"
 NO_REASONING = "No reasoning"
-QUESTION_SHOWN = 60
 
 
 def join_back(items: DataFrame, results: DataFrame, on: str = "item_id") -> DataFrame:
@@ -33,16 +32,12 @@ def accuracy(judged: DataFrame) -> DataFrame:
 
 
 def failures(judged: DataFrame) -> DataFrame:
-    """The answers scored below 1, with a shortened question for display."""
-    question = F.coalesce("question", F.lit(""))
-    shown = F.when(
-        F.length(question) > QUESTION_SHOWN, F.concat(F.substring(question, 1, QUESTION_SHOWN), F.lit("..."))
-    ).otherwise(question)
+    """The answers scored below 1, with their questions."""
     kept = [c for c in ("item_id", "query_id") if c in judged.columns]
     return judged.where(F.col("judge_result.score") < 1.0).select(
         *kept,
         F.coalesce(column_or(judged, "user_id"), F.lit(UNKNOWN_USER)).alias("user_id"),
-        shown.alias("question"),
+        F.coalesce("question", F.lit("")).alias("question"),
         F.coalesce("judge_result.reasoning", F.lit(NO_REASONING)).alias("reasoning"),
         F.col("judge_result.score").alias("score"),
     )

@@ -162,7 +162,7 @@ def _caller(provider: ModelCalls, system: str, params: dict, retry: Retry):
                 rows = zip(batch["request"], batch["user"])
                 yield pd.DataFrame(list(pool.map(one, rows)), columns=["response", "error"])
 
-    return call
+    return call.asNondeterministic()  # one call for a row, whatever filters the optimizer moves or infers
 
 
 def _named_user(df: DataFrame, name: str) -> Column:

@@ -99,6 +99,8 @@ def search_batch(
     """One row per hit for queries (query_id, query, optional user_id); blank queries have none."""
     texts = queries.withColumn("query", strip("query")).where(~is_blank("query"))
     asked = embed(texts, embedder, "query", query=True)
+    if embedder.costly:
+        asked = materialized(asked, "queries")  # the search reads its queries several times
     hits = search_vectors(asked, memories, top_k=top_k, min_score=min_score, metric=metric, **options)
     hits = materialized(hits, "hits")
     return normalize_hits(attach_payload(hits, with_scope(memories)))

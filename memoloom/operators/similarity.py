@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from memoloom.functions.vectors import all_finite
 from memoloom.operators.topk import METRICS, RunningTopK
 from memoloom.schemas import DEFAULT_MIN_SCORE, DEFAULT_TOP_K
 
@@ -68,6 +69,9 @@ def knn_join(
 ) -> DataFrame:
     """query_id, id, score, rank of the k best memories per query with score >= min_score.
 
+    A query or memory whose vector is null or has a component that is null, NaN or infinite takes no part; it costs no
+    other row anything.
+
     `query_scopes` names an ARRAY<STRING> column with the scopes a query may read; null means all memories. Query ids
     must be unique. `spread_by` names further memory columns (e.g. a row position) that tell copies with equal ids
     apart when cells are formed.
@@ -92,7 +96,7 @@ def knn_join(
 
     carried = _carried(q, carried_queries)
     if carried is not None:
-        present = m.where(F.col("vector").isNotNull())
+        present = m.where(_usable())
         hits = _scan_with_carried(carried, present, q.schema["query_id"].dataType, k, min_score, metric)
     else:
         hits = _meet_in_cells(q, m, k, min_score, metric)
@@ -106,7 +110,7 @@ def _carried(q: DataFrame, limit: int) -> pa.Table | None:
     """The queries as a local table when they are few enough, else None. Never fetches more than limit + 1 rows."""
     if limit <= 0:
         return None
-    table = q.where(F.col("vector").isNotNull()).limit(limit + 1).toArrow()
+    table = q.where(_usable()).limit(limit + 1).toArrow()
     if table.num_rows > limit or table.nbytes > CARRIED_BYTES:
         return None
     return table
@@ -166,6 +170,11 @@ def _parts(rows: DataFrame, wanted: int, name: str, always: str) -> DataFrame:
     return cut.select("key", F.least(F.ceil(F.col("n") / wanted), F.lit(MAX_PARTS)).cast("int").alias(name))
 
 
+def _usable() -> Column:
+    """Whether a row's vector can be compared."""
+    return F.coalesce(all_finite("vector"), F.lit(False))
+
+
 def _part(spread: Column, parts: Column) -> Column:
     return F.pmod(spread, parts).cast("int")
 
@@ -192,7 +201,7 @@ def _meet_in_cells(q: DataFrame, m: DataFrame, k, min_score, metric) -> DataFram
     qp, mp = F.coalesce("qp", F.lit(1)), F.coalesce("mp", F.lit(1))
 
     id_type, memory_id_type = q.schema["query_id"].dataType, m.schema["id"].dataType
-    left = q.where(F.col("vector").isNotNull()).join(parts, "key", "left").select(
+    left = q.where(_usable()).join(parts, "key", "left").select(
         "key",
         _part(F.xxhash64("query_id"), qp).alias("qn"),
         _each(mp).alias("mn"),
@@ -202,7 +211,7 @@ def _meet_in_cells(q: DataFrame, m: DataFrame, k, min_score, metric) -> DataFram
         "vector",
     )
     # Without a query that reads everything, the copy of the memories for such queries is not made.
-    right = m.where(F.col("vector").isNotNull()).join(parts, "key", "left")
+    right = m.where(_usable()).join(parts, "key", "left")
     right = right.where((F.col("key") != _ALL) | F.col("qp").isNotNull()).select(
         "key",
         _each(qp).alias("qn"),

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memoloom import schemas as S
 from memoloom.functions.entries import materialize, normalize_entries
 from memoloom.functions.text import is_blank, strip
 from memoloom.operators import grading, inference
@@ -28,7 +27,7 @@ def import_payloads(
     spark: SparkSession,
     paths: list[str],
     input_format: str = "auto",
-    max_items: int = S.RESULT_ITEMS_PER_FILE,
+    max_items: int | None = None,
     wording: parsers.ResultWording = parsers.ResultWording(),
 ) -> DataFrame:
     """Payloads of all files below `paths`.

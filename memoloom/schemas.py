@@ -25,7 +25,6 @@ IMPORTANCE_EXTRACTED = 0.5
 DEFAULT_TOP_K = 10
 DEFAULT_MIN_SCORE = 0.3
 CORRECT_THRESHOLD = 0.7
-RESULT_ITEMS_PER_FILE = 32
 
 # A memory before embedding. `metadata` is a JSON object kept as text.
 PAYLOAD = T.StructType(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from memoloom.functions.vectors import all_finite
 from memoloom.schemas import memory_schema
 
 _DIMENSION = "dimension"
@@ -54,13 +55,13 @@ def table_mode(table: DataFrame) -> str:
 
 
 def checked_vector(vector: Column | str, dimension: int) -> Column:
-    """The vector, or an error when its length differs or a component is null."""
+    """The vector, or an error when its length differs or a component is null, NaN or infinite."""
     v = F.col(vector) if isinstance(vector, str) else vector
     message = F.concat(
-        F.lit(f"vector dimension mismatch: expected {dimension}, got "),
+        F.lit(f"vector dimension mismatch: expected {dimension} finite components, got "),
         F.coalesce(F.size(v).cast("string"), F.lit("null")),
     )
-    fits = (F.size(v) == dimension) & ~F.exists(v, lambda x: x.isNull())
+    fits = F.coalesce((F.size(v) == dimension) & all_finite(v), F.lit(False))
     return F.when(fits, v.cast("array<float>")).otherwise(F.raise_error(message).cast("array<float>"))
 
 

@@ -2,31 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-_LOCAL: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one only for a local master, as in tests."""
+    """Folder named by ``spark.checkpoint.dir``."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    application = spark.conf.get("spark.app.id", "")
-    if application not in _LOCAL:
-        _LOCAL[application] = tempfile.mkdtemp(prefix="memoloom-")
-    return _LOCAL[application]
+    if not folder:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder.rstrip("/")
+
+
+def run_folder(spark: SparkSession) -> str:
+    """Folder of this application below the shared one: what a run leaves there can be removed by its name."""
+    return f"{shared_folder(spark)}/{spark.conf.get('spark.app.id', 'application')}"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path below the folder of this application."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialized(df: DataFrame, name: str) -> DataFrame:

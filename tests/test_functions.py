@@ -122,7 +122,7 @@ def test_response_text(spark):
 
 def test_render(spark):
     assert values(spark, prompts.render("{{{x}}} and {x}!", x="x"), ["a", None]) == ["{a} and a!", "{} and !"]
-    assert values(spark, prompts.ingest_status("x"), ["é" * 60])[0] == "Ingested via chat. Response: " + "é" * 50 + "..."
+    assert values(spark, prompts.ingest_status("x"), ["é" * 60])[0] == "Ingested via chat. Response: " + "é" * 60
     (request,) = values(spark, prompts.judge_request("x", F.lit("g"), F.lit("{w}")), ["q"])
     assert "Question: q\n" in request and "{w}" in request and '{"label"' in request
 

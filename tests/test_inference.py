@@ -138,7 +138,7 @@ def test_agent_ingest(spark):
     texts = spark.createDataFrame([(1, "good", "a/b", None), (2, "", "p", None), (3, "bad", "p", "u")], "n int, text string, path string, user_id string")
     told = column(inference.agent_ingest(texts, failing(lambda sent: sent["user"] + " " * 60)), "agent_response")
     assert told == [
-        "Ingested via chat. Response: user_a7e86136" + " " * 37 + "...",
+        "Ingested via chat. Response: user_a7e86136" + " " * 60,
         "Skipped: empty text",
         "Error: refused",
     ]
