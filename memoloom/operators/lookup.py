@@ -17,15 +17,11 @@ def lookup(
     """`rows` joined to `table`, which has one row per value of `on`.
 
     Keys with more than `rows_per_part` rows are split by `spread`, a number that differs between rows of a key, and
-    their table row is repeated for each part. Only these keys, a bounded number of short rows, are broadcast. Without
-    such keys, which a look at the number of rows mostly tells, it is a plain join.
+    their table row is repeated for each part. Only these keys, a bounded number of short rows, are broadcast; without
+    any it comes to a plain join. Nothing is counted before the result is asked for.
     """
-    if rows.limit(rows_per_part + 1).count() <= rows_per_part:
-        return rows.join(table, on, how)
     counts = rows.where(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("_rows"))
     hot = counts.where(F.col("_rows") > rows_per_part).orderBy(F.desc("_rows")).limit(MAX_SPREAD_KEYS)
-    if hot.isEmpty():
-        return rows.join(table, on, how)
     hot = F.broadcast(hot.select(on, F.ceil(F.col("_rows") / rows_per_part).cast("int").alias("_parts")))
     parts = F.coalesce("_parts", F.lit(1))
     left = rows.join(hot, on, "left").withColumn("_part", F.pmod(spread, parts).cast("int")).drop("_parts")

@@ -1,14 +1,10 @@
 """Exact top-k similarity join of query vectors against memory vectors.
 
-Two physical forms give equal results:
+Both sides are cut into cells by scope and by hash; queries and memories of a cell meet in one sorted stream, and every
+cell passes on at most k rows per query. A scope that holds much of either side is cut into many cells, so no task depends
+on how rows are spread over scopes. The plan is the same at every size and nothing runs before the result is asked for.
 
-* few queries (their size is checked first): the queries travel to the tasks and the memories are scanned in place, so
-  the large side is never shuffled;
-* many queries: both sides are cut into cells by scope and by hash, queries and memories of a cell meet in one sorted
-  stream, and every cell passes on at most k rows per query. A scope that holds much of either side is cut into many
-  cells, so no task depends on how rows are spread over scopes.
-
-Neither form pairs rows up in Spark: pairs exist only inside a matrix product.
+Rows are never paired up in Spark: pairs exist only inside a matrix product.
 """
 
 from __future__ import annotations
@@ -27,20 +23,11 @@ from memoloom.functions.vectors import all_finite
 from memoloom.operators.topk import METRICS, RunningTopK
 from memoloom.schemas import DEFAULT_MIN_SCORE, DEFAULT_TOP_K
 
-# Queries carried to the tasks: at most this many rows and this many bytes of vectors.
-CARRIED_QUERIES = 4096
-CARRIED_BYTES = 32 * 1024 * 1024
-
-# Cells: queries and memories wanted in one, and the most parts one scope is cut into on either side.
+# Cells: queries and memories wanted in one. Queries are held, memories stream by.
 QUERIES_PER_CELL = 8192
 MEMORIES_PER_CELL = 32768
-MAX_PARTS = 4096
 # Scopes cut apart. A scope beyond the largest 100,000 holds less than 1/100,000 of its side and stays whole.
 MAX_CUT_SCOPES = 100_000
-# Keys asked for are broadcast to thin out the memories before the shuffle when there are at most this many.
-MAX_ASKED_KEYS = 200_000
-# A carried search over few scopes hands them to the scan as a filter.
-MAX_PUSHED_SCOPES = 1000
 
 _ALL = "*"
 
@@ -65,7 +52,6 @@ def knn_join(
     memory_vector: str = "vector",
     memory_scope: str = "scope",
     spread_by: tuple[str, ...] = (),
-    carried_queries: int = CARRIED_QUERIES,
 ) -> DataFrame:
     """query_id, id, score, rank of the k best memories per query with score >= min_score.
 
@@ -94,72 +80,10 @@ def knn_join(
         F.xxhash64(memory_id, *spread_by).alias("spread"),
     )
 
-    carried = _carried(q, carried_queries)
-    if carried is not None:
-        present = m.where(_usable())
-        hits = _scan_with_carried(carried, present, q.schema["query_id"].dataType, k, min_score, metric)
-    else:
-        hits = _meet_in_cells(q, m, k, min_score, metric)
-    return top_k(hits, k)
-
-
-# ---------------------------------------------------------------------------------------------- few queries
-
-
-def _carried(q: DataFrame, limit: int) -> pa.Table | None:
-    """The queries as a local table when they are few enough, else None. Never fetches more than limit + 1 rows."""
-    if limit <= 0:
-        return None
-    table = q.where(_usable()).limit(limit + 1).toArrow()
-    if table.num_rows > limit or table.nbytes > CARRIED_BYTES:
-        return None
-    return table
+    return top_k(_meet_in_cells(q, m, k, min_score, metric), k)
 
 
-def _scan_with_carried(table: pa.Table, m: DataFrame, id_type, k, min_score, metric) -> DataFrame:
-    query_ids = table.column("query_id").to_numpy()
-    vectors = _matrix(table.column("vector").combine_chunks()) if table.num_rows else np.empty((0, 0), np.float32)
-    members: dict[str, list[int]] = {}
-    for position, scopes in enumerate(table.column("scopes").to_pylist()):
-        for scope in [_ALL] if scopes is None else dict.fromkeys("=" + s for s in scopes if s is not None):
-            members.setdefault(scope, []).append(position)
-    if _ALL not in members and len(members) <= MAX_PUSHED_SCOPES:
-        m = m.where(F.col("scope").isin([scope[1:] for scope in members]))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        running: dict[str, RunningTopK] = {}
-
-        def offer(group: str, ids, rows) -> None:
-            if group not in running:
-                at = members[group]
-                running[group] = RunningTopK(query_ids[at], vectors[at], k, min_score, metric)
-            running[group].add(ids, rows)
-
-        wanted = pa.array([g[1:] for g in members if g != _ALL], pa.string())
-        for batch in batches:
-            if not batch.num_rows or not members:
-                continue
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            rows = _matrix(batch.column("vector"), vectors.shape[1])
-            if _ALL in members:
-                offer(_ALL, ids, rows)
-            if not len(wanted):
-                continue
-            group = pc.index_in(batch.column("scope"), wanted).to_numpy(zero_copy_only=False)
-            order = np.argsort(group, kind="stable")  # missing scopes sort last as NaN
-            order = order[: np.count_nonzero(~np.isnan(group.astype(float)))]
-            cuts = np.flatnonzero(np.diff(group[order])) + 1
-            for at in np.split(order, cuts) if len(order) else []:
-                offer("=" + wanted[int(group[at[0]])].as_py(), ids[at], rows[at])
-        for group in running.values():
-            yield from _hits(group.result(), schema)
-
-    out = _hit_type(id_type, m.schema["id"].dataType)
-    schema = _arrow(out)
-    return m.select("id", "vector", "scope").mapInArrow(scan, out)
-
-
-# ---------------------------------------------------------------------------------------------- many queries
+# ---------------------------------------------------------------------------------------------- cells
 
 
 def _parts(rows: DataFrame, wanted: int, name: str, always: str) -> DataFrame:
@@ -167,7 +91,7 @@ def _parts(rows: DataFrame, wanted: int, name: str, always: str) -> DataFrame:
     counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     cut = counts.where((F.col("n") > wanted) | (F.col("key") == always))
     cut = cut.orderBy((F.col("key") == always).desc(), F.desc("n")).limit(MAX_CUT_SCOPES)
-    return cut.select("key", F.least(F.ceil(F.col("n") / wanted), F.lit(MAX_PARTS)).cast("int").alias(name))
+    return cut.select("key", F.ceil(F.col("n") / wanted).cast("int").alias(name))
 
 
 def _usable() -> Column:
@@ -191,8 +115,7 @@ def _meet_in_cells(q: DataFrame, m: DataFrame, k, min_score, metric) -> DataFram
     m = m.withColumn("key", F.explode(keys))
 
     asked = q.select("key").distinct()
-    if asked.limit(MAX_ASKED_KEYS + 1).count() <= MAX_ASKED_KEYS:
-        m = m.join(F.broadcast(asked), "key", "left_semi")
+    m = m.join(asked, "key", "left_semi")
     query_parts = _parts(q, QUERIES_PER_CELL, "qp", _ALL)
     memory_parts = _parts(m, MEMORIES_PER_CELL, "mp", _ALL)
     # At most 2 x MAX_CUT_SCOPES short rows, hence the broadcast; both sides use the same one. The counts read the

@@ -50,8 +50,7 @@ def jobs_embedder():
     return HashEmbedder(8)
 
 
-@pytest.mark.parametrize("carried", [4096, 0])
-def test_one_embedding_per_query(spark, tmp_path, carried):
+def test_one_embedding_per_query(spark, tmp_path):
     folder = str(tmp_path)
 
     def load():
@@ -67,7 +66,7 @@ def test_one_embedding_per_query(spark, tmp_path, carried):
 
     questions = spark.range(40).select(F.col("id").alias("query_id"), F.concat(F.lit("q"), "id").alias("query"))
     memories = spark.createDataFrame([(str(i), [float(i), 1.0], "global", "t") for i in range(9)], "id string, vector array<float>, scope string, text string")
-    hits = search_batch(questions, memories, ModelEmbedder(load, 2), top_k=2, min_score=None, carried_queries=carried)
+    hits = search_batch(questions, memories, ModelEmbedder(load, 2), top_k=2, min_score=None)
     assert hits.count() == 80
     assert len(list(tmp_path.iterdir())) == 40
 
@@ -84,14 +83,13 @@ BAD = [[math.nan, 0.0], [None, 0.0], [math.inf, 1.0], [-math.inf, 1.0], None]
 
 
 @pytest.mark.parametrize("metric", ["l2", "cosine"])
-@pytest.mark.parametrize("carried", [4096, 0])
-def test_bad_vectors_cost_their_own_row(spark, metric, carried):
+def test_bad_vectors_cost_their_own_row(spark, metric):
     good = [(f"g{i:02}", [float(i), 1.0]) for i in range(50)]
     schema = "id string, vector array<float>"
     asked = spark.createDataFrame([(i, [float(i), 2.0]) for i in range(3)] + [(9, [math.nan, 1.0])], "query_id long, vector array<float>")
 
     def hits(rows):
-        found = knn_join(asked, spark.createDataFrame(rows, schema).coalesce(1), k=5, min_score=None, metric=metric, carried_queries=carried)
+        found = knn_join(asked, spark.createDataFrame(rows, schema).coalesce(1), k=5, min_score=None, metric=metric)
         return sorted((r["query_id"], r["rank"], r["id"]) for r in found.collect())
 
     clean = hits(good)

@@ -236,5 +236,5 @@ def test_library_does_not_collect():
         if "llm" in file.relative_to(root).parts:  # has its own tests; collects what is bounded by parameters
             continue
         code = file.read_text()
-        for word in (".collect()", ".toPandas()", "crossJoin", "localCheckpoint", ".rdd"):
+        for word in (".collect()", ".toPandas()", ".toArrow()", ".take(", ".toLocalIterator(", "crossJoin", "localCheckpoint", ".rdd"):
             assert word not in code, (file, word)

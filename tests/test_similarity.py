@@ -64,15 +64,15 @@ def make(spark, nq=40, nm=300, seed=1, hot=0.4, copies=0, users=5):
     return queries, memories, q, m
 
 
-FORMS = {"carried": {}, "cells": {"carried_queries": 0}}
+FORMS = {"cells": {}}
 
 
-@pytest.fixture(params=["carried", "cells", "small cells"])
+@pytest.fixture(params=["cells", "small cells"])
 def form(request, monkeypatch):
     if request.param == "small cells":
         monkeypatch.setattr(similarity, "QUERIES_PER_CELL", 7)
         monkeypatch.setattr(similarity, "MEMORIES_PER_CELL", 23)
-    return FORMS["carried" if request.param == "carried" else "cells"]
+    return FORMS["cells"]
 
 
 @pytest.mark.parametrize("metric", ["l2", "cosine"])
@@ -159,22 +159,13 @@ def test_plans_have_no_pairwise_join(spark):
         plan = plan_of(knn_join(q, m, query_scopes="scopes", **form))
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
         assert plan.count("WindowGroupLimit") == 2  # before and after the shuffle
-    assert "REPARTITION_BY_COL" not in plan_of(knn_join(q, m, query_scopes="scopes"))  # memories stay in place
-
-
-def test_scan_gets_scopes_as_filter(spark, tmp_path):
-    _, _, q, m = make(spark, nq=5, nm=20)
-    m.write.parquet(str(tmp_path / "m"))
-    stored = spark.read.parquet(str(tmp_path / "m"))
-    plan = plan_of(knn_join(q.where("scopes is not null"), stored, query_scopes="scopes"))
-    assert "In(scope" in plan or "EqualTo(scope" in plan
 
 
 def test_counts_do_not_read_vectors(spark, tmp_path):
     _, _, q, m = make(spark, nq=5, nm=20)
     m.write.parquet(str(tmp_path / "m"))
     stored = spark.read.parquet(str(tmp_path / "m"))
-    plan = plan_of(knn_join(q, stored, query_scopes="scopes", carried_queries=0))
+    plan = plan_of(knn_join(q, stored, query_scopes="scopes"))
     assert "ReadSchema: struct<scope:string>" in plan
 
 
