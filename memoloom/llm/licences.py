@@ -3,7 +3,7 @@
 DataFrame and ML-pipeline operations only. A paragraph is a line of a whole text. Its words and word pairs are hashed into
 a sparse vector, and a multinomial logistic regression gives a probability for each licence family and for ordinary text.
 It is trained here on the published notices (whole, without some words, and inside other words) against ordinary text: a
-few fixed sentences and the lines of a bounded sample of documents (``SAMPLE`` of them in the order of a hash of the id),
+few fixed sentences and the lines of a bounded sample of documents (at most ``SAMPLE``: the first of each hash bucket of ids),
 without those that use a word of licences. Probabilities are calibrated: a temperature is fitted on lines left out of training.
 
 A line that is likelier of some licence family than ordinary gets that family if its calibrated probability is at least
@@ -76,8 +76,10 @@ def training_rows(spark: SparkSession, sample: DataFrame) -> DataFrame:
 
 def ordinary_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Lines (text) of a bounded sample of documents."""
-    chosen = docs.where(F.col(text_col) != "").select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    rows = docs.where(F.col(text_col) != "").select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE))
+    first = rows.groupBy(place.alias("place")).agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")).alias("first"))
+    chosen = rows.join(F.broadcast(first.select("first.doc_id")), "doc_id", "left_semi")  # at most SAMPLE ids
     lines = chosen.select(F.explode(F.split("text", "\n")).alias("text"))
     return lines.where(F.length("text") > 0).distinct().orderBy(F.xxhash64("text"), "text").limit(SAMPLE_LINES)
 

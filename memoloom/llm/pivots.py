@@ -8,7 +8,7 @@ bounds; whoever's bound is below the k-th best exact score found so far is never
 Candidates are range partitioned by nearest pivot and distance, so a block holds vectors of one region and whole blocks
 fall to the bounds; the id is part of that order, so one vector that very many rows share spreads over many blocks. Query
 blocks meet candidate blocks by cell number; a task holds one pair of blocks and the best k of a few query blocks. Pivots
-come from a bounded, documented sample (``SAMPLE`` rows in the order of a hash of the id); they affect speed only.
+come from a bounded, documented sample (the first row of each of ``SAMPLE`` hash buckets of ids); they affect speed only.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part, nor do rows with a null id. A
 shorter vector counts as filled up with zeros. Rows that share an id are candidates each; an id asks once, with the
@@ -211,10 +211,12 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates (id, vector) of each query (id, vector), ties to smaller ids."""
     spark = vectors.sparkSession
     empty = "query_id long, rank int, vec_id long, score long"
-    sample = vectors.orderBy(F.xxhash64("id"), "id", "vector").limit(SAMPLE).collect()  # bounded
+    place = F.pmod(F.xxhash64("id"), F.lit(SAMPLE))
+    first = vectors.groupBy(place.alias("place")).agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "vector")).alias("first"))
+    sample = first.select("first.*").collect()  # at most a row for each bucket
     if not sample:
         return spark.createDataFrame([], empty)
-    pivots = choose_pivots(_matrix([r["vector"] for r in sample]))
+    pivots = choose_pivots(_matrix([r["vector"] for r in sorted(sample)]))
     placed = _with_nearest(vectors, pivots).repartitionByRange("near", "gap", "id").sortWithinPartitions("near", "gap", "id")
     cells = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = materialized(_blocks(placed, pivots, BLOCK), "pivot-blocks")
