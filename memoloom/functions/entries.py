@@ -70,7 +70,9 @@ def normalize_entries(df: DataFrame) -> DataFrame:
 
 def flatten_entries(df: DataFrame, entries: str = "entries", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per entry; null and empty lists leave no row."""
-    return df.select(*keep, F.explode(entries).alias("_entry")).select(*keep, "_entry.*")
+    # the outer explode infers no filter that would compute the list again
+    rows = df.select(*keep, F.explode_outer(entries).alias("_entry")).where("_entry is not null")
+    return rows.select(*keep, "_entry.*")
 
 
 def content_id(*parts: Column) -> Column:

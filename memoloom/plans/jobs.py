@@ -91,12 +91,16 @@ def ingest_texts(
     user: str | None = None,
     workbook_mark: str | None = None,
 ) -> DataFrame:
-    """text, path, user_id to ingest: the session transcripts of a workbook, or whole conversation files."""
+    """text, path, user_id to ingest: the session transcripts of a workbook, the objects of JSON-lines files (text, path,
+    user_id), or whole conversation files."""
     if _is_workbook(paths, bool(sample_range or session_range or user), workbook_mark):
         books = sessions.read_workbooks(spark, paths)
         found = sessions.sessions(books, sample_range=sample_range, session_range=session_range, user=user)
         return found.select("text", "path", "user_id")
-    return files.read_texts(spark, paths).select("text", "path", F.lit(user).cast("string").alias("user_id"))
+    whole = files.read_texts(spark, paths, suffix=r"(?i)\.(txt|md|markdown)$")
+    whole = whole.select("text", "path", F.lit(user).cast("string").alias("user_id"))
+    lines = sessions.text_lines(files.read_json_lines(spark, paths), user)
+    return whole.unionByName(lines.select("text", "path", "user_id"))
 
 
 def eval_questions(
@@ -116,7 +120,7 @@ def eval_questions(
 def extracted_payloads(texts: DataFrame, provider: inference.Provider, **options) -> DataFrame:
     """Payloads a model finds in (text, path, user_id) rows."""
     found = inference.extract(texts, provider, **options)
-    numbered = found.select("path", F.posexplode("entries").alias("position", "_entry"))
+    numbered = found.select("path", F.posexplode_outer("entries").alias("position", "_entry")).where("_entry is not null")
     return normalize_entries(numbered.select(F.col("path").alias("source_path"), "position", "_entry.*"))
 
 

@@ -50,7 +50,8 @@ def sessions(
     fields = chosen.select("sample", F.from_json("content", _MAP).alias("m"))
     inner = F.from_json(F.try_element_at("m", F.lit("conversation")), _MAP)
     holder = F.when(F.array_contains(F.map_keys("m"), "conversation"), inner).otherwise(F.col("m"))
-    fields = fields.select("sample", holder.alias("m")).select("sample", "m", F.explode("m").alias("key", "value"))
+    fields = fields.select("sample", holder.alias("m")).select("sample", "m", F.explode_outer("m").alias("key", "value"))
+    # the outer explode infers no filter that would parse the sample again
     fields = fields.where(F.col("key").rlike(_SESSION)).select(
         "sample",
         F.regexp_extract("key", _SESSION, 1).cast("int").alias("session"),

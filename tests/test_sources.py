@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import plan_of
 from memoloom.operators.embedding import HashEmbedder, ModelEmbedder, embed
 from memoloom.plans import jobs
 from memoloom.schemas import memory_schema
@@ -297,3 +298,18 @@ def test_model_embedder(spark):
     assert [r["vector"] for r in embed(df, model, query=True).collect()] == [[8.0, 1.0], [0.0, 0.0], [0.0, 0.0]]
     unit = ModelEmbedder(length_model, 2)
     assert [r["vector"] for r in embed(df, unit).collect()][0] == [1.0, 0.0]
+
+
+def test_ingest_reads_json_lines(spark, tmp_path):
+    (tmp_path / "notes.txt").write_text("whole file\nof two lines")
+    (tmp_path / "talks.jsonl").write_text('{"text": "a", "path": "p/1", "user_id": "u"}\nbroken\n{"text": " "}\n{"text": "b"}\n')
+    rows = sorted((r["text"], r["path"].rsplit("/", 1)[-1], r["user_id"]) for r in jobs.ingest_texts(spark, [str(tmp_path)]).collect())
+    assert rows == [("a", "1", "u"), ("b", "talks.jsonl", None), ("whole file\nof two lines", "notes.txt", None)]
+    assert {r["user_id"] for r in jobs.ingest_texts(spark, [str(tmp_path)], user="me").collect()} == {"me"}
+
+
+def test_json_is_parsed_once(spark):
+    samples = spark.createDataFrame([(0, '{"session_1": [{"speaker": "a", "text": "b"}]}')], "sample int, content string")
+    plan = plan_of(sessions.sessions(samples))
+    assert plan.count("from_json(MapType(StringType,StringType,true), content") <= 1 or "size(" not in plan
+    assert sessions.sessions(samples).first()["text"] == "a: b"
