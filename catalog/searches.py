@@ -104,6 +104,23 @@ def join_knn_scoped(spark, sf_dir):
     return _shown(search_vectors(asked, vectors(spark, sf_dir), top_k=K, min_score=MIN_SCORE))
 
 
+SQL_SOUND = "m.id::BIGINT % 7 <> 0 AND m.id::BIGINT % 11 <> 0 AND m.id::BIGINT % 13 <> 0"
+
+
+@query("join_knn_nonfinite", f"WITH {SQL_VECTORS}, {_sql_ranked(SQL_L2, SQL_SOUND)} {SQL_SHOWN}")
+def join_knn_nonfinite(spark, sf_dir):
+    # Every seventh, eleventh and thirteenth memory has a NaN, null or infinite component: it is nobody's hit.
+    n = F.col("id").cast("bigint")
+    bad = (
+        F.when(n % 7 == 0, F.lit(float("nan"))).when(n % 11 == 0, F.lit(None)).when(n % 13 == 0, F.lit(float("inf")))
+    )
+    spoilt = (n % 7 == 0) | (n % 11 == 0) | (n % 13 == 0)
+    tail = F.slice("vector", F.lit(2), F.size("vector"))
+    vector = F.when(spoilt, F.concat(F.array(bad.cast("float")), tail)).otherwise(F.col("vector"))
+    stored = vectors(spark, sf_dir).withColumn("vector", vector)
+    return _shown(knn_join(_queries(spark, sf_dir), stored, k=K, min_score=MIN_SCORE))
+
+
 @query("filter_min_score", f"WITH {SQL_VECTORS}, {_sql_ranked(SQL_L2, min_score=-0.4)} {SQL_SHOWN}")
 def filter_min_score_query(spark, sf_dir):
     hits = knn_join(_queries(spark, sf_dir), vectors(spark, sf_dir), k=K, min_score=-0.4)
