@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memoloom.workspace import materialized
+from memoloom.llm.storage import written
 
 WINDOW = 10
 #: Words of a window whose posting lists are intersected.
@@ -38,7 +38,7 @@ def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, text_key, n_words, words), written; the key tells texts apart that share an id."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), words(text).alias("words"))
-    return materialized(cut.select("doc_id", "text_key", F.size("words").alias("n_words"), "words"), "leaks-words")
+    return written(cut.select("doc_id", "text_key", F.size("words").alias("n_words"), "words"), "leaks-words")
 
 
 def test_windows(items: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -46,7 +46,7 @@ def test_windows(items: DataFrame, window: int = WINDOW, id_col: str = "item_id"
     cut = items.select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (window - 1), F.lit(1)))
     phrases = cut.select("item_id", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, window), " "))).alias("phrase"))
-    return materialized(phrases.distinct(), "leaks-windows")
+    return written(phrases.distinct(), "leaks-windows")
 
 
 def _postings(cut: DataFrame, terms: DataFrame) -> DataFrame:
@@ -59,20 +59,20 @@ def rarest_words(cut: DataFrame, windows: DataFrame, lists: int = LISTS) -> Data
     """(phrase, n, picks): the window's rarest words over the corpus as (count, shift, term), rarest first; written."""
     phrases = windows.select("phrase").distinct()
     placed = phrases.select("phrase", F.posexplode(F.split("phrase", " ")).alias("shift", "term"))
-    terms = materialized(placed.select("term").distinct(), "leaks-terms")
+    terms = written(placed.select("term").distinct(), "leaks-terms")
     counted = cut.select(F.explode("words").alias("term")).join(terms, "term", "left_semi").groupBy("term").count()
-    ranked = placed.join(materialized(counted, "leaks-counts"), "term", "left")
+    ranked = placed.join(written(counted, "leaks-counts"), "term", "left")
     pick = F.struct(F.coalesce("count", F.lit(0)).alias("count"), "shift", "term")
     # a window has few words, so they may be gathered
     gathered = ranked.groupBy("phrase").agg(F.sort_array(F.collect_list(pick)).alias("picks"))
     picked = gathered.select("phrase", F.size("picks").alias("n"), F.slice("picks", 1, lists).alias("picks"))
-    return materialized(picked, "leaks-rarest")
+    return written(picked, "leaks-rarest")
 
 
 def build_index(cut: DataFrame, picked: DataFrame) -> DataFrame:
     """The stored postings of all picked words, ordered by word inside each file."""
-    terms = materialized(picked.select(F.explode("picks.term").alias("term")).distinct(), "leaks-picked")
-    return materialized(_postings(cut, terms).sortWithinPartitions("term", "doc_id", "pos"), "leaks-index")
+    terms = written(picked.select(F.explode("picks.term").alias("term")).distinct(), "leaks-picked")
+    return written(_postings(cut, terms).sortWithinPartitions("term", "doc_id", "pos"), "leaks-index")
 
 
 _PLACE = ["doc_id", "text_key", "phrase", "n", "start"]
@@ -99,10 +99,10 @@ def intersected(index: DataFrame, picked: DataFrame) -> DataFrame:
 
 def phrase_matches(cut: DataFrame, places: DataFrame) -> DataFrame:
     """The places at which every word of the window stands, compared in the written words."""
-    places = materialized(places, "leaks-places")
+    places = written(places, "leaks-places")
     texts = cut.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "words")
     once = texts.join(
-        materialized(places.select("doc_id", "text_key").distinct(), "leaks-suspects"),
+        written(places.select("doc_id", "text_key").distinct(), "leaks-suspects"),
         F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("text_key")),
         "left_semi",
     )
@@ -132,7 +132,7 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
     cut = cut_documents(docs)
     windows = test_windows(items, window)
     picked = rarest_words(cut, windows)
-    found = materialized(phrase_matches(cut, intersected(build_index(cut, picked), picked)), "leaks-found")
+    found = written(phrase_matches(cut, intersected(build_index(cut, picked), picked)), "leaks-found")
     key = ["doc_id", "text_key"]
     spans = found.groupBy(*key, "start").agg(F.max(F.col("start") + F.col("n")).alias("end"))
     before = Window.partitionBy(*key).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
