@@ -18,6 +18,7 @@ share an id are pieces of their own; an empty table packs into nothing.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memoloom.llm.tokens import VOCABULARY, encoded
+from memoloom.llm.tokens import GENERATION, VOCABULARY, encoded
 from memoloom.workspace import materialized
 
 CAPACITY = 2048
@@ -36,6 +37,8 @@ ROUNDS = 300
 COLUMNS = 24
 RATE = 1.0
 STEP = 0.5
+#: Shares of the fractional solution that rounding tries; the rest of the pieces completes sequences best-fit.
+SHARES = (1.0, 0.9, 0.75, 0.5, 0.3, 0.15)
 
 
 def pieces(
@@ -44,6 +47,7 @@ def pieces(
     vocabulary: str = VOCABULARY,
     end_id: int = 0,
     with_ids: bool = False,
+    remembered: int = GENERATION,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -55,7 +59,7 @@ def pieces(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
-        for batch, found in encoded(batches, vocabulary, 1):
+        for batch, found in encoded(batches, vocabulary, 1, remembered):
             out: list[tuple] = []
             ids = []
             for name, data in zip(batch.column(0).to_pylist(), found, strict=True):
@@ -135,31 +139,38 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[t
 def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
     """(pieces of each length, number of sequences filled so) holding every piece of the histogram exactly once."""
     lengths = np.array(sorted(histogram), np.int64)
-    left = np.array([histogram[x] for x in lengths.tolist()], np.int64)
+    counts = np.array([histogram[x] for x in lengths.tolist()], np.int64)
+    solved = fractional(lengths, counts, capacity) if len(lengths) else []
+    found = [_rounded(lengths, counts, capacity, solved, share) for share in SHARES]
+    return min(found, key=lambda filled: sum(times for _, times in filled))
+
+
+def _rounded(lengths, counts, capacity: int, solved, share: float) -> list[tuple[dict[int, int], int]]:
+    """Whole sequences of a share of the fractional solution, as far as they are full, and the rest best-fit."""
+    sizes, left = lengths.tolist(), counts.tolist()
     out = []
-    if len(lengths):
-        fill = lambda chosen: sum(int(lengths[k]) * a for k, a in chosen.items())
-        for chosen, share in sorted(fractional(lengths, left, capacity), key=lambda x: -fill(x[0])):
-            times = min(int(share + 1e-6), *(int(left[k]) // a for k, a in chosen.items()), int(left.max()))
-            if times > 0 and fill(chosen) >= capacity:
-                for k, a in chosen.items():
-                    left[k] -= a * times
-                out.append(({int(lengths[k]): a for k, a in chosen.items()}, times))
-    while left.any():
-        chosen, room = {}, capacity
-        while room > 0:
-            k = int(np.searchsorted(lengths, room, "right")) - 1
-            while k >= 0 and left[k] - chosen.get(k, 0) <= 0:
-                k -= 1
-            if k < 0:
-                break
-            a = min(room // int(lengths[k]), int(left[k]) - chosen.get(k, 0))
-            chosen[k] = chosen.get(k, 0) + a
-            room -= a * int(lengths[k])
-        times = min(int(left[k]) // a for k, a in chosen.items())
+
+    def use(chosen: dict[int, int], times: int) -> None:
         for k, a in chosen.items():
             left[k] -= a * times
-        out.append(({int(lengths[k]): a for k, a in chosen.items()}, times))
+        out.append(({sizes[k]: a for k, a in chosen.items()}, times))
+
+    for chosen, sequences in solved:
+        times = min(int(sequences * share + 1e-6), *(left[k] // a for k, a in chosen.items()))
+        if times > 0 and sum(sizes[k] * a for k, a in chosen.items()) == capacity:
+            use(chosen, times)
+    open_ = [k for k, n in enumerate(left) if n]
+    open_sizes = [sizes[k] for k in open_]
+    while open_:
+        chosen, room, at = {}, capacity, len(open_)
+        while (at := min(at, bisect_right(open_sizes, room)) - 1) >= 0:  # the longest piece that fits, as often as it fits
+            k = open_[at]
+            chosen[k] = min(room // sizes[k], left[k])
+            room -= chosen[k] * sizes[k]
+        use(chosen, min(left[k] // a for k, a in chosen.items()))
+        for k in [k for k in chosen if not left[k]]:
+            at = bisect_left(open_, k)
+            del open_[at], open_sizes[at]
     return out
 
 
@@ -208,6 +219,6 @@ def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.select(*kept, "rank").mapInArrow(place, f"{fields}, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, end_id: int = 0, **options) -> DataFrame:
     """Every piece of every document with the sequence it went to and its place there."""
-    return assign(materialized(pieces(docs, capacity, vocabulary, end_id, with_ids), "packing-pieces"), capacity)
+    return assign(materialized(pieces(docs, capacity, vocabulary, end_id, **options), "packing-pieces"), capacity)

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memoloom.llm.dom import Page
+from memoloom.llm.storage import cut_small
 from memoloom.workspace import materialized
 
 #: Importance below which a branch goes, share of it that content decides, and pages of a host that it takes to judge.
@@ -53,7 +54,7 @@ def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     style_kind = pa.list_(pa.struct([("node", pa.int64()), ("feature", pa.int64())]))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cut_small(batches):
             blocks, styles = [], []
             for html in batch.column(3).to_pylist():
                 page = Page(html or "")

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memoloom.llm.storage import cut_small
 from memoloom.workspace import materialized
 
 STATISTICS = (
@@ -97,7 +98,7 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.float64())
-        for batch in batches:
+        for batch in cut_small(batches):
             values = [text_statistics(text) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, kind)], ["doc_id", "statistics"])
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memoloom.llm.run_index import RunIndex
-from memoloom.llm.storage import written
+from memoloom.llm.storage import cut_small, written
 
 LENGTH = 50
 ANCHOR = 24
@@ -391,7 +391,7 @@ def _packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
+        for batch in cut_small(batches):
             packed = [squeeze(t.encode("utf-8", "surrogatepass")) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc_id", "text_key", "packed"])
 
@@ -428,7 +428,7 @@ def _cut(whole: bool):
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in cut_small(batches):
             out = []
             for doc_id, key, packed, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = unpack(packed)

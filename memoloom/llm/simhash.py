@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from memoloom.llm.components import components
 from memoloom.llm.gray_index import Forest, GrayIndex, gray_rank, gray_value
+from memoloom.llm.storage import cut_small
 from memoloom.workspace import materialized
 
 #: Members of one chunk of a run: bounds the memory and the work of one index.
@@ -61,7 +62,7 @@ def with_fingerprints(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cut_small(batches):
             prints = np.array([fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 

@@ -1,7 +1,10 @@
-"""Written intermediate tables of long jobs."""
+"""Written intermediate tables of long jobs, and batches cut small."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from memoloom.workspace import materialized
@@ -22,3 +25,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(_FREE)
         else:
             spark.conf.set(_FREE, before)
+
+
+def cut_small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)

@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from memoloom.llm.simple8b import decode, encode
+from memoloom.llm.storage import cut_small
 from memoloom.workspace import materialized
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-#: Distinct words that one worker remembers; beyond it, it starts afresh.
-REMEMBERED = 1_000_000
+#: Distinct words after which a worker starts a new generation of what it remembers; the one before stays at hand, so a
+#: worker holds twice as many at most, of about 200 bytes each. Fewer cost time, not results.
+GENERATION = 400_000
 GROUP_IDS = 1 << 20
 GROUP_DOCS = 1 << 12
 
@@ -42,11 +44,15 @@ class Words(dict):
 
     marks = ".,;:!?%&*$#|"
 
-    def __init__(self, tokenizer: Tokenizer):
+    def __init__(self, tokenizer: Tokenizer, before: dict[str, bytes]):
         super().__init__({"": b""})
-        self.tokenizer = tokenizer
+        self.tokenizer, self.before = tokenizer, before
 
     def __missing__(self, word: str) -> bytes:
+        ids = self.before.get(word)
+        if ids is not None:
+            self[word] = ids
+            return ids
         core = word.rstrip(self.marks)
         if "<" in word:  # may hold a special token, which is matched as it is written
             ids = self.ask(word)
@@ -66,32 +72,33 @@ class Words(dict):
 class Encoder:
     """Ids by the tokenizers library, without special tokens, as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.words = Words(self.tokenizer)
+    def __init__(self, path: str, remembered: int = GENERATION):
+        self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
+        self.words = Words(self.tokenizer, {})
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.words) > REMEMBERED:
-            self.words = Words(self.tokenizer)
+        if len(self.words) > self.remembered:
+            self.words = Words(self.tokenizer, dict(self.words))
         known = self.words.__getitem__
         return [b"".join(map(known, (text or "").replace("\n", " ").split(" "))) for text in texts]
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int = GENERATION) -> Encoder:
     """The encoder of this worker process; tasks of one worker share it."""
     shared = sys.modules.setdefault("_memoloom_encoders", types.ModuleType("_memoloom_encoders"))
-    if path not in shared.__dict__:
-        setattr(shared, path, Encoder(path))
-    return getattr(shared, path)
+    name = f"{path} {remembered}"
+    if name not in shared.__dict__:
+        setattr(shared, name, Encoder(path, remembered))
+    return getattr(shared, name)
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, text: int, size: int = 256) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def encoded(
+    batches: Iterator[pa.RecordBatch], path: str, text: int, remembered: int = GENERATION
+) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Batches cut small, each with the id bytes of its texts."""
-    own = encoder(path)
-    for batch in batches:
-        for start in range(0, batch.num_rows, size):
-            part = batch.slice(start, size)
-            yield part, own.encode(part.column(text).to_pylist())
+    own = encoder(path, remembered)
+    for part in cut_small(batches):
+        yield part, own.encode(part.column(text).to_pylist())
 
 
 GROUPS = "part int, first long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
