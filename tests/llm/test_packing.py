@@ -45,6 +45,19 @@ def test_configurations_hold_every_piece_once(seed):
     assert bound <= sequences <= bound * 1.02 + 2
 
 
+@pytest.mark.parametrize(
+    "capacity, histogram, most",
+    [
+        (100, {54: 36, 99: 29, 14: 31, 88: 8, 1: 13, 44: 36, 16: 29, 45: 3, 58: 26, 61: 30, 18: 37, 13: 33, 36: 414}, 310),
+        (100, {36: 10, 74: 10, 15: 26, 95: 1, 68: 1, 88: 3, 26: 20, 38: 3, 52: 7, 75: 8, 59: 35, 27: 1, 34: 455}, 278),
+        (60, {6: 27, 18: 7, 54: 3, 25: 35, 36: 22, 22: 4, 21: 213}, 140),
+    ],
+)
+def test_never_worse_than_best_fit(capacity, histogram, most):
+    """A length just above a third dominates; the numbers are those of best-fit alone."""
+    assert sum(n for _, n in packing.configurations(histogram, capacity)) <= most
+
+
 def test_one_frequent_length():
     assert sum(n for _, n in packing.configurations({700: 9000})) == 4500
     assert packing.configurations({}) == []
