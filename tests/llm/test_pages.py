@@ -77,6 +77,32 @@ def test_text_at_one_place_of_many_pages(spark):
     assert all(got[i][0] == f"Body of {i}\nAnd {i} again" for i in range(30))
 
 
+@pytest.mark.parametrize("own", ["<h2>Title {0}</h2>", "<p>2 May, no. {0}</p>", ""])
+def test_unmarked_copies_of_an_article_stay_on_a_large_host(spark, own):
+    """300 of 1,000 distinct pages have one article's paragraphs at the place where the others have their own."""
+    page = "<body><div class=a>Our shop, our rules</div><div class=b>" + own + "<p>{1}</p><p>{2}</p></div></body>"
+    copied = [(i, f"http://g.example/{i}", page.format(i, "A much copied story", "and how it ends")) for i in range(300)]
+    others = [(i, f"http://g.example/{i}", page.format(i, f"Story {i}", f"End {i}")) for i in range(300, 1000)]
+    got = texts(spark, copied + others)
+    head = own.replace("<h2>", "").replace("</h2>", "\n").replace("<p>", "").replace("</p>", "\n")
+    assert all(got[i][0] == head.format(i) + "A much copied story\nand how it ends" for i in range(300))
+    assert all(got[i][0] == head.format(i) + f"Story {i}\nEnd {i}" for i in range(300, 1000))
+
+
+def test_copies_in_a_place_of_their_own_stay(spark):
+    page = "<body><p>Subscribe now</p><p>No. {0}</p><div class={1}><p>{2}</p></div></body>"
+    rows = [(i, f"http://h.example/{i}", page.format(i, "copied" if i < 8 else "own", "One story" if i < 8 else f"Story {i}")) for i in range(40)]
+    got = texts(spark, rows)
+    assert all(got[i][0] == f"No. {i}\n" + ("One story" if i < 8 else f"Story {i}") for i in range(40))
+
+
+def test_equal_pages_count_once(spark):
+    """Copies of one page, however many, do not make its texts furniture of the host."""
+    page = "<body><p>Subscribe now</p><p>Story {0}</p><p>{0} ends</p></body>"
+    rows = [(i, f"http://i.example/{i}", page.format(max(i, 90))) for i in range(100)]
+    assert all(text == f"Story {max(i, 90)}\n{max(i, 90)} ends" for i, (text, _) in texts(spark, rows).items())
+
+
 def test_long_and_none(spark):
     got = texts(spark, [(1, "http://e.example", "<article><p>" + "word " * 200_000 + "</article>")])
     assert got[1][1] == 200_000 * 5 - 1
