@@ -27,6 +27,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
             spark.conf.set(_FREE, before)
 
 
+def dropped(df: DataFrame) -> None:
+    """Remove the files of a frame that ``written`` gave and that nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        context = df.sparkSession.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut_small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The same rows in small batches, so that few texts are Python objects at a time."""
     for batch in batches:
