@@ -3,8 +3,9 @@
 DataFrame and ML-pipeline operations only. A paragraph is a line of a whole text. Its words and word pairs are hashed into
 a sparse vector, and a multinomial logistic regression gives a probability for each licence family and for ordinary text.
 It is trained here on the published notices (whole, without some words, and inside other words) against ordinary text: a
-few fixed sentences and the lines of a bounded sample of documents (at most ``SAMPLE``: the first of each hash bucket of ids),
-without those that use a word of licences. Probabilities are calibrated: a temperature is fitted on lines left out of training.
+few fixed sentences and the lines of a bounded sample of documents (at most ``SAMPLE``: the first of each hash bucket of ids;
+of their distinct lines at most ``SAMPLE_LINES``, by hash), without those that use a word of licences. Both bounds hold for
+training only: every line of every document is scored. Probabilities are calibrated: a temperature is fitted on lines left out of training.
 
 A line that is likelier of some licence family than ordinary gets that family if its calibrated probability is at least
 ``KNOWN`` and at least ``CONFIRMED`` of its word pairs, or of a notice's, are shared with one of the family's notices; else
