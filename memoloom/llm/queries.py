@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memoloom.llm import contamination, licences, packing, pages, pivots, preferences, quality, repeats, simhash, tokens
+from memoloom.llm import contamination, licences, minhash, packing, pages, pivots, preferences, quality, repeats, simhash, tokens
 from memoloom.workspace import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -174,3 +174,32 @@ def preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_licence_scan")
 def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.document_licences(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_minhash_dedup",
+    r"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                 '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+    ),
+    g AS (
+      SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                          ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' '))) END AS g
+      FROM w
+    ),
+    s AS (SELECT doc_id, len(g) AS n, unnest(g) AS s FROM g),
+    near AS (
+      SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id
+      GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+    ),
+    links AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
+    reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+    least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+    SELECT g.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, least(g.doc_id, coalesce(least.b, g.doc_id)) AS component_id,
+           g.doc_id <= coalesce(least.b, g.doc_id) AS kept
+    FROM g LEFT JOIN least ON g.doc_id = least.a
+    """,
+)
+def minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
