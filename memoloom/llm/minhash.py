@@ -66,8 +66,12 @@ def samples(own: np.ndarray) -> np.ndarray:
     """The smallest value of a set under each of the permutations."""
     low = (own ^ (own >> np.uint64(32))).astype(np.uint32)
     least = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
+    room = np.empty((min(len(low), 256), SAMPLES), np.uint32)
     for start in range(0, len(low), 256):
-        np.minimum(least, (low[start : start + 256, None] * _FACTOR + _SHIFT).min(axis=0), out=least)
+        part = low[start : start + 256, None]
+        values = np.multiply(part, _FACTOR, out=room[: len(part)])
+        values += _SHIFT
+        np.minimum(least, values.min(axis=0), out=least)
     return least
 
 
@@ -257,6 +261,8 @@ def classes(rows: DataFrame, words: int = WORDS, empty_alike: bool = False) -> D
             break
         more = across(cells, best).distinct().join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti")
         tested.append(written(more, "minhash-across"))
+        if tested[-1].isEmpty():
+            continue
         found.append(written(confirmed(tested[-1], sets), "minhash-links"))
         linked = written(components(reduce(DataFrame.union, found)), "minhash-linked")
     named = nodes.join(linked, "node", "left").select("key", "n", "first_id", F.coalesce("component", "node").alias("component"))
