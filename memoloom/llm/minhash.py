@@ -6,10 +6,10 @@ similarity with a standard error of about 0.025. 128 of the samples form 32 band
 at similarity 0.8 shares no band with a chance of 5e-8, and is refused by its sketches (estimate below 0.65) with one of
 1e-7. All that pass are compared on their full sets, so there are no wrong links.
 
-No bucket is written as pairs. The smallest node of a bucket is compared with the others; what that links is contracted.
-Buckets that still hold several components are cut into cells of bounded size, whose sketches are compared in NumPy: first
-each node names its best partner in every other component, and after another contraction every pair left that may be
-similar goes to the exact check. Buckets with the same members are compared once.
+No bucket is written as pairs. A node is first compared with the smallest nodes of two of its buckets; what that links is
+contracted. In buckets that still hold several components, the nodes outside the largest one are compared with all members,
+in cells of bounded size: sketches first, then full sets inside the task, likeliest pairs first, and no pair that is joined
+already. A cell gives links that join components and never all its pairs. Buckets with the same members are compared once.
 
 Defined results: words are split at ASCII white space, ASCII letters in lower case; a text of one to ``words`` words has one
 shingle, all of it. Null and wordless texts have no shingle and are linked with nothing (``empty_alike``: with each other). Every row
@@ -21,7 +21,6 @@ read, whatever they are called. An empty table gives no rows. Shingles are compa
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +37,9 @@ SAMPLES = 512
 BITS = 1024
 #: Estimated similarity below which a pair is not looked at further: five standard errors below 0.8.
 LEAST = 0.65
-#: Members of one cell of a bucket, and pairs of one hub in a task.
+#: Members and shingles of either side of a cell, and pairs of one hub in a task.
 CELL = 2048
+CELL_SHINGLES = 1 << 20
 HUB = 4096
 
 _SEEDS = np.array([xxhash.xxh64_intdigest(str(i), 11) for i in range(2 * SAMPLES)], np.uint64)
@@ -153,90 +153,92 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame
                 values = ends[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
                 if b is None:
                     hub, own = a, values
-                elif a == hub:
-                    small, large = (values, own) if len(values) < len(own) else (own, values)
-                    if 100 * len(small) < percent * len(large):
-                        continue
-                    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                    common = int((large[at] == small).sum())
-                    if 100 * common >= percent * (len(own) + len(values) - common):
-                        found.append((a, b))
+                elif a == hub and _similar(own, values, percent):
+                    found.append((a, b))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
     return rows.mapInArrow(check, "a long, b long")
 
 
-def _cells(members: DataFrame, linked: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(bucket, i, j, side, node, component, sketch): buckets with several components, cut into pairs of bounded chunks."""
+def _cells(members: DataFrame, linked: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(bucket, i, j, outside, node, component, sketch, shingles): of every bucket with several components, the members outside
+    its largest component against all its members, both cut into chunks of bounded size."""
     known = linked.withColumnRenamed("node", "known")
-    labelled = members.join(known, F.col("node") == F.col("known"), "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    labelled = written(labelled, "minhash-labelled")
-    state = [F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")]
-    state.append(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sign"))
-    open_ = labelled.groupBy("bucket").agg(*state).where("low < high")
-    open_ = open_.groupBy("n", "sign").agg(F.min("bucket").alias("bucket"))  # the same members are compared once
-    open_ = open_.select("bucket", F.ceil(F.col("n") / CELL).alias("chunks"))
-    at = F.pmod(F.xxhash64("node"), F.col("chunks"))
-    dealt = labelled.join(open_, "bucket").withColumn("chunk", at).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    first = F.least("chunk", "other")
-    dealt = dealt.select("bucket", first.alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") == first).alias("side"), "node", "component")
-    return dealt.join(nodes.select("node", "sketch"), "node").select("bucket", "i", "j", "side", "node", "component", "sketch")
-
-
-def across(cells: DataFrame, best: bool) -> DataFrame:
-    """Pairs (a, b) of different components in a cell whose sketches allow the similarity; with ``best`` only the likeliest
-    partner of each node in each other component."""
-    rows = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    labelled = members.join(known, F.col("node") == F.col("known"), "left").join(nodes.select(F.col("node").alias("own"), "n"), F.col("own") == F.col("node"))
+    labelled = written(labelled.select("bucket", "node", "n", F.coalesce("component", "node").alias("component")), "minhash-labelled")
+    sums = [F.count("*").alias("rows"), F.sum("n").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sign")]
+    parts = labelled.groupBy("bucket", "component").agg(*sums)
+    sums = [F.sum(c).alias(c) for c in ("rows", "size", "sign")]
+    open_ = parts.groupBy("bucket").agg(F.count("*").alias("components"), F.max(F.struct("rows", "size", "component")).alias("main"), *sums)
+    open_ = open_.where("components > 1").groupBy("rows", "sign").agg(F.min(F.struct("bucket", "main", "size")).alias("o"))  # the same members are compared once
+    chunks = lambda rows, size: F.greatest(F.ceil(rows / CELL), F.ceil(size / CELL_SHINGLES), F.lit(1))
+    outer = chunks(F.col("rows") - F.col("o.main.rows"), F.col("o.size") - F.col("o.main.size"))
+    open_ = open_.select("o.bucket", F.col("o.main.component").alias("main"), outer.alias("outer"), chunks(F.col("rows"), F.col("o.size")).alias("all"))
+    at = lambda c: F.pmod(F.xxhash64("node"), F.col(c))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    dealt = labelled.join(open_, "bucket")
+    outside = dealt.where("component <> main").select("bucket", at("outer").alias("i"), every("all").alias("j"), F.lit(True).alias("outside"), "node", "component")
+    inside = dealt.select("bucket", every("outer").alias("i"), at("all").alias("j"), F.lit(False).alias("outside"), "node", "component")
+    return outside.union(inside).join(nodes.select("node", "sketch"), "node").join(sets, "node").select(*_CELL)
+
+
+_CELL = ["bucket", "i", "j", "outside", "node", "component", "sketch", "shingles"]
+
+
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two ascending sets have 100 * intersection >= percent * union."""
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    if not len(small) or 100 * len(small) < percent * len(large):
+        return False
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    common = int((large[at] == small).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def links_of(outside: list, members: list, percent: int = 80) -> list[tuple[int, int]]:
+    """Links that join components, of nodes (node, component, sketch, set) with members: likeliest pairs first, and none of
+    nodes that are joined already."""
+    if not outside or not members:
+        return []
     most = most_differing(LEAST)
-
-    def pairs_of(node, component, sketch, side, own_chunk) -> np.ndarray:
-        left = np.arange(len(node)) if own_chunk else np.flatnonzero(side)
-        right = np.arange(len(node)) if own_chunk else np.flatnonzero(~side)
-        found = []
-        for start in range(0, len(left), 64):
-            part = left[start : start + 64]
-            differing = np.zeros((len(part), len(right)), np.int64)
-            for word in range(sketch.shape[1]):
-                differing += np.bitwise_count(sketch[part, word][:, None] ^ sketch[right, word][None, :])
-            may = (differing <= most) & (component[part][:, None] != component[right][None, :])
-            x, y = np.nonzero(may)
-            if best and len(x):
-                order = np.lexsort((differing[x, y], component[right[y]], x))
-                x, y = x[order], y[order]
-                head = np.r_[True, (x[1:] != x[:-1]) | (component[right[y[1:]]] != component[right[y[:-1]]])]
-                x, y = x[head], y[head]
-            if len(x):
-                a, b = node[part[x]], node[right[y]]
-                found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    labels = {c: k for k, c in enumerate({m[1] for m in members} | {m[1] for m in outside})}
+    label = np.array([labels[m[1]] for m in members])
+    sketch = np.array([m[2] for m in members], np.uint64)
+    name = np.arange(len(labels))  # of every component, the one it was joined to
+    found = []
+    for node, component, own, values in outside:
+        differing = np.bitwise_count(sketch ^ own).sum(axis=1, dtype=np.int64)
+        near = np.flatnonzero((differing <= most) & (name[label] != name[labels[component]]))
+        for k in near[np.argsort(differing[near], kind="stable")].tolist():
+            mine, theirs = name[labels[component]], name[label[k]]
+            if mine != theirs and _similar(values, members[k][3], percent):
+                name[name == theirs] = mine
+                found.append((node, members[k][0]))
+    return found
+
+
+def across(cells: DataFrame) -> DataFrame:
+    """Links (a, b) between different components of a cell; no more than the cell has components."""
+    rows = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if held:
-                node, component, side = (np.concatenate([h[c] for h in held]) for c in range(3))
-                sketch = np.concatenate([h[3] for h in held])
-                pairs = pairs_of(node, component, sketch, side, key[1] == key[2])
-                for start in range(0, len(pairs), 1 << 16):
-                    part = pairs[start : start + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], ["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
-            side = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
-            node, component = batch.column(4).to_numpy(), batch.column(5).to_numpy()
-            sketch = batch.column(6).flatten().to_numpy().view(np.uint64).reshape(len(keys), -1)
-            heads = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
-            for a, b in zip(heads.tolist(), np.r_[heads[1:], len(keys)].tolist(), strict=True):
-                if tuple(keys[a].tolist()) != key:
-                    yield from close()
-                    held, key = [], tuple(keys[a].tolist())
-                held.append((node[a:b].copy(), component[a:b].copy(), side[a:b].copy(), sketch[a:b].copy()))
-        yield from close()
+        sides: tuple[list, list] = ([], [])
+        key = None
+        for batch in cut_small(batches, 512):
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
+            outside, nodes, components_ = (batch.column(c).to_pylist() for c in (3, 4, 5))
+            for r, own in enumerate(keys):
+                if own != key:
+                    yield from emit(links_of(*sides))
+                    sides, key = ([], []), own
+                sketch, values = (batch.column(c)[r].values.to_numpy().view(np.uint64).copy() for c in (6, 7))
+                sides[0 if outside[r] else 1].append((nodes[r], components_[r], sketch, values))
+        yield from emit(links_of(*sides))
+
+    def emit(found: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
     return rows.mapInArrow(meet, "a long, b long")
 
@@ -250,21 +252,14 @@ def classes(rows: DataFrame, words: int = WORDS, empty_alike: bool = False) -> D
     dealt = written(nodes.where("n > 0").select("node", F.explode("bands").alias("bucket")), "minhash-buckets")
     heads = dealt.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last")
     members = written(dealt.join(heads.select("bucket", "head"), "bucket"), "minhash-members")
-    stars = members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    tested = [written(_alike(stars, nodes), "minhash-stars")]
+    stars = members.where("node <> head").groupBy("node").agg(F.min("head").alias("low"), F.max("head").alias("high"))
+    stars = stars.select(F.explode(F.array_distinct(F.array("low", "high"))).alias("a"), F.col("node").alias("b"))
     sets = _full_sets(rows, words, prints, nodes, members)
-    found = [written(confirmed(tested[0], sets), "minhash-links")]
-    linked = written(components(found[0]), "minhash-linked")
-    for best in (True, False):
-        cells = written(_cells(members, linked, nodes), "minhash-cells")
-        if cells.isEmpty():
-            break
-        more = across(cells, best).distinct().join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti")
-        tested.append(written(more, "minhash-across"))
-        if tested[-1].isEmpty():
-            continue
-        found.append(written(confirmed(tested[-1], sets), "minhash-links"))
-        linked = written(components(reduce(DataFrame.union, found)), "minhash-linked")
+    found = written(confirmed(_alike(stars, nodes), sets), "minhash-links")
+    linked = written(components(found), "minhash-linked")
+    more = written(across(_cells(members, linked, nodes, sets)), "minhash-across")
+    if not more.isEmpty():
+        linked = written(components(found.union(more)), "minhash-linked")
     named = nodes.join(linked, "node", "left").select("key", "n", "first_id", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     classes_ = named.where(F.lit(empty_alike) | (F.col("n") > 0)).join(least, "component").select("key", "component_id")
