@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memoloom.llm import contamination, licences, minhash, packing, pages, pivots, preferences, quality, repeats, simhash, tokens
+from memoloom.llm import alignment, contamination, licences, minhash, packing, pages, pivots, preferences, quality, repeats, simhash, tokens
 from memoloom.workspace import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -203,3 +203,8 @@ def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op12_tokenizer_alignment")
+def tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
