@@ -35,11 +35,13 @@ BLOCK = 2048
 FIRST = 64
 
 
-def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """(id, vector): floor(scale * x) of every component of the rows that take part."""
+def integer_vectors(
+    vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(id, kept columns, vector): floor(scale * x) of every component of the rows that take part."""
     usable = F.col(id_col).isNotNull() & F.forall(vec_col, _finite)
     scaled = F.transform(vec_col, lambda x: F.floor(x.cast("double") * scale).cast("long"))
-    return vectors.where(F.coalesce(usable, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), scaled.alias("vector"))
+    return vectors.where(F.coalesce(usable, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), *keep, scaled.alias("vector"))
 
 
 def _finite(x: Column) -> Column:
