@@ -17,6 +17,7 @@ import types
 import zlib
 from array import array
 from collections.abc import Iterator
+from unicodedata import normalize
 
 import numpy as np
 import public_tokenizers
@@ -38,49 +39,78 @@ GROUP_IDS = 1 << 20
 GROUP_DOCS = 1 << 12
 
 
-class Words(dict):
-    """Word -> id bytes, filled when asked. Marks after a letter and ASCII capitals do not change how the rest of a word
-    is cut, so such words are put together from shorter ones; the library encodes what remains."""
+#: Marks after a letter; with ASCII capitals they do not change how the rest of a word is cut.
+MARKS = ".,;:!?%&*$#|"
 
-    marks = ".,;:!?%&*$#|"
 
-    def __init__(self, tokenizer: Tokenizer, before: dict[str, bytes]):
-        super().__init__({"": b""})
-        self.tokenizer, self.before = tokenizer, before
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.before.get(word)
-        if ids is not None:
-            self[word] = ids
-            return ids
-        core = word.rstrip(self.marks)
-        if "<" in word:  # may hold a special token, which is matched as it is written
-            ids = self.ask(word)
-        elif len(core) < len(word) and core[-1:].isalpha():
-            ids = self[core] + self[word[len(core) :]]
-        elif word.isascii() and (lower := word.lower()) != word:
-            ids = self[lower]
-        else:
-            ids = self.ask(word)
-        self[word] = ids
-        return ids
-
-    def ask(self, word: str) -> bytes:
-        return array("I", self.tokenizer.encode_batch_fast([word], add_special_tokens=False)[0].ids).tobytes()
+def parts(word: str) -> tuple[str, ...]:
+    """The shorter words whose ids put together are those of a word."""
+    if "<" in word:  # may hold a special token, which is matched as it is written
+        return (word,)
+    core = word.rstrip(MARKS)
+    if len(core) < len(word) and core[-1:].isalpha():
+        return (core.lower() if core.isascii() else core, word[len(core) :])
+    return (word.lower() if word.isascii() else word,)
 
 
 class Encoder:
-    """Ids by the tokenizers library, without special tokens, as little-endian unsigned 32-bit bytes."""
+    """Ids by the tokenizers library, without special tokens, as little-endian unsigned 32-bit bytes. What is new in a batch
+    of texts goes to the library in one call; words of letters alone go many to a text, each ending with its word-final id."""
+
+    together = 64
 
     def __init__(self, path: str, remembered: int = GENERATION):
         self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
-        self.words = Words(self.tokenizer, {})
+        names = self.tokenizer.get_vocab()
+        self.final = np.zeros(max(names.values()) + 1, bool)
+        self.final[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.words) > self.remembered:
-            self.words = Words(self.tokenizer, dict(self.words))
+            self.words, self.before = {"": b""}, self.words
+        cut = [(text or "").replace("\n", " ").split(" ") for text in texts]
+        self._learn(set().union(*cut).difference(self.words))
         known = self.words.__getitem__
-        return [b"".join(map(known, (text or "").replace("\n", " ").split(" "))) for text in texts]
+        return [b"".join(map(known, words)) for words in cut]
+
+    def _recalled(self, words: set[str]) -> list[str]:
+        """Take words over from the generation before; those that it does not know either."""
+        before, left = self.before, []
+        for word in words:
+            ids = before.get(word)
+            if ids is None:
+                left.append(word)
+            else:
+                self.words[word] = ids
+        return left
+
+    def _asked(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+
+    def _learn(self, words: set[str]) -> None:
+        cut = {word: parts(word) for word in self._recalled(words)}
+        asked = self._recalled(set().union(*cut.values()).difference(self.words))
+        letters = [word for word in asked if normalize("NFC", word).lower().isalpha()]
+        left = set(asked).difference(letters)
+        known = self.words
+        groups = [letters[k : k + self.together] for k in range(0, len(letters), self.together)]
+        for words, found in zip(groups, self._asked([" ".join(g) for g in groups]), strict=True):
+            ids = np.array(found.ids, "<u4")
+            ends = (np.flatnonzero(self.final[ids]) + 1) * 4
+            if len(ends) != len(words):
+                left.update(words)
+                continue
+            data, start = ids.tobytes(), 0
+            for word, end in zip(words, ends.tolist(), strict=True):
+                known[word] = data[start:end]
+                start = end
+        left = list(left)
+        for word, found in zip(left, self._asked(left), strict=True):
+            known[word] = array("I", found.ids).tobytes()
+        for word, own in cut.items():
+            known[word] = known[own[0]] + known[own[1]] if len(own) == 2 else known[own[0]]
 
 
 def encoder(path: str, remembered: int = GENERATION) -> Encoder:
