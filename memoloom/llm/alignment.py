@@ -113,8 +113,9 @@ class Pair:
             self.known, self.before = {}, self.known
         cut = [_STRETCH.findall(s) for s in spaced]
         fresh = set().union(*cut).difference(self.known)
-        for s in fresh.intersection(self.before):
-            self.known[s] = self.before[s]
+        for s in fresh:
+            if s in self.before:
+                self.known[s] = self.before[s]
         fresh = list(fresh.difference(self.before))
         self.known.update(zip(fresh, self._both(fresh), strict=True))
         out = []

@@ -243,8 +243,8 @@ def across(cells: DataFrame) -> DataFrame:
     return rows.mapInArrow(meet, "a long, b long")
 
 
-def classes(rows: DataFrame, words: int = WORDS, empty_alike: bool = False) -> DataFrame:
-    """doc_id, n_shingles and component_id of rows (doc_id, text)."""
+def classes(rows: DataFrame, words: int = WORDS, empty_alike: bool = False, proposed: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_shingles and component_id of rows (doc_id, text); ``proposed`` are pairs (a, b) of ids to be compared too."""
     prints = written(_prints(rows, words), "minhash-prints")
     owners = prints.where("doc_id is not null").groupBy("key")
     owners = owners.agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("n", "bands", "sketch")])
@@ -254,8 +254,14 @@ def classes(rows: DataFrame, words: int = WORDS, empty_alike: bool = False) -> D
     members = written(dealt.join(heads.select("bucket", "head"), "bucket"), "minhash-members")
     stars = members.where("node <> head").groupBy("node").agg(F.min("head").alias("low"), F.max("head").alias("high"))
     stars = stars.select(F.explode(F.array_distinct(F.array("low", "high"))).alias("a"), F.col("node").alias("b"))
-    sets = _full_sets(rows, words, prints, nodes, members)
-    found = written(confirmed(_alike(stars, nodes), sets), "minhash-links")
+    stars, met = _alike(stars, nodes), members.select("node")
+    if proposed is not None:
+        named = nodes.where("n > 0").select("first_id", "node")  # ids of nodes; pairs of other copies say nothing new
+        ends = [named.toDF(c, n) for c, n in (("a", "x"), ("b", "y"))]
+        more = written(proposed.join(ends[0], "a").join(ends[1], "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")), "minhash-proposed")
+        stars, met = stars.union(more).distinct(), met.union(more.select(F.explode(F.array("a", "b"))))
+    sets = _full_sets(rows, words, nodes, met)
+    found = written(confirmed(stars, sets), "minhash-links")
     linked = written(components(found), "minhash-linked")
     more = written(across(_cells(members, linked, nodes, sets)), "minhash-across")
     if not more.isEmpty():
@@ -268,9 +274,9 @@ def classes(rows: DataFrame, words: int = WORDS, empty_alike: bool = False) -> D
     return own.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", alone).alias("component_id"))
 
 
-def _full_sets(rows: DataFrame, words: int, prints: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
-    """(node, shingles) of the nodes that share a bucket with another one, from one row of each."""
-    met = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "key", "first_id")
+def _full_sets(rows: DataFrame, words: int, nodes: DataFrame, met: DataFrame) -> DataFrame:
+    """(node, shingles) of the nodes (node) that are to be compared, from one row of each."""
+    met = nodes.join(met.distinct(), "node", "left_semi").select("node", "key", "first_id")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cut_small(batches, 64):

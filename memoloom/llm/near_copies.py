@@ -1,165 +1,30 @@
-"""Near copies by exact Jaccard similarity of word shingles: prefix filter, candidates in two rounds, exact check.
+"""Near copies by exact Jaccard similarity of word shingles: SimHash groups and MinHash bands propose, full sets decide.
 
-Texts with the same set of five-word shingles are one node. Two sets of similarity 0.8 or more share a shingle among the
-rarest fifth of each (in any one order of all shingles), so only these prefixes are dealt by shingle. The order puts
-shingles that are frequent in a bounded sample last; the sample decides cost and never the result.
-
-Of the sets that share a prefix shingle, the one with the smallest node is compared with all others first. What that links
-is contracted; then members outside a shingle's largest component are compared with all members of other components. So a
-large group of near copies costs a row per member and not per pair, and no pair that could join two components is left out.
+Texts with the same set of five-word shingles are one node. Two sources propose pairs of nodes: the Gray-order SimHash index
+over five-word fingerprints (its groups within three bits, each node with the first one of its group), which takes in most
+copies, and the bands of ``minhash``, which also reach the near copies that lie further apart: most pairs at similarity 0.8 differ
+in five to ten bits. Every proposed pair is compared on its full sets, so fingerprints never join unlike texts, and a
+pair at similarity 0.8 is missed by the bands with a chance of 5e-8. A shingle that very many unlike texts share proposes nothing.
 
 Defined results: words as in ``simhash`` (split at ASCII white space, ASCII letters in lower case); a text of one to five words has one
-shingle, all of it; null and wordless texts are equal to each other; every row gives a row, repeated rows included. A row
-with a null id takes its component from rows that have one, or null. Shingles are compared by their XXH64 values.
+shingle, all of it; null and wordless texts are equal to each other; every row gives a row, repeated rows included, and is judged
+by its own text. A row with a null id takes its component from rows that have one, or null. Texts of any length are used whole; other columns
+are not read, whatever they are called; an empty table gives no rows. Shingles are compared by their XXH64 values.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memoloom.llm.components import components
-from memoloom.llm.storage import cut_small, dropped, written
+from memoloom.llm import minhash, simhash
 
 WORDS = 5
-#: Documents whose shingles are counted for the order, and shingles that the order knows to be frequent.
-SAMPLE = 4096
-FREQUENT = 100_000
-#: Slices of either side of the pairs that are checked one after the other: bounds the disk that their sets take.
-SLICES = 3
-
-
-def shingles(text: str | None, words: int = WORDS, seed: int = 42) -> np.ndarray:
-    """XXH64 values of the distinct word shingles of one whole text, ascending."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(found)
-    if len(found) <= words:
-        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
-    ends = np.cumsum([len(w) + 1 for w in found]) - 1
-    starts = np.r_[0, ends[:-1] + 1][: len(found) - words + 1].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)], np.uint64))
-
-
-def prefix_length(size: int) -> int:
-    """How many of its first shingles a set must show to meet every set of similarity 0.8 or more."""
-    return size - (4 * size + 4) // 5 + 1 if size else 0
-
-
-def _sets(rows: DataFrame) -> DataFrame:
-    """(doc_id, key, shingles) of rows (doc_id, text)."""
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in cut_small(batches, 64):
-            found = [shingles(t) for t in batch.column(1).to_pylist()]
-            keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in found]
-            columns = [batch.column(0), pa.array(keys, pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "shingles"])
-
-    return rows.mapInArrow(digest, "doc_id long, key binary, shingles array<long>")
-
-
-def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of several sampled documents, ascending, and in how many they are."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE))
-    first = rows.where("doc_id is not null").groupBy(place.alias("place")).agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")).alias("first"))
-    chosen = rows.join(F.broadcast(first.select("first.doc_id")), "doc_id", "left_semi")  # at most SAMPLE ids
-    counts = _sets(chosen).select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2")
-    top = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
-    found = np.array([(r["shingle"], r["n"]) for r in top], np.int64).reshape(-1, 2)
-    values = found[:, 0].copy().view(np.uint64)
-    order = np.argsort(values)
-    return values[order], found[order, 1]
-
-
-def _prefixes(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, key, size, prefix) of rows (doc_id, text); the prefix has its rarest shingles first."""
-    known, counts = frequent
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in cut_small(batches):
-            keys, sizes, prefixes = [], [], []
-            for text in batch.column(1).to_pylist():
-                own = shingles(text)
-                often = np.zeros(len(own), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    often = np.where(known[at] == own, counts[at], 0)
-                keys.append(xxhash.xxh3_128_digest(own.tobytes()))
-                sizes.append(len(own))
-                prefixes.append(own[np.lexsort((own, often))][: prefix_length(len(own))].view(np.int64))
-            columns = [batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "size", "prefix"])
-
-    return rows.mapInArrow(digest, "doc_id long, key binary, size long, prefix array<long>")
-
-
-def _possible(a: str, b: str):
-    """Whether sets whose first common shingle stands at these places can be similar enough."""
-    most = F.least(F.col(f"{a}.size") - F.col(f"{a}.pos"), F.col(f"{b}.size") - F.col(f"{b}.pos"))
-    return 9 * most >= 4 * (F.col(f"{a}.size") + F.col(f"{b}.size"))
-
-
-def _similar(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of 0.8 or more, exactly."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = _sets(rows.join(nodes, "doc_id", "left_semi")).dropDuplicates(["doc_id", "key"])
-    sets = written(sets.select(F.col("doc_id").alias("node"), "shingles"), "copies-sets")
-    slice_of = lambda c: F.pmod(F.xxhash64(c), F.lit(SLICES))
-    common = F.size(F.array_intersect("x", "y"))
-    found = []
-    for i in range(SLICES):
-        left = sets.where(slice_of("node") == i).select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-        for j in range(SLICES):
-            own = pairs.where((slice_of("a") == i) & (slice_of("b") == j))
-            right = sets.where(slice_of("node") == j).select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-            near = own.join(left, "a").join(right, "b").where(9 * common >= 4 * (F.size("x") + F.size("y")))
-            found.append(written(near.select("a", "b").distinct(), "copies-near"))
-    dropped(sets)
-    return reduce(DataFrame.union, found)
-
-
-def _across(members: DataFrame, linked: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components at one shingle, one of them outside the shingle's largest component."""
-    known = linked.withColumnRenamed("node", "known")
-    labelled = members.join(known, F.col("node") == F.col("known"), "left").select("shingle", "node", "size", "pos", F.coalesce("component", "node").alias("component"))
-    sizes = labelled.groupBy("shingle", "component").agg(F.count("*").alias("n"))
-    mains = sizes.groupBy("shingle").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = labelled.join(mains.select("shingle", F.col("most.component").alias("main")), "shingle")
-    open_ = written(open_, "copies-open")
-    met = open_.where("component <> main").alias("o").join(open_.alias("m"), F.col("o.shingle") == F.col("m.shingle"))
-    met = met.where((F.col("o.component") != F.col("m.component")) & _possible("o", "m"))
-    return met.select(F.least("o.node", "m.node").alias("a"), F.greatest("o.node", "m.node").alias("b")).distinct()
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and component_id (smallest id reachable over near copies) of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prints = written(_prefixes(rows, _frequent(rows)), "copies-prefixes")
-    named = prints.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"))
-    named = written(named, "copies-named")
-    # one row per set: the row of its smallest id
-    owners = prints.join(named.withColumnRenamed("key", "own"), (F.col("key") == F.col("own")) & (F.col("doc_id") == F.col("node")), "left_semi")
-    dealt = owners.dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias("node"), "size", F.posexplode("prefix").alias("pos", "shingle"))
-    dealt = written(dealt, "copies-dealt")
-    heads = dealt.groupBy("shingle").agg(F.min(F.struct("node", "size", "pos")).alias("head"), F.max("node").alias("last")).where("head.node < last")
-    members = written(dealt.join(heads.select("shingle", "head"), "shingle"), "copies-members")
-    dropped(dealt)
-    stars = members.where("node <> head.node").select(F.struct("node", "size", "pos").alias("o"), F.col("head").alias("m")).where(_possible("o", "m"))
-    first = written(stars.select(F.col("m.node").alias("a"), F.col("o.node").alias("b")).distinct(), "copies-stars")
-    found = _similar(first, rows)
-    linked = written(components(found), "copies-linked")
-    more = written(_across(members, linked).join(first, ["a", "b"], "left_anti"), "copies-across")
-    if not more.isEmpty():
-        found = found.union(_similar(more, rows))
-        linked = written(components(found), "copies-components")
-    classes = named.join(linked, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(classes, "key", "left").select("doc_id", "component_id")
+    groups = simhash.near_duplicates(rows, shingle=WORDS).where("doc_id <> component_id")
+    proposed = groups.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+    return minhash.classes(rows, WORDS, empty_alike=True, proposed=proposed).select("doc_id", "component_id")

@@ -220,9 +220,9 @@ def _left_over(cut: DataFrame, first: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, shingle: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest id reachable over links) of every row."""
-    prints = materialized(with_fingerprints(docs, id_col, text_col), "simhash-fingerprints")
+    prints = materialized(with_fingerprints(docs, id_col, text_col, shingle), "simhash-fingerprints")
     named = prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"))
     distinct = materialized(named, "simhash-distinct")
     linked = link_fingerprints(distinct, distance)

