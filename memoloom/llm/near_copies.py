@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memoloom.llm import minhash, simhash
+from memoloom.llm.storage import small_batches
 
 WORDS = 5
 
@@ -25,6 +26,7 @@ WORDS = 5
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and component_id (smallest id reachable over near copies) of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    groups = simhash.near_duplicates(rows, shingle=WORDS).where("doc_id <> component_id")
-    proposed = groups.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
-    return minhash.classes(rows, WORDS, empty_alike=True, proposed=proposed).select("doc_id", "component_id")
+    with small_batches(docs.sparkSession):
+        groups = simhash.near_duplicates(rows, shingle=WORDS).where("doc_id <> component_id")
+        proposed = groups.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+        return minhash.classes(rows, WORDS, empty_alike=True, proposed=proposed).select("doc_id", "component_id")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from memoloom.llm.simple8b import decode, encode
-from memoloom.llm.storage import cut_small
+from memoloom.llm.storage import cut_small, give_back
 from memoloom.workspace import materialized
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -125,10 +125,15 @@ def encoder(path: str, remembered: int = GENERATION) -> Encoder:
 def encoded(
     batches: Iterator[pa.RecordBatch], path: str, text: int, remembered: int = GENERATION
 ) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Batches cut small, each with the id bytes of its texts."""
-    own = encoder(path, remembered)
+    """Batches cut small, each with the id bytes of its texts. Where fewer words are to be remembered than usual, the encoder
+    goes with its task."""
+    frugal = remembered < GENERATION
+    own = Encoder(path, remembered) if frugal else encoder(path, remembered)
     for part in cut_small(batches):
         yield part, own.encode(part.column(text).to_pylist())
+    if frugal:
+        del own
+        give_back()
 
 
 GROUPS = "part int, first long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
