@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import test_contamination
-import test_near_copies
 import test_repeats
 from memoloom.workspace import materialized
+from test_near_copies import plain_components
 
 SF_DIR = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -58,7 +58,7 @@ def test_quality(spark, stages):
 
 
 def test_near_copies(stages):
-    want = test_near_copies.plain_components(rows(stages[1]))
+    want = plain_components(rows(stages[1]))
     assert ids(stages[2]) == sorted(i for i, c in want.items() if i == c)
     assert 9003 not in ids(stages[2])
 
