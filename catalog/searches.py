@@ -57,6 +57,12 @@ def join_knn(spark, sf_dir):
     return _shown(knn_join(_queries(spark, sf_dir), vectors(spark, sf_dir), k=K, min_score=MIN_SCORE))
 
 
+@query("join_knn_regions", f"WITH {SQL_VECTORS}, {_sql_ranked(SQL_L2)} {SQL_SHOWN}")
+def join_knn_regions(spark, sf_dir):
+    stored = vectors(spark, sf_dir)
+    return _shown(knn_join(_queries(spark, sf_dir), stored, k=K, min_score=MIN_SCORE, regions=64))
+
+
 @query(
     "join_knn_cosine",
     f"WITH {SQL_VECTORS}, {_sql_ranked(sql_cosine('q.vector', 'm.vector'), min_score=0.2)} {SQL_SHOWN}",

@@ -1,8 +1,10 @@
 """Exact top-k similarity join of query vectors against memory vectors.
 
 Both sides are cut into cells by scope and by hash; queries and memories of a cell meet in one sorted stream, and every
-cell passes on at most k rows per query. A scope that holds much of either side is cut into many cells, so no task depends
-on how rows are spread over scopes. The plan is the same at every size and nothing runs before the result is asked for.
+cell passes on at most k rows per query. A cell's queries are held and its memories stream by, so queries are cut by the
+bytes a task may hold and memories only as far as the number of tasks asks for: that keeps |Q| * mp + |M| * qp, the rows that
+are shuffled, small. No task depends on how rows are spread over scopes. Without regions nothing runs before the result is
+asked for. With regions (`regions.py`) a query meets only the memories that can be among its best.
 
 Rows are never paired up in Spark: pairs exist only inside a matrix product.
 """
@@ -20,12 +22,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memoloom.functions.vectors import all_finite
+from memoloom.operators.regions import fit, send
 from memoloom.operators.topk import METRICS, RunningTopK
 from memoloom.schemas import DEFAULT_MIN_SCORE, DEFAULT_TOP_K
-
-# Cells: queries and memories wanted in one. Queries are held, memories stream by.
-QUERIES_PER_CELL = 8192
-MEMORIES_PER_CELL = 32768
+from memoloom.workspace import materialized
+
+# A cell holds its queries: bytes that they may take in a task, and bytes for each of their components.
+HELD_BYTES = 256 << 20
+HELD_PER_COMPONENT = 20
+# Memories stream by; a cell with fewer is not worth a task. Cells wanted for each shuffle partition.
+LEAST_MEMORIES = 4096
+CELLS_PER_PARTITION = 2
+# Rows of a scope below which it is not looked at when cells are planned.
+SMALL = 4096
 # Scopes cut apart. A scope beyond the largest 100,000 holds less than 1/100,000 of its side and stays whole.
 MAX_CUT_SCOPES = 100_000
 
@@ -52,6 +61,7 @@ def knn_join(
     memory_vector: str = "vector",
     memory_scope: str = "scope",
     spread_by: tuple[str, ...] = (),
+    regions: int | None = None,
 ) -> DataFrame:
     """query_id, id, score, rank of the k best memories per query with score >= min_score.
 
@@ -60,7 +70,8 @@ def knn_join(
 
     `query_scopes` names an ARRAY<STRING> column with the scopes a query may read; null means all memories. Query ids
     must be unique. `spread_by` names further memory columns (e.g. a row position) that tell copies with equal ids
-    apart when cells are formed.
+    apart when cells are formed. `regions` asks for that many regions of memories (a few times the square root of their number
+    in millions is enough); the memories are then stored once with their region, and the rows are the same.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
@@ -80,18 +91,49 @@ def knn_join(
         F.xxhash64(memory_id, *spread_by).alias("spread"),
     )
 
-    return top_k(_meet_in_cells(q, m, k, min_score, metric), k)
+    lowest = float("-inf") if min_score is None else float(min_score)
+    q = q.withColumn("floor", F.lit(lowest))
+    if regions is None:
+        return top_k(_meet_in_cells(q, m, k, metric), k)
+    m, known = fit(m.where(_usable()), regions, metric)
+    if known is None:
+        return top_k(_meet_in_cells(q, m.drop("region"), k, metric), k)
+    q = q.where(_usable())
+    found = materialized(_meet_in_cells(send(q, known, False), m, k, metric), "first-hits")
+    kth = top_k(found, k).where(F.col("rank") == k).select(F.col("query_id").alias("asked"), F.col("score").alias("kth"))
+    raised = q.join(kth, F.col("query_id") == F.col("asked"), "left").withColumn("floor", F.greatest("floor", F.coalesce("kth", "floor")))
+    return top_k(_meet_in_cells(send(raised.select(*q.columns), known, True), m, k, metric), k)
 
 
 # ---------------------------------------------------------------------------------------------- cells
 
 
-def _parts(rows: DataFrame, wanted: int, name: str, always: str) -> DataFrame:
-    """key and number of parts for the keys with more than `wanted` rows, and for the key `always`."""
-    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    cut = counts.where((F.col("n") > wanted) | (F.col("key") == always))
-    cut = cut.orderBy((F.col("key") == always).desc(), F.desc("n")).limit(MAX_CUT_SCOPES)
-    return cut.select("key", F.ceil(F.col("n") / wanted).cast("int").alias(name))
+def _counts(rows: DataFrame, name: str, *more: Column) -> DataFrame:
+    """Rows of the keys with more than SMALL of them, and of the key of all memories."""
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias(name), *more)
+    large = counts.where((F.col(name) > SMALL) | (F.col("key") == _ALL))
+    return large.orderBy((F.col("key") == _ALL).desc(), F.desc(name)).limit(MAX_CUT_SCOPES)
+
+
+def cell_plan(queries: Column, memories: Column, dimension: Column, cells: Column) -> tuple[Column, Column]:
+    """Parts of the queries and of the memories of a key that may have so many cells.
+
+    A query is copied to every part of the memories, a memory to every part of the queries. Queries are cut by what a task
+    can hold and no further, memories by the cells that leaves.
+    """
+    qp = F.greatest(F.ceil(queries * dimension * HELD_PER_COMPONENT / HELD_BYTES), F.lit(1))
+    mp = F.greatest(F.least(F.ceil(cells / qp), F.ceil(memories / LEAST_MEMORIES)), F.lit(1))
+    return qp.cast("int"), mp.cast("int")
+
+
+def _planned(q: DataFrame, m: DataFrame) -> DataFrame:
+    """key, qp, mp of the large keys: at most 2 x MAX_CUT_SCOPES short rows. Cells are shared out by the pairs of a key."""
+    wanted = CELLS_PER_PARTITION * int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = _counts(q, "nq", F.max(F.size("vector")).alias("dimension")).join(_counts(m, "nm"), "key", "full_outer")
+    nq, nm = (F.coalesce(F.col(c), F.lit(SMALL)).cast("double") for c in ("nq", "nm"))
+    share = wanted * nq * nm / F.sum(nq * nm).over(Window.partitionBy())
+    qp, mp = cell_plan(nq, nm, F.coalesce("dimension", F.lit(1)), share)
+    return counts.select("key", qp.alias("qp"), mp.alias("mp"))
 
 
 def _usable() -> Column:
@@ -107,20 +149,21 @@ def _each(parts: Column) -> Column:
     return F.explode(F.sequence(F.lit(0), parts - 1))
 
 
-def _meet_in_cells(q: DataFrame, m: DataFrame, k, min_score, metric) -> DataFrame:
-    # A key is one scope's memories, or all memories for queries without scopes.
+def _meet_in_cells(q: DataFrame, m: DataFrame, k, metric) -> DataFrame:
+    # A key is one scope's memories, or all memories for queries without scopes; with regions, those of one region.
     named = F.transform(F.array_distinct(F.array_compact("scopes")), lambda s: F.concat(F.lit("="), s))
     q = q.withColumn("key", F.explode(F.coalesce(named, F.array(F.lit(_ALL)))))
     keys = F.array_compact(F.array(F.concat(F.lit("="), F.col("scope")), F.lit(_ALL)))
     m = m.withColumn("key", F.explode(keys))
+    if "region" in m.columns:
+        named = F.concat("key", F.lit("#"), F.col("region").cast("string"))
+        q = q.withColumn("region", F.explode("regions")).withColumn("key", named)
+        m = m.withColumn("key", named)
 
     asked = q.select("key").distinct()
     m = m.join(asked, "key", "left_semi")
-    query_parts = _parts(q, QUERIES_PER_CELL, "qp", _ALL)
-    memory_parts = _parts(m, MEMORIES_PER_CELL, "mp", _ALL)
-    # At most 2 x MAX_CUT_SCOPES short rows, hence the broadcast; both sides use the same one. The counts read the
-    # scopes only, not the vectors.
-    parts = F.broadcast(query_parts.join(memory_parts, "key", "full_outer"))
+    # Both sides use the same plan. The counts of the memories read the scopes only, not the vectors.
+    parts = F.broadcast(_planned(q, m))
     qp, mp = F.coalesce("qp", F.lit(1)), F.coalesce("mp", F.lit(1))
 
     id_type, memory_id_type = q.schema["query_id"].dataType, m.schema["id"].dataType
@@ -132,10 +175,10 @@ def _meet_in_cells(q: DataFrame, m: DataFrame, k, min_score, metric) -> DataFram
         "query_id",
         F.lit(None).cast(memory_id_type).alias("id"),
         "vector",
+        "floor",
     )
-    # Without a query that reads everything, the copy of the memories for such queries is not made.
     right = m.where(_usable()).join(parts, "key", "left")
-    right = right.where((F.col("key") != _ALL) | F.col("qp").isNotNull()).select(
+    right = right.select(
         "key",
         _each(qp).alias("qn"),
         _part(F.col("spread"), mp).alias("mn"),
@@ -143,14 +186,15 @@ def _meet_in_cells(q: DataFrame, m: DataFrame, k, min_score, metric) -> DataFram
         F.lit(None).cast(id_type).alias("query_id"),
         "id",
         "vector",
+        F.lit(None).cast("double").alias("floor"),
     )
     cell = ["key", "qn", "mn"]
     stream = left.unionByName(right).repartition(*cell).sortWithinPartitions(*cell, "side")
     out = _hit_type(id_type, memory_id_type)
-    return stream.mapInArrow(_cell_scanner(k, min_score, metric, _arrow(out)), out)
+    return stream.mapInArrow(_cell_scanner(k, metric, _arrow(out)), out)
 
 
-def _cell_scanner(k, min_score, metric, schema):
+def _cell_scanner(k, metric, schema):
     """Reads cells one after another: first a cell's queries, which are held, then its memories, which stream by."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,14 +207,15 @@ def _cell_scanner(k, min_score, metric, schema):
                         yield from _hits(running.result(), schema)
                     cell, held, running = now, [], None
                 if piece.column("side")[0].as_py() == 0:
-                    held.append(piece.select(["query_id", "vector"]))
+                    held.append(piece.select(["query_id", "vector", "floor"]))
                     continue
                 if not held and running is None:
                     continue  # a scope nobody asks for
                 if running is None:
                     ids = np.concatenate([p.column("query_id").to_numpy(zero_copy_only=False) for p in held])
                     vectors = np.concatenate([_matrix(p.column("vector")) for p in held])
-                    running, held = RunningTopK(ids, vectors, k, min_score, metric), []
+                    floors = np.concatenate([p.column("floor").to_numpy(zero_copy_only=False) for p in held])
+                    running, held = RunningTopK(ids, vectors, k, floors, metric), []
                 running.add(
                     piece.column("id").to_numpy(zero_copy_only=False),
                     _matrix(piece.column("vector"), running.vectors.shape[1]),

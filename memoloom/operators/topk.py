@@ -21,9 +21,9 @@ _LARGEST_FLOAT32_NORM = 1e15
 
 
 class RunningTopK:
-    """The k best rows seen so far for every query."""
+    """The k best rows seen so far for every query; the least score is one for all queries or one for each."""
 
-    def __init__(self, query_ids, vectors: np.ndarray, k: int, min_score: float | None, metric: str):
+    def __init__(self, query_ids, vectors: np.ndarray, k: int, min_score: float | np.ndarray | None, metric: str):
         self.query_ids = np.asarray(query_ids)
         self.vectors = vectors.astype(np.float64)
         self.k = k

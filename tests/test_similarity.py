@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import plan_of
-from memoloom.operators import similarity
+from memoloom.operators import regions, similarity
 from memoloom.operators.similarity import knn_join, top_k
 from memoloom.operators.topk import RunningTopK
 
@@ -67,11 +67,15 @@ def make(spark, nq=40, nm=300, seed=1, hot=0.4, copies=0, users=5):
 FORMS = {"cells": {}}
 
 
-@pytest.fixture(params=["cells", "small cells"])
+@pytest.fixture(params=["cells", "small cells", "regions"])
 def form(request, monkeypatch):
+    if request.param == "regions":
+        monkeypatch.setattr(regions, "FIRST", 25)
+        return {"regions": 9}
     if request.param == "small cells":
-        monkeypatch.setattr(similarity, "QUERIES_PER_CELL", 7)
-        monkeypatch.setattr(similarity, "MEMORIES_PER_CELL", 23)
+        monkeypatch.setattr(similarity, "HELD_BYTES", 7 * DIM * similarity.HELD_PER_COMPONENT)
+        monkeypatch.setattr(similarity, "LEAST_MEMORIES", 23)
+        monkeypatch.setattr(similarity, "SMALL", 5)
     return FORMS["cells"]
 
 
@@ -147,10 +151,60 @@ def test_result_does_not_depend_on_partitions(spark, form):
 
 
 def test_hot_scope_is_cut_into_cells(spark, monkeypatch):
-    monkeypatch.setattr(similarity, "MEMORIES_PER_CELL", 10)
+    monkeypatch.setattr(similarity, "LEAST_MEMORIES", 10)
+    monkeypatch.setattr(similarity, "SMALL", 10)
     _, _, q, m = make(spark, nm=300, hot=0.5)
-    parts = similarity._parts(m.withColumn("key", F.concat(F.lit("="), "scope")), 10, "mp", "*")
-    assert parts.where("key = '=global'").first()["mp"] > 10
+    key = F.concat(F.lit("="), "scope")
+    asked = q.withColumn("key", F.explode(F.transform(F.coalesce("scopes", F.array(F.lit("global"))), lambda s: F.concat(F.lit("="), s))))
+    parts = similarity._planned(asked, m.withColumn("key", key))
+    assert parts.where("key = '=global'").first()["mp"] >= 8
+
+
+@pytest.mark.parametrize(
+    "queries,memories,dimension,cells",
+    [(10**7, 10**9, 1024, 16_000), (10**7, 10**9, 64, 16_000), (2000, 2000, 64, 16), (1, 10**9, 1024, 16_000), (10**7, 10, 64, 100)],
+)
+def test_cell_plan(spark, queries, memories, dimension, cells):
+    plan = similarity.cell_plan(*(F.lit(float(x)) for x in (queries, memories, dimension, cells)))
+    qp, mp = spark.range(1).select(*plan).first()
+    assert (mp <= 1000 or queries * mp <= memories) and qp <= 1000  # how often a query, and a memory, is copied
+    assert queries / qp * dimension * similarity.HELD_PER_COMPONENT <= similarity.HELD_BYTES
+    assert qp * mp >= min(cells, memories / similarity.LEAST_MEMORIES) and mp <= max(1, memories / similarity.LEAST_MEMORIES + 1)
+
+
+def test_regions_leave_out_what_cannot_rank(spark, monkeypatch):
+    monkeypatch.setattr(regions, "FIRST", 100)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, DIM)) * 10
+    vectors = (np.repeat(centres, 100, axis=0) + rng.normal(size=(3000, DIM)) * 0.3).astype(np.float32)
+    asked = (centres[rng.integers(30, size=50)] + rng.normal(size=(50, DIM)) * 0.3).astype(np.float32)
+    m = spark.createDataFrame([(f"m{i:04d}", v.tolist(), i) for i, v in enumerate(vectors)], "id string, vector array<float>, spread long")
+    q = spark.createDataFrame([(i, v.tolist(), float("-inf")) for i, v in enumerate(asked)], "query_id long, vector array<float>, floor double")
+    _, known = regions.fit(m, 60, "l2")
+    first = [len(r["regions"]) for r in regions.send(q, known, False).collect()]
+    exact = rows_of(knn_join(q, m, k=5, min_score=None))
+    kth = {g[0]: g[3] for g in exact if g[1] == 5}
+    floors = spark.createDataFrame([(i, v.tolist(), kth[i] - 1e-9) for i, v in enumerate(asked)], "query_id long, vector array<float>, floor double")
+    second = [sum(known.rows[r] for r in row["regions"]) for row in regions.send(floors, known, True).collect()]
+    assert sum(second) < 0.2 * 50 * 3000 and max(first) < 12
+    assert rows_of(knn_join(q, m, k=5, min_score=None, regions=60)) == exact
+
+
+def test_region_bounds_hold():
+    rng = np.random.default_rng(4)
+    rows, asked = rng.normal(size=(400, DIM)), rng.normal(size=(30, DIM))
+    for metric in ("l2", "cosine"):
+        base = regions._unit(rows) if metric == "cosine" else rows
+        known = regions.Regions(regions.choose_pivots(base, 12), metric)
+        placed = known.placed(rows)
+        near = placed.argmin(axis=1)
+        for r in range(len(known.pivots)):
+            own = placed[near == r, r]
+            known.rows[r], known.least[r], known.most[r] = len(own), own.min(initial=np.inf), own.max(initial=-np.inf)
+        true = regions._distances(regions._unit(asked) if metric == "cosine" else asked, base)
+        possible = known.nearest_possible(known.placed(asked))
+        for r in np.unique(near):
+            assert (possible[:, r][:, None] <= true[:, near == r]).all()
 
 
 def test_plans_have_no_pairwise_join(spark):
