@@ -17,7 +17,7 @@ from catalog.inputs import (
 )
 from memoloom.functions.text import strip
 from memoloom.schemas import JUDGE_RESULT
-from memoloom.sources import files, json_array, memory_table
+from memoloom.sources import files, json_array, listing, memory_table
 from memoloom.workspace import fresh_path
 
 DOCS_PER_FILE = 200
@@ -32,7 +32,7 @@ def _write_lines(df, path: str) -> None:
 @query(
     "src_files",
     f"""
-    SELECT lang AS folder, sum(octet_length(encode({SQL_ONE_LINE})) + 1)::BIGINT AS bytes
+    SELECT lang AS folder, sum(octet_length(encode({SQL_ONE_LINE})) + 1)::BIGINT AS bytes, 2::BIGINT AS empty
     FROM documents GROUP BY lang
     """,
 )
@@ -42,9 +42,13 @@ def src_files(spark, sf_dir):
     lines = docs.select(one_line("text").alias("value"), F.col("lang").alias("folder"))
     lines.write.partitionBy("folder").text(f"{root}/kept")
     docs.write.json(f"{root}/other")  # suffix .json: not listed
+    # in every folder an empty file, and one that is hidden and empty
+    names = docs.select("lang").distinct().select(F.explode(F.array(*[F.concat(F.lit("folder="), "lang", F.lit(n)) for n in ("/none.txt", "/_none.MD")])))
+    listing.touch(names, f"{root}/kept")
     found = files.list_files(spark, [root, f"{root}/missing"])
     folder = F.regexp_extract("path", "folder=([^/]*)/", 1)
-    return found.groupBy(folder.alias("folder")).agg(F.sum("length").alias("bytes"))
+    sums = [F.sum("length").alias("bytes"), F.sum((F.col("length") == 0).cast("bigint")).alias("empty")]
+    return found.groupBy(folder.alias("folder")).agg(*sums)
 
 
 @query(

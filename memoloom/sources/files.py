@@ -1,6 +1,7 @@
-"""Text files. Scans select by file metadata, so files of other kinds are not opened.
+"""Text files below folders: every file, also empty ones and those whose names start with `_` or `.`.
 
-As in every Spark file scan, files without content and files whose names start with `_` or `.` are passed over.
+Scans select by file metadata, so files of other kinds are not opened. What Spark's scans pass over is added from a complete
+listing (`listing.py`), chosen by suffix before anything is read.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memoloom.functions.text import clean_text, explode_lines, strip, universal_newlines
+from memoloom.sources.listing import passed_over, with_content
 
 # Suffixes of conversation files, in any letter case.
 SUFFIXES = (".txt", ".md", ".markdown", ".jsonl")
@@ -31,22 +33,26 @@ def existing(spark: SparkSession, paths: list[str]) -> list[str]:
     return found
 
 
-def scan_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+def scan_files(spark: SparkSession, paths: list[str], suffix: str | None = None) -> DataFrame:
     """file (location), length and content of all files below `paths`. A filter on `file` is applied to the listing."""
     found = existing(spark, paths)
     if not found:
         return spark.createDataFrame([], "file string, length bigint, content binary")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(found)
-    return files.select(F.col("_metadata.file_path").alias("file"), "length", "content")
+    files = _of_kind(files.select(F.col("_metadata.file_path").alias("file"), "length", "content"), suffix)
+    return files.union(with_content(_of_kind(passed_over(spark, found), suffix)))
 
 
-def scan_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+def scan_lines(spark: SparkSession, paths: list[str], suffix: str | None = None) -> DataFrame:
     """file and value of every line below `paths`, large files in splits; a filter on `file` as in `scan_files`."""
     found = existing(spark, paths)
     if not found:
         return spark.createDataFrame([], "file string, value string")
     lines = spark.read.option("recursiveFileLookup", True).text(found)
-    return lines.select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = _of_kind(lines.select(F.col("_metadata.file_path").alias("file"), "value"), suffix)
+    rest = with_content(_of_kind(passed_over(spark, found).where("length > 0"), suffix))
+    text = F.regexp_replace(F.col("content").cast("string"), r"(\r\n|\r|\n)$", "")
+    return lines.union(rest.select("file", F.explode(F.split(text, r"\r\n|\r|\n"))))
 
 
 def _of_kind(df: DataFrame, suffix: str | None) -> DataFrame:
@@ -55,7 +61,12 @@ def _of_kind(df: DataFrame, suffix: str | None) -> DataFrame:
 
 def list_files(spark: SparkSession, paths: list[str], suffix: str | None = _SUFFIX) -> DataFrame:
     """path and length of the files below `paths`, directories taken recursively; suffix None keeps every file."""
-    return _of_kind(scan_files(spark, paths), suffix).select(F.col("file").alias("path"), "length")
+    found = existing(spark, paths)
+    if not found:
+        return spark.createDataFrame([], "path string, length bigint")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(found)
+    files = files.select(F.col("_metadata.file_path").alias("file"), "length")
+    return _of_kind(files.union(passed_over(spark, found)), suffix).select(F.col("file").alias("path"), "length")
 
 
 def decoded(content: Column | str) -> Column:
@@ -66,17 +77,17 @@ def decoded(content: Column | str) -> Column:
 
 def read_texts(spark: SparkSession, paths: list[str], suffix: str | None = _SUFFIX) -> DataFrame:
     """path and whole stripped text, one row per file."""
-    found = _of_kind(scan_files(spark, paths), suffix)
+    found = scan_files(spark, paths, suffix)
     return found.select(F.col("file").alias("path"), decoded("content").alias("text"))
 
 
 def read_lines(spark: SparkSession, paths: list[str], suffix: str | None = None) -> DataFrame:
     """path and line for every non-blank line, stripped."""
-    found = _of_kind(scan_lines(spark, paths), suffix)
+    found = scan_lines(spark, paths, suffix)
     return explode_lines(found.withColumnRenamed("file", "path"), "value", "line")
 
 
 def read_json_lines(spark: SparkSession, paths: list[str], suffix: str | None = r"(?i)\.jsonl$") -> DataFrame:
     """path and line of JSON-lines files: as `read_lines`, but only line feeds and carriage returns end a line."""
-    found = _of_kind(scan_lines(spark, paths), suffix)
+    found = scan_lines(spark, paths, suffix)
     return clean_text(found.select(F.col("file").alias("path"), F.col("value").alias("line")), "line")

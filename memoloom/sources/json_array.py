@@ -13,7 +13,8 @@ from memoloom.sources.files import scan_files
 
 def read_json_array(spark: SparkSession, paths: list[str], schema: T.StructType = JUDGED_RESULT) -> DataFrame:
     """One row per array element; missing fields are null. A file that does not hold an array is an error."""
-    texts = scan_files(spark, paths).select("file", F.col("content").cast("string").alias("value"))
+    markers = (F.col("length") == 0) & F.col("file").rlike("/[_.][^/]*$")  # what other tools leave beside their files
+    texts = scan_files(spark, paths).where(~markers).select("file", F.col("content").cast("string").alias("value"))
     array = F.from_json("value", T.ArrayType(schema), {"mode": "FAILFAST"})
     not_array = F.raise_error(F.concat(F.lit("not a JSON array: "), F.col("file")))
     checked = F.when(strip("value").startswith("["), array).otherwise(not_array.cast(T.ArrayType(schema)))

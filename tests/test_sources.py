@@ -33,9 +33,9 @@ def test_read_texts(spark, tmp_path):
     write(tmp_path / "a.txt", " \n one\r\ntwo\rthree 　")
     write(tmp_path / "b.txt", b"\xff\xfe broken")
     write(tmp_path / "c.txt", " \n")
-    write(tmp_path / "empty.txt", "")  # Spark's file scans pass over files without content
+    write(tmp_path / "empty.txt", "")
     got = {r["path"].split("/")[-1]: r["text"] for r in files.read_texts(spark, [str(tmp_path)]).collect()}
-    assert got == {"a.txt": "one\ntwo\nthree", "b.txt": "", "c.txt": ""}
+    assert got == {"a.txt": "one\ntwo\nthree", "b.txt": "", "c.txt": "", "empty.txt": ""}
 
 
 def test_read_lines(spark, tmp_path):
@@ -313,3 +313,25 @@ def test_json_is_parsed_once(spark):
     plan = plan_of(sessions.sessions(samples))
     assert plan.count("from_json(MapType(StringType,StringType,true), content") <= 1 or "size(" not in plan
     assert sessions.sessions(samples).first()["text"] == "a: b"
+
+
+def test_empty_and_hidden_files_are_listed_and_read(spark, tmp_path):
+    (tmp_path / "deep" / "_kept" / ".notes").mkdir(parents=True)
+    (tmp_path / "plain.txt").write_text("plain")
+    (tmp_path / "empty.txt").write_text("")
+    (tmp_path / "_a b%20c.md").write_text("spaced")
+    (tmp_path / ".plain.txt.crc").write_bytes(b"crc")
+    (tmp_path / "deep" / "_kept" / "x.txt").write_text("one\ntwo\r\n\nthree")
+    (tmp_path / "deep" / "_kept" / ".notes" / ".y.jsonl").write_text('{"text": "kept"}\n')
+    (tmp_path / "deep" / "other.bin").write_bytes(b"\xff")
+    found = files.list_files(spark, [str(tmp_path)])
+    assert sorted((r["path"].split("/")[-1], r["length"]) for r in found.collect()) == [
+        (".y.jsonl", 17), ("_a b%20c.md", 6), ("empty.txt", 0), ("plain.txt", 5), ("x.txt", 15)
+    ]
+    texts = {r["path"].split("/")[-1]: r["text"] for r in files.read_texts(spark, [str(tmp_path)]).collect()}
+    assert texts == {".y.jsonl": '{"text": "kept"}', "_a b%20c.md": "spaced", "empty.txt": "", "plain.txt": "plain", "x.txt": "one\ntwo\n\nthree"}
+    lines = sorted(r["line"] for r in files.read_lines(spark, [str(tmp_path)], suffix=r"\.txt$").collect())
+    assert lines == ["one", "plain", "three", "two"]
+    assert [r["line"] for r in files.read_json_lines(spark, [f"{tmp_path}/deep"]).collect()] == ['{"text": "kept"}']
+    assert files.list_files(spark, [f"{tmp_path}/deep/_kept/x.txt"]).count() == 1
+    assert files.list_files(spark, [f"{tmp_path}/empty.txt"]).count() == 1
