@@ -14,6 +14,7 @@ from memoloom.operators.context import attach_context
 from memoloom.operators.embedding import Embedder, embed
 from memoloom.operators.search import align, search_batch
 from memoloom.sources import files, memory_table, parsers, sessions
+from memoloom.sources.array_splits import array_elements
 from memoloom.workspace import materialized
 
 
@@ -32,7 +33,7 @@ def import_payloads(
 ) -> DataFrame:
     """Payloads of all files below `paths`.
 
-    Every format opens its own files only, JSON lines in splits. The files are listed once per way of reading.
+    Every format opens its own files only, JSON lines and arrays in splits. The files are listed once per way of reading.
     """
     if input_format not in (*parsers.FORMATS, "auto"):
         raise ValueError(f"unsupported input format: {input_format}")
@@ -40,7 +41,7 @@ def import_payloads(
     def chosen(df: DataFrame, fmt: str) -> DataFrame:
         return df.where(parsers.file_format("file", wording) == fmt) if input_format == "auto" else df
 
-    binary = files.scan_files(spark, paths) if input_format != "jsonl" else None
+    binary = files.scan_files(spark, paths) if input_format not in ("jsonl", "result") else None
 
     def whole(fmt: str) -> DataFrame:
         found = chosen(binary, fmt)
@@ -50,10 +51,14 @@ def import_payloads(
         found = chosen(files.scan_lines(spark, paths), "jsonl")
         return found.select(F.col("file").alias("path"), F.col("value").alias("line"))
 
+    def results() -> DataFrame:
+        chosen_files = parsers.file_format("path", wording) == "result" if input_format == "auto" else None
+        return parsers.parse_result_elements(array_elements(spark, paths, chosen=chosen_files), max_items, wording)
+
     branches = {
         "markdown": lambda: parsers.parse_markdown(whole("markdown")),
         "jsonl": lambda: parsers.parse_jsonl(lines()),
-        "result": lambda: parsers.parse_results(whole("result"), max_items, wording),
+        "result": results,
         "text": lambda: parsers.parse_text(whole("text")),
     }
     if input_format != "auto":

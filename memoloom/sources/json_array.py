@@ -6,19 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memoloom.functions.text import strip
 from memoloom.schemas import JUDGED_RESULT
-from memoloom.sources.files import scan_files
+from memoloom.sources.array_splits import BLOCK_BYTES, array_elements
+from memoloom.workspace import fresh_path
 
 
-def read_json_array(spark: SparkSession, paths: list[str], schema: T.StructType = JUDGED_RESULT) -> DataFrame:
-    """One row per array element; missing fields are null. A file that does not hold an array is an error."""
-    markers = (F.col("length") == 0) & F.col("file").rlike("/[_.][^/]*$")  # what other tools leave beside their files
-    texts = scan_files(spark, paths).where(~markers).select("file", F.col("content").cast("string").alias("value"))
-    array = F.from_json("value", T.ArrayType(schema), {"mode": "FAILFAST"})
-    not_array = F.raise_error(F.concat(F.lit("not a JSON array: "), F.col("file")))
-    checked = F.when(strip("value").startswith("["), array).otherwise(not_array.cast(T.ArrayType(schema)))
-    return texts.select(F.explode(checked).alias("item")).select("item.*")
+def read_json_array(spark: SparkSession, paths: list[str], schema: T.StructType = JUDGED_RESULT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per array element; missing fields are null. A file that does not hold an array is an error, and so is an element
+    that does not fit the schema. Large files are read by many tasks, in byte ranges."""
+    elements = array_elements(spark, paths, strict=True, block_bytes=block_bytes)
+    text = F.col("element").cast("string")
+    gap = F.raise_error(F.concat(F.lit("empty element in the JSON array: "), "path")).cast("string")
+    item = F.from_json(F.when(text == "", gap).otherwise(text), schema, {"mode": "FAILFAST"})
+    return elements.select(item.alias("item")).select("item.*")
 
 
 def read_results(spark: SparkSession, path: str, schema: T.StructType = JUDGED_RESULT) -> DataFrame:
@@ -34,9 +34,10 @@ def write_results(df: DataFrame, path: str) -> None:
 def replace_results(df: DataFrame, path: str) -> None:
     """Results over the directory they may have been read from.
 
-    The new rows are written next to it first, and the old ones give way only to rows that are safely stored.
+    The new rows are written to the shared folder first, each run to a place of its own, and the old ones give way only to
+    rows that are safely stored.
     """
-    staged = path.rstrip("/") + ".next"
-    df.write.mode("overwrite").option("ignoreNullFields", False).json(staged)
+    staged = fresh_path(df.sparkSession, "results")
+    df.write.option("ignoreNullFields", False).json(staged)
     rows = df.sparkSession.read.schema(df.schema).json(staged)
     rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)

@@ -42,7 +42,7 @@ def _uri(location: str) -> str:
     return "file://" + location[len("file:") :] if re.match(r"file:/(?!/)", location) else location
 
 
-def _opened(location: str) -> tuple[fs.FileSystem, str, str]:
+def opened(location: str) -> tuple[fs.FileSystem, str, str]:
     """The file system of a location, the path in it, and what stands before it."""
     found, inner = fs.FileSystem.from_uri(quote(location, safe="/:@=,+~&;!$'()*"))
     return found, inner, location[: len(location) - len(inner)] if location.endswith(inner) else location.split("://")[0] + "://"
@@ -54,7 +54,7 @@ def list_all(spark: SparkSession, paths: list[str]) -> DataFrame:
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for location, root in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                system, inner, prefix = _opened(location)
+                system, inner, prefix = opened(location)
                 own = system.get_file_info(inner)
                 infos = [own] if own.is_file else system.get_file_info(fs.FileSelector(inner))
                 infos = [i for i in infos if not _CHECKSUM.search(i.path)]
@@ -86,7 +86,7 @@ def with_content(files: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for location, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                system, inner, _ = _opened(location)
+                system, inner, _ = opened(location)
                 with system.open_input_stream(inner) as stream:
                     content = stream.read() if length else b""
                 columns = [pa.array([location]), pa.array([length]), pa.array([content], pa.binary())]
@@ -102,7 +102,7 @@ def touch(names: DataFrame, folder: str) -> None:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                system, inner, _ = _opened(f"{root}/{name}")
+                system, inner, _ = opened(f"{root}/{name}")
                 if not system.get_file_info(inner).is_file:
                     system.open_output_stream(inner).close()
             yield batch

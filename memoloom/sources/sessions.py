@@ -10,7 +10,7 @@ from memoloom.functions.scopes import sample_user, session_path
 from memoloom.functions.text import clean_text
 from memoloom.functions.columns import col
 from memoloom.operators.context import transcript_of
-from memoloom.sources.files import read_texts
+from memoloom.sources.array_splits import BLOCK_BYTES, array_elements
 
 _MAP = "map<string,string>"
 _TURNS = "array<struct<speaker:string,text:string>>"
@@ -29,8 +29,13 @@ def split_workbooks(files: DataFrame) -> DataFrame:
     return rows.repartition("path", "sample")
 
 
-def read_workbooks(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return split_workbooks(read_texts(spark, paths, suffix=r"(?i)\.json$"))
+def read_workbooks(spark: SparkSession, paths: list[str], suffix: str = r"(?i)\.json$", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """path, sample (0-based) and content of every sample of the workbook files: arrays of samples, read by byte ranges, so
+    one file is no limit; or one sample a file. A file whose brackets do not close gives nothing; bytes that are no UTF-8 make
+    a null content."""
+    found = array_elements(spark, paths, suffix, single=True, block_bytes=block_bytes)
+    content = F.try_validate_utf8(F.col("element").cast("string"))
+    return found.select("path", F.col("position").cast("int").alias("sample"), content.alias("content"))
 
 
 def sessions(
