@@ -20,7 +20,8 @@ from memoloom.functions import prompts
 from memoloom.functions.entries import parse_entries
 from memoloom.functions.replies import parse_verdict, response_text
 from memoloom.functions.text import explode_lines
-from memoloom.sources import parsers, sessions
+from memoloom.sources import json_array, parsers, sessions
+from memoloom.workspace import fresh_path
 
 
 def _meta(name: str):
@@ -277,9 +278,18 @@ sessions AS (
 """
 
 
+def _read_back(books):
+    """(sample, content) written as workbook files, arrays of samples that name themselves, and read from there."""
+    path = fresh_path(books.sparkSession, "workbooks")
+    named = F.concat(F.lit('{"sample_id":'), F.col("sample").cast("string"), F.lit(","), F.expr("substr(content, 2)"))
+    json_array.write_arrays_of(books.select(named), path)
+    found = sessions.read_workbooks(books.sparkSession, [path], suffix=None)
+    return found.select(F.get_json_object("content", "$.sample_id").cast("bigint").alias("sample"), "content")
+
+
 @query("src_sessions", f"WITH {SQL_SESSIONS} SELECT * FROM sessions")
 def src_sessions(spark, sf_dir):
-    rows = sessions.sessions(samples(spark, sf_dir))
+    rows = sessions.sessions(_read_back(samples(spark, sf_dir)))
     return rows.withColumn("session", F.col("session").cast("bigint"))
 
 
@@ -309,7 +319,7 @@ def src_qa(spark, sf_dir):
     )
     content = F.concat(F.lit('{"qa":['), F.to_json(first), F.lit(","), F.to_json(second), F.lit("]}"))
     books = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("sample"), content.alias("content"))
-    rows = sessions.questions(books)
+    rows = sessions.questions(_read_back(books))
     return rows.withColumns(
         {"evidence": F.array_join("evidence", ","), "position": F.col("position").cast("bigint")}
     )

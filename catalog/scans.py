@@ -21,7 +21,6 @@ from memoloom.sources import files, json_array, listing, memory_table
 from memoloom.workspace import fresh_path
 
 DOCS_PER_FILE = 200
-DOCS_PER_ARRAY = 100
 
 
 def _write_lines(df, path: str) -> None:
@@ -94,12 +93,7 @@ def io_json_array(spark, sf_dir):
         F.array(n.cast("string"), F.col("source")).alias("context_ids"),
         F.struct(F.col("source").alias("reasoning"), ((n % 4) / 4.0).alias("score")).alias("judge_result"),
     )
-    docs = table(spark, sf_dir, "documents")
-    items = docs.select(F.floor(n / DOCS_PER_ARRAY).alias("file"), F.to_json(item).alias("j"))
-    array = F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]"))
-    arrays = items.groupBy("file").agg(array.alias("a"))
-    arrays.select("a").write.option("maxRecordsPerFile", 1).text(f"{root}/arrays")
-
+    json_array.write_json_arrays(table(spark, sf_dir, "documents").select(item.alias("item")).select("item.*"), f"{root}/arrays")
     rows = json_array.read_json_array(spark, [f"{root}/arrays"], RESULT)
     json_array.write_results(rows, f"{root}/out")
     stored = json_array.read_results(spark, f"{root}/out", RESULT)

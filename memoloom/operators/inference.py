@@ -6,10 +6,12 @@ uses below turn errors into the value each use reports for a failure.
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,6 +22,7 @@ from memoloom.functions.entries import ENTRIES_TYPE, entry, parse_entries
 from memoloom.functions.scopes import column_or, path_user, user_scope
 from memoloom.operators.lookup import lookup
 from memoloom.schemas import IMPORTANCE_EXTRACTED
+from memoloom.workspace import materialized
 
 # Parameters sent with each use, and the results of failed and dry runs.
 EXTRACT_PARAMS = {"temperature": 0.2, "max_tokens": 2048}
@@ -70,6 +73,7 @@ class Retry:
                 delay *= 2
 
 
+_LOG = "_key string, response string, error string, run string"
 AGENT_RETRY = Retry(attempts=5, delay=2.0)
 
 
@@ -98,7 +102,34 @@ class ModelCalls:
     retry: Retry = Retry()
 
 
-Provider = DryRun | ResponsesTable | ModelCalls
+@dataclass(frozen=True)
+class LoggedCalls:
+    """Calls whose replies are kept in a table at `path`, across runs.
+
+    Equal requests (text, system, user and parameters) are asked once, and only those without a reply in the table. Replies are
+    written in slices of about `slice_rows` requests, each committed as a whole: a job that fails, or loses its driver, asks again only
+    for the slices that were not written. Failed calls are not kept; the next run asks them again.
+
+    `at_once` limits the calls at a time over the whole cluster: a slice has no more tasks, and a task no more threads, than it allows
+    (the copies of tasks that Spark's speculation starts, if it is on, come on top).
+    """
+
+    calls: ModelCalls
+    path: str
+    slice_rows: int = 10_000
+    at_once: int | None = None
+
+    def shape(self, cores: int) -> tuple[int, int]:
+        """Tasks of a slice, and threads of a task."""
+        if self.at_once is None:
+            return cores, self.calls.threads
+        if self.at_once < 1:
+            raise ValueError("at_once must be positive")
+        threads = min(self.calls.threads, self.at_once)
+        return min(cores, self.at_once // threads), threads
+
+
+Provider = DryRun | ResponsesTable | ModelCalls | LoggedCalls
 
 
 def request_hash(request: Column | str, system: Column | str | None = None) -> Column:
@@ -109,7 +140,7 @@ def request_hash(request: Column | str, system: Column | str | None = None) -> C
 
 def infer(
     df: DataFrame,
-    provider: ResponsesTable | ModelCalls,
+    provider: ResponsesTable | ModelCalls | LoggedCalls,
     request: Column,
     *,
     system: str = "",
@@ -121,10 +152,40 @@ def infer(
     if isinstance(provider, ResponsesTable):
         return _look_up(df, provider.responses, request_hash(request, F.lit(system)), request)
     sent = F.struct(request.alias("request"), (F.lit(None) if user is None else user).cast("string").alias("user"))
+    if isinstance(provider, LoggedCalls):
+        tasks, threads = provider.shape(df.sparkSession.sparkContext.defaultParallelism)
+        call = _caller(replace(provider.calls, threads=threads), system, dict(params or {}), retry or provider.calls.retry)
+        return _from_log(df, provider, sent, json.dumps([system, params or {}], sort_keys=True), call, tasks)
     call = _caller(provider, system, dict(params or {}), retry or provider.retry)
     return df.withColumn("_reply", call(sent)).select("*", "_reply.response", "_reply.error").drop("_reply")
 
 
+def _from_log(df: DataFrame, provider: LoggedCalls, sent: Column, setting: str, call, tasks: int) -> DataFrame:
+    """Ask for what the log lacks, then join its replies back. The calls run here, not with the frame that is returned."""
+    spark, log = df.sparkSession, provider.path
+    rows = df.withColumn("_sent", sent)
+    # a null user and an empty one are different requests
+    asked = F.to_json(F.struct(F.lit(setting).alias("setting"), "_sent.request", "_sent.user"))
+    rows = rows.withColumn("_key", F.when(F.col("_sent.request").isNotNull(), F.sha2(asked, 256)))
+    rows = materialized(rows, "requests")  # the rows that were asked are those that get the replies
+    spark.createDataFrame([], _LOG).write.mode("append").parquet(log)
+    known = spark.read.schema(_LOG).parquet(log).where("response is not null").select("_key")
+    open_ones = rows.where("_key is not null").groupBy("_key").agg(F.first("_sent").alias("_sent"))
+    open_ones = materialized(open_ones.join(known, "_key", "left_anti"), "requests-open")
+    slices = -(-open_ones.count() // provider.slice_rows)
+    run = uuid.uuid4().hex
+    for number in range(slices):
+        part = open_ones.where(F.pmod(F.xxhash64("_key"), F.lit(slices)) == number)
+        # a reply is slow and its request small: the number of tasks is told, whatever the size of the files
+        replies = part.repartition(tasks).withColumn("_reply", call(F.col("_sent")))
+        replies.select("_key", "_reply.response", "_reply.error", F.lit(run).alias("run")).write.mode("append").parquet(log)
+    # of this run all, of others the replies; runs at the same time may have asked the same
+    kept = spark.read.schema(_LOG).parquet(log).where((F.col("run") == run) | F.col("response").isNotNull())
+    replies = kept.groupBy("_key").agg(F.min("response").alias("response"), F.min("error").alias("error"))
+    joined = lookup(rows, replies, "_key", F.xxhash64(*_hashable(df)), "left")
+    return joined.select(*df.columns, "response", F.when(F.col("response").isNull(), F.col("error")).alias("error"))
+
+
 def _look_up(df: DataFrame, responses: DataFrame, key: Column, request: Column) -> DataFrame:
     """Left join by request hash; requests that very many rows make are spread over tasks."""
     known = responses.select(F.col("request_hash").alias("_key"), "response")

@@ -18,10 +18,15 @@ from memoloom.sources.array_splits import array_elements
 from memoloom.workspace import materialized
 
 
-def store(payloads: DataFrame, embedder: Embedder, path: str, now_ms: int, mode: str = "pro") -> int:
-    """Embed payloads, fill ids and times, append to the memory table at `path`; returns the number of rows."""
-    memory_table.create_table(payloads.sparkSession, path, embedder.dimensions, mode)
-    return memory_table.append(materialize(embed(payloads, embedder), now_ms), path)
+def store(
+    payloads: DataFrame, embedder: Embedder, path: str, now_ms: int, mode: str = "pro", run_key: str | None = None
+) -> int:
+    """Embed payloads, fill ids and times, append to the memory table at `path`; returns the number of rows.
+
+    With a `run_key` the table is a keyed one, and a repeated job replaces its own rows (`memory_table.append`).
+    """
+    memory_table.create_table(payloads.sparkSession, path, embedder.dimensions, mode, keyed=run_key is not None)
+    return memory_table.append(materialize(embed(payloads, embedder), now_ms), path, run_key)
 
 
 def import_payloads(
@@ -74,10 +79,11 @@ def run_import(
     now_ms: int,
     input_format: str = "auto",
     mode: str = "pro",
+    run_key: str | None = None,
     **options,
 ) -> int:
     """Structured files to the memory table; returns the number of memories."""
-    return store(import_payloads(spark, paths, input_format, **options), embedder, table_path, now_ms, mode)
+    return store(import_payloads(spark, paths, input_format, **options), embedder, table_path, now_ms, mode, run_key)
 
 
 def _is_workbook(paths: list[str], selected: bool, mark: str | None) -> bool:
@@ -136,13 +142,14 @@ def run_ingest(
     embedder: Embedder,
     now_ms: int,
     mode: str = "pro",
+    run_key: str | None = None,
     **options,
 ) -> int:
     """Texts (text, path, user_id), e.g. session transcripts, to extracted memories in the memory table."""
     payloads = extracted_payloads(texts, provider, **options)
     if not isinstance(provider, inference.DryRun):
         payloads = materialized(payloads, "extracted")  # model replies are kept, whatever happens to the append
-    return store(payloads, embedder, table_path, now_ms, mode)
+    return store(payloads, embedder, table_path, now_ms, mode, run_key)
 
 
 def run_agent_ingest(texts: DataFrame, provider: inference.Provider, **options) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +25,29 @@ def read_json_array(spark: SparkSession, paths: list[str], schema: T.StructType
     return elements.select(item.alias("item")).select("item.*")
 
 
+def write_json_arrays(df: DataFrame, path: str) -> None:
+    """The rows as a folder of files that each hold one JSON array, null fields included; an existing folder is an error.
+
+    Every task streams its rows into one array; Spark's commit shows all files or, when the job fails, none.
+    """
+    write_arrays_of(df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})), path)
+
+
+def write_arrays_of(elements: DataFrame, path: str) -> None:
+    """As `write_json_arrays`, from one column of JSON texts without line ends."""
+
+    def bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = "["
+        for batch in batches:
+            if batch.num_rows:
+                leads = pa.array([lead] + [","] * (batch.num_rows - 1))
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(leads, batch.column(0), "")], ["value"])
+                lead = ","
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if lead == "[" else "]"])], ["value"])
+
+    elements.toDF("value").mapInArrow(bracketed, "value string").write.text(path)
+
+
 def read_results(spark: SparkSession, path: str, schema: T.StructType = JUDGED_RESULT) -> DataFrame:
     """Results written by `write_results`."""
     return spark.read.schema(schema).json(path)

@@ -1,4 +1,8 @@
-"""The memory table: a Parquet directory whose vector column carries its dimension as field metadata."""
+"""The memory table: a Parquet directory whose vector column carries its dimension as field metadata.
+
+A keyed table keeps the rows of every run under a key of the run's own (`run=<key>`): appending again with a key puts the new rows
+in the place of the old ones, so a job that is repeated, or failed half way, gives its rows once.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +17,9 @@ from memoloom.functions.vectors import all_finite
 from memoloom.schemas import memory_schema
 
 _DIMENSION = "dimension"
+_RUN = "run"
+#: Key of the part that holds the schema of a keyed table and no rows.
+CREATED = "created"
 # Writer options: Bloom filters over the ids, as large as the number of ids in a row group asks for.
 _ID_FILTER = {"parquet.bloom.filter.enabled#id": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
 
@@ -29,20 +36,21 @@ def _with_dimension(schema: T.StructType, dimension: int) -> T.StructType:
 def open_table(spark: SparkSession, path: str) -> DataFrame | None:
     """The table, or None when there is none."""
     try:
-        return spark.read.parquet(path)
+        return spark.read.parquet(path).drop(_RUN)
     except AnalysisException:
         return None
 
 
-def create_table(spark: SparkSession, path: str, dimension: int, mode: str = "pro") -> DataFrame:
-    """Open the table or create it empty; an existing table is never touched."""
+def create_table(spark: SparkSession, path: str, dimension: int, mode: str = "pro", keyed: bool = False) -> DataFrame:
+    """Open the table or create it empty; an existing table is never touched, nor made a keyed one."""
     if dimension <= 0:
         raise ValueError("dimension must be positive")
     table = open_table(spark, path)
     if table is None:
         schema = _with_dimension(memory_schema(mode), dimension)
-        spark.createDataFrame([], schema).coalesce(1).write.mode("ignore").parquet(path)
-        table = spark.read.parquet(path)
+        place = f"{path}/{_RUN}={CREATED}" if keyed else path
+        spark.createDataFrame([], schema).coalesce(1).write.mode("ignore").parquet(place)
+        table = open_table(spark, path)
     return table
 
 
@@ -72,22 +80,34 @@ def table_rows(entries: DataFrame, dimension: int, mode: str = "pro") -> DataFra
     return rows.select(*[F.col(name).cast(memory_schema(mode)[name].dataType).alias(name) for name in names])
 
 
-def append(entries: DataFrame, path: str) -> int:
+def append(entries: DataFrame, path: str, run_key: str | None = None) -> int:
     """Append stored entries and return how many there were. Nothing is compared with rows already there.
 
+    A keyed table asks for a `run_key`: its rows replace those of an earlier run with the same key when the job commits, and
+    a failed job leaves the earlier ones. Entries must not be read from the part that they replace.
+
     Rows are sorted by scope within each task, without a shuffle, so that a search by scope skips row groups; Bloom
     filters over the ids do the same for a lookup of a few memories.
     """
     spark = entries.sparkSession
     table = spark.read.parquet(path)
+    if (_RUN in table.columns) != (run_key is not None) or run_key in (CREATED, ""):
+        raise ValueError(f"a keyed table, and no other, takes a run key (not {CREATED!r} or empty): got {run_key!r}")
     dimension, mode = table_dimension(table), table_mode(table)
     rows = table_rows(entries, dimension, mode)
-    if mode == "pro":
-        rows = rows.sortWithinPartitions("scope", "id")
+    order = ["scope", "id"] if mode == "pro" else []
+    if run_key is not None:
+        rows, order = rows.withColumn(_RUN, F.lit(run_key)), [_RUN, *order]
+    if order:
+        rows = rows.sortWithinPartitions(*order)
     counted = Observation(f"append-{uuid.uuid4().hex}")
     rows = rows.observe(counted, F.count(F.lit(1)).alias("rows"))
     rows = rows.withMetadata("vector", {_DIMENSION: dimension})
-    rows.write.mode("append").options(**_ID_FILTER).parquet(path)
+    if run_key is None:
+        rows.write.mode("append").options(**_ID_FILTER).parquet(path)
+    else:
+        keyed = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(_RUN)
+        keyed.options(**_ID_FILTER).parquet(path)
     return int(counted.get["rows"])
 
 

@@ -29,7 +29,7 @@ def split_workbooks(files: DataFrame) -> DataFrame:
     return rows.repartition("path", "sample")
 
 
-def read_workbooks(spark: SparkSession, paths: list[str], suffix: str = r"(?i)\.json$", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def read_workbooks(spark: SparkSession, paths: list[str], suffix: str | None = r"(?i)\.json$", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """path, sample (0-based) and content of every sample of the workbook files: arrays of samples, read by byte ranges, so
     one file is no limit; or one sample a file. A file whose brackets do not close gives nothing; bytes that are no UTF-8 make
     a null content."""
