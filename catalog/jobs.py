@@ -23,7 +23,7 @@ from memoloom.operators import inference
 from memoloom.operators.embedding import Embedder, HashEmbedder
 from memoloom.operators.inference import DryRun, ModelCalls, ResponsesTable
 from memoloom.plans import jobs
-from memoloom.sources import sessions
+from memoloom.sources import json_array, parsers, sessions
 from memoloom.workspace import fresh_path
 
 DIMENSION = 32
@@ -45,26 +45,42 @@ DOCS_PER_NOTE = 50
       SELECT 'jsonl' AS source, lang AS category, 0.7::DOUBLE AS importance, {sql_strip(SQL_ONE_LINE)} AS text
       FROM documents WHERE lang = 'en'
       UNION ALL
-      SELECT 'text', 'other', 0.6,
+      SELECT 'result', 'fact', 0.6, concat_ws(' ', 'Graded item ' || doc_id || ' of set ' || lang || '.',
+             'Question: ' || nullif({sql_strip(SQL_ONE_LINE)}, ''), 'Ground Truth: from ' || source)
+      FROM documents WHERE lang = 'de'
+      UNION ALL
+      SELECT CASE WHEN lang = 'fr' THEN 'markdown' ELSE 'text' END, CASE WHEN lang = 'fr' THEN 'preference' ELSE 'other' END,
+             CASE WHEN lang = 'fr' THEN 0.8 ELSE 0.6 END,
              {sql_strip(f"string_agg(lang || ' ' || {SQL_ONE_LINE}, chr(8232) ORDER BY doc_id)")}
-      FROM documents WHERE lang <> 'en' GROUP BY doc_id // {DOCS_PER_NOTE})
+      FROM documents WHERE lang NOT IN ('en', 'de') GROUP BY lang = 'fr', lang, doc_id // {DOCS_PER_NOTE})
     """,
 )
 def job_import(spark, sf_dir):
     root, path = fresh_path(spark, "inbox"), fresh_path(spark, "memories")
     docs = table(spark, sf_dir, "documents").withColumn("t", one_line("text"))
-    english = F.col("lang") == "en"
-    # Every note is a file of its own, made of the other documents among fifty; English ones become JSON lines.
-    note = docs.where(~english).select(
-        F.floor(F.col("doc_id") / DOCS_PER_NOTE).alias("note"), "doc_id", F.concat("lang", F.lit(" "), "t").alias("t")
+    # English documents become JSON lines, German ones graded results; the others of a language among fifty make one note,
+    # a file of its own, French ones as markdown
+    note = docs.where("lang not in ('en', 'de')").groupBy("lang", F.floor(F.col("doc_id") / DOCS_PER_NOTE).alias("note"))
+    notes = note.agg(F.array_sort(F.collect_list(F.struct("doc_id", F.concat("lang", F.lit(" "), "t").alias("t")))).alias("n"))
+    for name, condition in (("preferences", "lang = 'fr'"), ("notes", "lang <> 'fr'")):
+        bodies = notes.where(condition).select(F.array_join("n.t", "\u2028"))
+        bodies.write.option("maxRecordsPerFile", 1).text(f"{root}/{name}")
+    fields = F.struct(F.col("t").alias("text"), F.col("lang").alias("category"))
+    docs.where("lang = 'en'").select(F.to_json(fields)).write.text(f"{root}/lines")
+    graded = docs.where("lang = 'de'").select(
+        F.col("doc_id").alias("question_index"),
+        F.col("lang").alias("category"),
+        F.col("t").alias("question"),
+        F.concat(F.lit("from "), "source").alias("ground_truth"),
     )
-    notes = note.groupBy("note").agg(F.array_sort(F.collect_list(F.struct("doc_id", "t"))).alias("n"))
-    notes.select(F.array_join("n.t", "\u2028")).write.option("maxRecordsPerFile", 1).text(f"{root}/notes")
-    lines = docs.where(english).select(F.to_json(F.struct(F.col("t").alias("text"), F.col("lang").alias("category"))))
-    lines.write.text(f"{root}/lines")
-
-    jobs.run_import(spark, [f"{root}/notes"], path, EMBEDDER, NOW_MS)
-    jobs.run_import(spark, [f"{root}/lines"], path, EMBEDDER, NOW_MS, input_format="jsonl")
+    json_array.write_json_arrays(graded, f"{root}/graded")
+
+    wording = parsers.ResultWording(sentence="Graded item {index} of set {category}.")
+    for folder, given in (("notes", "text"), ("preferences", "markdown"), ("lines", "jsonl"), ("graded", "result")):
+        # every folder is a run of its own; the last is repeated and still gives its rows once
+        options = {"input_format": given, "run_key": folder, "wording": wording}
+        jobs.run_import(spark, [f"{root}/{folder}"], path, EMBEDDER, NOW_MS, **options)
+    jobs.run_import(spark, [f"{root}/graded"], path, EMBEDDER, NOW_MS, **options)
     return spark.read.parquet(path).select(
         F.get_json_object("metadata", "$.source").alias("source"),
         "category",
