@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from catalog import query
@@ -32,9 +33,10 @@ from memoloom.functions.scopes import (
     user_scope,
 )
 from memoloom.functions.text import clean_text
-from memoloom.operators.embedding import HashEmbedder
+from memoloom.operators.embedding import CachedEmbedder, HashEmbedder, ModelEmbedder, embed
 from memoloom.sources.parsers import parse_markdown, parse_text, union_payloads
 from memoloom.sources.sessions import number_sessions
+from memoloom.workspace import fresh_path
 
 # ---------------------------------------------------------------------------------------------- clean text
 
@@ -305,3 +307,47 @@ def udf_embed(spark, sf_dir):
         F.col("position").cast("bigint").alias("position"),
         F.round(F.col("x").cast("double"), 6).alias("component"),
     )
+
+
+LETTERS = "abcdefghijklmnop"
+ASK = "peak: "
+
+
+def _sql_letters(text: str) -> str:
+    counts = ", ".join(f"length({text}) - length(replace({text}, '{letter}', ''))" for letter in LETTERS)
+    return f"CASE WHEN coalesce(text, '') <> '' THEN [{counts}] ELSE list_transform(range({len(LETTERS)}), lambda i: 0) END"
+
+
+@query(
+    "udf_embed_model",
+    f"""
+    WITH counted AS (
+      SELECT doc_id, 'passage' AS kind, {_sql_letters("text")} AS v FROM documents
+      UNION ALL
+      SELECT doc_id, 'query', {_sql_letters(f"('{ASK}' || text)")} FROM documents)
+    SELECT doc_id, kind, i AS position,
+           round(coalesce(v[i + 1] / nullif(sqrt(list_sum(list_transform(v, lambda x: x * x))), 0), 0.0)::FLOAT::DOUBLE, 5)
+             AS component
+    FROM counted, range({len(LETTERS)}) t(i)
+    """,
+)
+def udf_embed_model(spark, sf_dir):
+    """A model behind a cache: passages and queries, each text embedded once; a second run finds all vectors."""
+
+    def letter_model():  # counts letters, in place of a model with weights
+        return lambda texts: np.array([[text.count(letter) for letter in LETTERS] for text in texts], np.float32)
+
+    model = ModelEmbedder(letter_model, len(LETTERS), query_instruction=ASK)
+    cache = CachedEmbedder(model, fresh_path(spark, "vectors"), "letters")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    embed(docs, cache)
+    kinds = [
+        embed(docs, cache, query=asked).select("doc_id", F.lit(kind).alias("kind"), F.posexplode("vector").alias("position", "x"))
+        for kind, asked in (("passage", False), ("query", True))
+    ]
+    return kinds[0].union(kinds[1]).select(
+        "doc_id",
+        "kind",
+        F.col("position").cast("bigint").alias("position"),
+        F.round(F.col("x").cast("double"), 5).alias("component"),
+    )

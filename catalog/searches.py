@@ -10,6 +10,7 @@ from catalog.inputs import (
     SQL_VECTORS,
     memories,
     sql_cosine,
+    sql_hash_vector,
     sql_l2_score,
     table,
     vectors,
@@ -17,9 +18,10 @@ from catalog.inputs import (
 from memoloom.functions.hits import filter_min_score, normalize_hits
 from memoloom.functions.text import is_blank
 from memoloom.operators.context import attach_context, transcripts
+from memoloom.operators.embedding import HashEmbedder
 from memoloom.operators.embedding import join_vectors as joined_vectors
 from memoloom.operators.grading import join_back
-from memoloom.operators.search import align, attach_payload, search_vectors
+from memoloom.operators.search import align, attach_payload, search_one, search_vectors
 from memoloom.operators.similarity import knn_join, top_k
 from memoloom.workspace import materialized
 
@@ -99,6 +101,37 @@ def join_knn_single(spark, sf_dir):
     ).orderBy("rank")
 
 
+QUESTION = "Which passages speak of the river?"
+
+
+@query(
+    "join_knn_text",
+    f"""
+    SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank, round(score, 5) AS score, text, scope
+    FROM (SELECT doc_id::VARCHAR AS id, text, 'user:' || lang AS scope,
+                 {sql_l2_score(sql_hash_vector(f"'{QUESTION}'", 32), sql_hash_vector("text", 32))} AS score
+          FROM documents WHERE text <> '')
+    QUALIFY rank <= {K}
+    """,
+)
+def join_knn_text(spark, sf_dir):
+    """One question in words, over all memories."""
+    embedder = HashEmbedder(32)
+    docs = table(spark, sf_dir, "documents").where("text <> ''")
+    stored = docs.select(
+        F.col("doc_id").cast("string").alias("id"),
+        "text",
+        embedder.embed_passage("text").alias("vector"),
+        F.lit("other").alias("category"),
+        F.lit(0.5).alias("importance"),
+        F.lit(0).cast("bigint").alias("timestamp"),
+        F.concat(F.lit("user:"), "lang").alias("scope"),
+        F.lit("{}").alias("metadata"),
+    )
+    hits = search_one(QUESTION, stored, embedder, top_k=K, min_score=None)
+    return hits.select("id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 5).alias("score"), "text", "scope")
+
+
 SQL_SCOPED = "q.label = 9 OR m.scope = 'global' OR m.scope = 'user:' || q.label"
 
 

@@ -12,8 +12,11 @@ from pyspark.sql import types as T
 
 from memoloom.functions.columns import col
 from memoloom.functions.vectors import hash_vector, l2_normalize
+from memoloom.operators.lookup import lookup
+from memoloom.workspace import materialized
 
 VECTOR = T.ArrayType(T.FloatType())
+_CACHE = "_key string, vector array<float>"
 
 
 class Embedder:
@@ -79,10 +82,62 @@ class ModelEmbedder(Embedder):
         return self.embed_passage(F.when(F.coalesce(text, F.lit("")) != "", asked))
 
 
-def embed(df: DataFrame, embedder: Embedder, text: str = "text", out: str = "vector", query: bool = False) -> DataFrame:
+@dataclass(frozen=True)
+class CachedEmbedder:
+    """A model whose vectors are kept in a table at `path`, across runs, under a hash of `model` and text.
+
+    Equal texts are embedded once, and only those without a vector in the table, sorted by length within tasks so that batches need
+    little padding. Vectors are written in slices of about `slice_rows` texts, each committed as a whole: a job that fails
+    begins again behind the last one. `model` names the weights; queries and passages are kept apart.
+    """
+
+    embedder: Embedder
+    path: str
+    model: str
+    slice_rows: int = 1_000_000
+    costly = True
+
+    @property
+    def dimensions(self) -> int:
+        return self.embedder.dimensions
+
+
+def embed(
+    df: DataFrame, embedder: Embedder | CachedEmbedder, text: str = "text", out: str = "vector", query: bool = False
+) -> DataFrame:
+    """`df` with the vectors of a text column. With a `CachedEmbedder` what its table lacks is embedded here, not with the frame
+    that is returned."""
+    if isinstance(embedder, CachedEmbedder):
+        return _from_cache(df, embedder, text, out, query)
     return df.withColumn(out, embedder.embed_query(text) if query else embedder.embed_passage(text))
 
 
+def _from_cache(df: DataFrame, cache: CachedEmbedder, text: str, out: str, query: bool) -> DataFrame:
+    spark = df.sparkSession
+    kind = f"{cache.model}\x1f{cache.dimensions}\x1f{'query' if query else 'passage'}\x1f"
+    key = F.when(F.coalesce(text, F.lit("")) != "", F.sha2(F.concat(F.lit(kind), text), 256))
+    rows = materialized(df.withColumn("_key", key), "texts")  # the texts that are embedded are those that get the vectors
+    spark.createDataFrame([], _CACHE).write.mode("append").parquet(cache.path)
+    stored = spark.read.schema(_CACHE).parquet(cache.path)
+    distinct = rows.where("_key is not null").groupBy("_key").agg(F.first(text).alias("_text"))
+    missing = materialized(distinct.join(stored.select("_key"), "_key", "left_anti"), "texts-missing")
+    slices = -(-missing.count() // cache.slice_rows)
+    for number in range(slices):
+        part = missing.where(F.pmod(F.xxhash64("_key"), F.lit(slices)) == number)
+        part = part.repartition(spark.sparkContext.defaultParallelism).sortWithinPartitions(F.length("_text"), "_key")
+        found = embed(part, cache.embedder, "_text", "vector", query)
+        found.select("_key", "vector").write.mode("append").parquet(cache.path)
+    # runs at the same time may have embedded the same text
+    wanted = spark.read.schema(_CACHE).parquet(cache.path).join(distinct.select("_key"), "_key", "left_semi")
+    vectors = wanted.groupBy("_key").agg(F.first("vector").alias("_vector"))
+    # what tells rows of one text apart, for texts that very many rows share
+    plain = [name for name, dtype in df.dtypes if dtype in ("bigint", "int", "double", "string")]
+    joined = lookup(rows, vectors, "_key", F.xxhash64(*plain), "left")
+    zero = F.array_repeat(F.lit(0.0), cache.dimensions).cast(VECTOR)
+    kept = [c for c in df.columns if c != out]
+    return joined.select(*kept, F.when(F.col("_key").isNull(), zero).otherwise(F.col("_vector")).alias(out))
+
+
 def join_vectors(payloads: DataFrame, vectors: DataFrame, on: str = "id", vector: str = "vector") -> DataFrame:
     """Payloads with ready-made vectors, joined on id; payloads for which none is at hand keep null."""
     return payloads.join(vectors.select(on, vector), on, "left")

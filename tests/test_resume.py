@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memoloom.operators import inference
-from memoloom.operators.embedding import HashEmbedder
+from memoloom.operators.embedding import CachedEmbedder, HashEmbedder, ModelEmbedder, embed
 from memoloom.operators.inference import LoggedCalls, ModelCalls
 from memoloom.plans import jobs
 from memoloom.sources import json_array, memory_table
@@ -121,6 +121,58 @@ def test_the_five_uses_take_logged_calls(spark, tmp_path, calls):
     assert len(asked(calls)) == 5
 
 
+# ---------------------------------------------------------------------------------------------- vectors
+
+
+def lengths_of(folder, fail_after=None):
+    """A model that leaves a file per text; new workers fail once there are `fail_after`."""
+
+    def load():
+        import numpy as np
+
+        if fail_after is not None and len(list(Path(folder).iterdir())) >= fail_after:
+            raise RuntimeError("no model")
+
+        def predict(texts):
+            for text in texts:
+                (Path(folder) / uuid.uuid4().hex).write_text(text)
+            return np.array([[float(len(t)), 1.0] for t in texts], np.float32)
+
+        return predict
+
+    return load
+
+
+def test_vectors_are_kept(spark, tmp_path, calls):
+    def cache(model="m", **options):
+        slices = {"slice_rows": options.pop("slice_rows")} if "slice_rows" in options else {}
+        plain = ModelEmbedder(lengths_of(calls, **options), 2, normalize=False, query_instruction="ask: ")
+        return CachedEmbedder(plain, str(tmp_path / "vectors"), model, **slices)
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["aa", "b", "aa", "", None, "b" * 9, "aa"])], "id int, text string")
+    want = {0: [2.0, 1.0], 1: [1.0, 1.0], 2: [2.0, 1.0], 3: [0.0, 0.0], 4: [0.0, 0.0], 5: [9.0, 1.0], 6: [2.0, 1.0]}
+    for _ in range(2):
+        assert {r["id"]: r["vector"] for r in embed(rows, cache(slice_rows=1)).collect()} == want
+        assert asked(calls) == ["aa", "b", "b" * 9]
+    assert {r["id"]: r["vector"] for r in embed(rows, cache(), query=True).collect()}[1] == [6.0, 1.0]
+    assert len(asked(calls)) == 6
+    embed(rows, cache("other"))
+    assert len(asked(calls)) == 9
+    assert embed(rows.where("id < 0"), cache()).count() == 0 and len(asked(calls)) == 9
+    with pytest.raises(Exception, match="no model"):
+        embed(rows.withColumn("text", F.lit("new")), cache(fail_after=0))
+
+
+def test_a_second_import_embeds_nothing(spark, tmp_path, calls):
+    (tmp_path / "in").mkdir()
+    for name in "abc":
+        (tmp_path / "in" / f"{name}.txt").write_text(f"note {name}")
+    for run in ("1", "2"):
+        embedder = CachedEmbedder(ModelEmbedder(lengths_of(calls), 2), str(tmp_path / "vectors"), "m")
+        assert jobs.run_import(spark, [str(tmp_path / "in")], str(tmp_path / run), embedder, 1) == 3
+    assert asked(calls) == ["note a", "note b", "note c"]
+
+
 # ---------------------------------------------------------------------------------------------- keyed tables
 
 
