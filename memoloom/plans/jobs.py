@@ -38,7 +38,8 @@ def import_payloads(
 ) -> DataFrame:
     """Payloads of all files below `paths`.
 
-    Every format opens its own files only, JSON lines and arrays in splits. The files are listed once per way of reading.
+    Every format opens its own files only, JSON lines in splits; graded results too when their format is given, else a file is
+    one value. The files are listed once per way of reading.
     """
     if input_format not in (*parsers.FORMATS, "auto"):
         raise ValueError(f"unsupported input format: {input_format}")
@@ -57,8 +58,9 @@ def import_payloads(
         return found.select(F.col("file").alias("path"), F.col("value").alias("line"))
 
     def results() -> DataFrame:
-        chosen_files = parsers.file_format("path", wording) == "result" if input_format == "auto" else None
-        return parsers.parse_result_elements(array_elements(spark, paths, chosen=chosen_files), max_items, wording)
+        if input_format == "auto":  # one scan per format, no shuffle
+            return parsers.parse_results(whole("result"), max_items, wording)
+        return parsers.parse_result_elements(array_elements(spark, paths), max_items, wording)
 
     branches = {
         "markdown": lambda: parsers.parse_markdown(whole("markdown")),
