@@ -21,6 +21,7 @@ from memoloom.functions import prompts, replies
 from memoloom.functions.entries import ENTRIES_TYPE, entry, parse_entries
 from memoloom.functions.scopes import column_or, path_user, user_scope
 from memoloom.operators.lookup import lookup
+from memoloom.operators.pacing import Window
 from memoloom.schemas import IMPORTANCE_EXTRACTED
 from memoloom.workspace import materialized
 
@@ -39,11 +40,11 @@ SKIPPED_EMPTY = "Skipped: empty text"
 
 
 class ModelError(Exception):
-    """A failed call with the status the service gave."""
+    """A failed call with the status the service gave, and the seconds it asks to wait for, where it does."""
 
-    def __init__(self, status: int, message: str = ""):
+    def __init__(self, status: int, message: str = "", retry_after: float | None = None):
         super().__init__(message or f"status {status}")
-        self.status = status
+        self.status, self.retry_after = status, retry_after
 
 
 def worth_retrying(error: Exception) -> bool:
@@ -94,7 +95,7 @@ class ModelCalls:
     """Calls made from the tasks.
 
     `make_client()` runs once per task and returns a function of one request dict: system, request, user and the
-    parameters of the use. `threads` calls run at a time per task.
+    parameters of the use. Up to `threads` calls run at a time per task, fewer while the service answers 429 (`pacing.Window`).
     """
 
     make_client: Callable
@@ -206,7 +207,7 @@ def _hashable(df: DataFrame) -> list[str]:
 def _caller(provider: ModelCalls, system: str, params: dict, retry: Retry):
     @F.pandas_udf("response string, error string")
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = provider.make_client()
+        client, window = provider.make_client(), Window(provider.threads, retry.delay)
 
         def one(row: tuple) -> tuple:
             request, user = row
@@ -214,7 +215,7 @@ def _caller(provider: ModelCalls, system: str, params: dict, retry: Retry):
                 return None, None
             try:
                 sent = {"system": system, "request": request, "user": user, **params}
-                return retry.call(client, sent), None
+                return retry.call(window.call, client, sent), None
             except Exception as error:
                 return None, str(error) or type(error).__name__
 

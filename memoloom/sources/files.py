@@ -40,7 +40,8 @@ def scan_files(spark: SparkSession, paths: list[str], suffix: str | None = None)
         return spark.createDataFrame([], "file string, length bigint, content binary")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(found)
     files = _of_kind(files.select(F.col("_metadata.file_path").alias("file"), "length", "content"), suffix)
-    return files.union(with_content(_of_kind(passed_over(spark, found), suffix)))
+    rest = _unscanned(spark, found, suffix)
+    return files if rest is None else files.union(with_content(rest))
 
 
 def scan_lines(spark: SparkSession, paths: list[str], suffix: str | None = None) -> DataFrame:
@@ -50,9 +51,18 @@ def scan_lines(spark: SparkSession, paths: list[str], suffix: str | None = None)
         return spark.createDataFrame([], "file string, value string")
     lines = spark.read.option("recursiveFileLookup", True).text(found)
     lines = _of_kind(lines.select(F.col("_metadata.file_path").alias("file"), "value"), suffix)
-    rest = with_content(_of_kind(passed_over(spark, found).where("length > 0"), suffix))
+    rest = _unscanned(spark, found, suffix, "length > 0")
+    if rest is None:
+        return lines
     text = F.regexp_replace(F.col("content").cast("string"), r"(\r\n|\r|\n)$", "")
-    return lines.union(rest.select("file", F.explode(F.split(text, r"\r\n|\r|\n"))))
+    return lines.union(with_content(rest).select("file", F.explode(F.split(text, r"\r\n|\r|\n"))))
+
+
+def _unscanned(spark: SparkSession, found: list[str], suffix: str | None, condition: str = "true") -> DataFrame | None:
+    """file and length of what Spark's scans pass over, or None when there is no such file: most folders have none, and their
+    plans hold nothing but the scan."""
+    rest = _of_kind(passed_over(spark, found).where(condition), suffix)
+    return None if rest.isEmpty() else rest
 
 
 def _of_kind(df: DataFrame, suffix: str | None) -> DataFrame:
@@ -65,8 +75,9 @@ def list_files(spark: SparkSession, paths: list[str], suffix: str | None = _SUFF
     if not found:
         return spark.createDataFrame([], "path string, length bigint")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(found)
-    files = files.select(F.col("_metadata.file_path").alias("file"), "length")
-    return _of_kind(files.union(passed_over(spark, found)), suffix).select(F.col("file").alias("path"), "length")
+    files = _of_kind(files.select(F.col("_metadata.file_path").alias("file"), "length"), suffix)
+    rest = _unscanned(spark, found, suffix)
+    return (files if rest is None else files.union(rest)).select(F.col("file").alias("path"), "length")
 
 
 def decoded(content: Column | str) -> Column:

@@ -112,11 +112,21 @@ def append(entries: DataFrame, path: str, run_key: str | None = None) -> int:
 
 
 def inspect(table: DataFrame) -> DataFrame:
-    """One row: number of rows, smallest and largest vector length, and the row with the smallest id as a sample."""
-    shown = [c for c in table.columns if c != "vector"]
-    return table.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.min(F.size("vector")).alias("min_dimension"),
-        F.max(F.size("vector")).alias("max_dimension"),
-        F.min(F.struct("id", *[c for c in shown if c != "id"])).alias("sample"),
-    )
+    """One row: number of rows, smallest and largest vector length, and the row with the smallest id as a sample.
+
+    No vector is read: rows come from the counts in the file footers, the length from the schema, as `append` lets no other in
+    (the vectors are looked at only where the schema names no length). The sample takes a scan of the ids and, with the smallest
+    one as a pushed filter, of the row groups that can hold it. An empty table has null lengths and no sample; rows with a null
+    id are a sample only of a table without other ids.
+    """
+    shown = [c for c in table.columns if c not in ("vector", "id")]
+    rows = table.agg(F.count(F.lit(1)).alias("rows"))
+    smallest = table.agg(F.min("id")).scalar()
+    sample = table.where(F.col("id").eqNullSafe(smallest)).agg(F.min(F.struct("id", *shown)).alias("sample"))
+    if _DIMENSION in table.schema["vector"].metadata:
+        length = F.when(F.col("rows") > 0, F.lit(table_dimension(table)))
+        rows = rows.select("rows", length.alias("min_dimension"), length.alias("max_dimension"))
+    else:
+        size = F.size("vector")
+        rows = table.agg(F.count(F.lit(1)).alias("rows"), F.min(size).alias("min_dimension"), F.max(size).alias("max_dimension"))
+    return rows.select("*", sample.scalar().alias("sample"))

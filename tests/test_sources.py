@@ -271,7 +271,26 @@ def test_append_refuses_other_vectors(spark, tmp_path, bad):
 
 def test_inspect_of_empty_table(spark, tmp_path):
     looked = memory_table.inspect(memory_table.create_table(spark, str(tmp_path / "m"), 2)).first()
-    assert looked["rows"] == 0 and looked["sample"] is None
+    assert looked["rows"] == 0 and looked["sample"] is None and looked["min_dimension"] is None
+
+
+def test_inspect_reads_no_vector(spark, tmp_path):
+    path = str(tmp_path / "m")
+    memory_table.create_table(spark, path, 2)
+    memory_table.append(entries(spark, [[1.0, 0.0], [0.0, 1.0]]), path)
+    looked = memory_table.inspect(memory_table.open_table(spark, path))
+    plan = looked._jdf.queryExecution().explainString(looked._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    scans = [line for line in plan.splitlines() if "ReadSchema" in line]
+    assert len(scans) >= 3 and not any("vector" in line for line in scans)
+    assert any(line.strip() == "ReadSchema: struct<>" for line in scans)  # rows from the footers
+    assert looked.first()["rows"] == 2
+
+
+def test_inspect_of_rows_without_dimension(spark):
+    rows = [("b", [1.0, 2.0], "x"), ("a", [1.0], "y"), (None, None, "z")]
+    looked = memory_table.inspect(spark.createDataFrame(rows, "id string, vector array<float>, text string")).first()
+    assert (looked["rows"], looked["min_dimension"], looked["max_dimension"]) == (3, 1, 2)
+    assert looked["sample"].asDict() == {"id": "a", "text": "y"}
 
 
 # ---------------------------------------------------------------------------------------------- embedding
