@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -27,9 +26,11 @@ from memoloom.operators.topk import METRICS, RunningTopK
 from memoloom.schemas import DEFAULT_MIN_SCORE, DEFAULT_TOP_K
 from memoloom.workspace import materialized
 
-# A cell holds its queries: bytes that they may take in a task, and bytes for each of their components.
-HELD_BYTES = 256 << 20
-HELD_PER_COMPONENT = 20
+# A cell holds its queries: bytes that they may take in a task, and bytes for each of their components and of their k hits
+# (number, score, id, held and pending).
+HELD_BYTES = 96 << 20
+HELD_PER_COMPONENT = 8
+HELD_PER_HIT = 160
 # Memories stream by; a cell with fewer is not worth a task. Cells wanted for each shuffle partition.
 LEAST_MEMORIES = 4096
 CELLS_PER_PARTITION = 2
@@ -115,24 +116,25 @@ def _counts(rows: DataFrame, name: str, *more: Column) -> DataFrame:
     return large.orderBy((F.col("key") == _ALL).desc(), F.desc(name)).limit(MAX_CUT_SCOPES)
 
 
-def cell_plan(queries: Column, memories: Column, dimension: Column, cells: Column) -> tuple[Column, Column]:
+def cell_plan(queries: Column, memories: Column, dimension: Column, cells: Column, k: int = 0) -> tuple[Column, Column]:
     """Parts of the queries and of the memories of a key that may have so many cells.
 
     A query is copied to every part of the memories, a memory to every part of the queries. Queries are cut by what a task
     can hold and no further, memories by the cells that leaves.
     """
-    qp = F.greatest(F.ceil(queries * dimension * HELD_PER_COMPONENT / HELD_BYTES), F.lit(1))
+    held = dimension * HELD_PER_COMPONENT + k * HELD_PER_HIT
+    qp = F.greatest(F.ceil(queries * held / HELD_BYTES), F.lit(1))
     mp = F.greatest(F.least(F.ceil(cells / qp), F.ceil(memories / LEAST_MEMORIES)), F.lit(1))
     return qp.cast("int"), mp.cast("int")
 
 
-def _planned(q: DataFrame, m: DataFrame) -> DataFrame:
+def _planned(q: DataFrame, m: DataFrame, k: int = 0) -> DataFrame:
     """key, qp, mp of the large keys: at most 2 x MAX_CUT_SCOPES short rows. Cells are shared out by the pairs of a key."""
     wanted = CELLS_PER_PARTITION * int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = _counts(q, "nq", F.max(F.size("vector")).alias("dimension")).join(_counts(m, "nm"), "key", "full_outer")
     nq, nm = (F.coalesce(F.col(c), F.lit(SMALL)).cast("double") for c in ("nq", "nm"))
     share = wanted * nq * nm / F.sum(nq * nm).over(Window.partitionBy())
-    qp, mp = cell_plan(nq, nm, F.coalesce("dimension", F.lit(1)), share)
+    qp, mp = cell_plan(nq, nm, F.coalesce("dimension", F.lit(1)), share, k)
     return counts.select("key", qp.alias("qp"), mp.alias("mp"))
 
 
@@ -163,7 +165,7 @@ def _meet_in_cells(q: DataFrame, m: DataFrame, k, metric) -> DataFrame:
     asked = q.select("key").distinct()
     m = m.join(asked, "key", "left_semi")
     # Both sides use the same plan. The counts of the memories read the scopes only, not the vectors.
-    parts = F.broadcast(_planned(q, m))
+    parts = F.broadcast(_planned(q, m, k))
     qp, mp = F.coalesce("qp", F.lit(1)), F.coalesce("mp", F.lit(1))
 
     id_type, memory_id_type = q.schema["query_id"].dataType, m.schema["id"].dataType
@@ -189,7 +191,9 @@ def _meet_in_cells(q: DataFrame, m: DataFrame, k, metric) -> DataFrame:
         F.lit(None).cast("double").alias("floor"),
     )
     cell = ["key", "qn", "mn"]
-    stream = left.unionByName(right).repartition(*cell).sortWithinPartitions(*cell, "side")
+    # few bytes that stand for very many pairs: the number of tasks is told, as sizes say nothing
+    tasks = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stream = left.unionByName(right).repartition(tasks, *cell).sortWithinPartitions(*cell, "side")
     out = _hit_type(id_type, memory_id_type)
     return stream.mapInArrow(_cell_scanner(k, metric, _arrow(out)), out)
 
@@ -204,7 +208,7 @@ def _cell_scanner(k, metric, schema):
                 now = tuple(piece.column(c)[0].as_py() for c in ("key", "qn", "mn"))
                 if now != cell:
                     if running is not None:
-                        yield from _hits(running.result(), schema)
+                        yield from _hits(running, schema)
                     cell, held, running = now, [], None
                 if piece.column("side")[0].as_py() == 0:
                     held.append(piece.select(["query_id", "vector", "floor"]))
@@ -221,7 +225,7 @@ def _cell_scanner(k, metric, schema):
                     _matrix(piece.column("vector"), running.vectors.shape[1]),
                 )
         if running is not None:
-            yield from _hits(running.result(), schema)
+            yield from _hits(running, schema)
 
     return scan
 
@@ -267,7 +271,7 @@ def _arrow(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def _hits(result: pd.DataFrame | None, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    if result is not None:
+def _hits(running: RunningTopK, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for result in running.results():
         columns = [pa.array(result[field.name].to_numpy(), field.type) for field in schema]
         yield pa.RecordBatch.from_arrays(columns, schema=schema)

@@ -3,16 +3,23 @@
 Scores are defined by the difference form in float64 (`l2`: 1 - squared distance, `cosine`: cosine similarity). A
 float32 matrix product, with room for its rounding, finds the pairs that can matter; only those are scored in the
 defining form, so the outcome does not depend on how rows are spread over batches and tasks. Ties go to the smaller id.
+
+What is held for a query is its vector as it came and at most about 2k pairs. Everything else, such as the float64 form and
+the sorting of pairs, is made for one block of queries at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 
 METRICS = ("l2", "cosine")
 _ROWS_PER_PRODUCT = 2048
 _QUERIES_PER_PRODUCT = 1024
+# Components of the pairs that are scored at a time.
+_COMPONENTS_PER_SCORING = 1 << 22
 # Pairs per query and k kept from one product without looking for a higher floor first.
 _LOOSE = 4
 # Merge found pairs once there are this many, or as many as are held.
@@ -25,20 +32,17 @@ class RunningTopK:
 
     def __init__(self, query_ids, vectors: np.ndarray, k: int, min_score: float | np.ndarray | None, metric: str):
         self.query_ids = np.asarray(query_ids)
-        self.vectors = vectors.astype(np.float64)
+        self.vectors = vectors
         self.k = k
         self.metric = metric
-        self.squares = np.einsum("ij,ij->i", self.vectors, self.vectors)
-        self.floor = np.full(len(self.query_ids), -np.inf if min_score is None else min_score, dtype=np.float64)
-        # l2: score = 2qr - r*r + (1 - q*q), the first two terms being one product; cosine: product of unit vectors.
-        if metric == "l2":
-            self.left = np.hstack([2.0 * self.vectors, np.full((len(self.vectors), 1), -1.0)])
-            self.offset = 1.0 - self.squares
-        else:
-            self.left = _unit(self.vectors, self.squares)
-            self.offset = np.zeros(len(self.vectors))
-        self.q, self.score, self.id = np.empty(0, np.int64), np.empty(0), None
-        self.pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        n = len(self.query_ids)
+        self.parts = [slice(start, min(start + _QUERIES_PER_PRODUCT, n)) for start in range(0, n, _QUERIES_PER_PRODUCT)]
+        self.squares = np.empty(n)
+        for part in self.parts:
+            block = vectors[part].astype(np.float64)
+            self.squares[part] = np.einsum("ij,ij->i", block, block)
+        self.floor = np.full(n, -np.inf if min_score is None else min_score, dtype=np.float64)
+        self.best = [_Pairs(self.floor[part], k) for part in self.parts]
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         """Offer rows. `vectors` has one row per id."""
@@ -59,14 +63,19 @@ class RunningTopK:
         right = right.astype(kind)
         size = 2.0 * np.sqrt(self.squares) * longest + longest**2 if self.metric == "l2" else np.ones(len(self.squares))
         room = 2.0 * (rows.shape[1] + 4) * np.finfo(kind).eps * (size + 1.0)
-        for start in range(0, len(self.query_ids), _QUERIES_PER_PRODUCT):
-            part = slice(start, start + _QUERIES_PER_PRODUCT)
-            product = self.left[part].astype(kind) @ right.T
-            q, r = self._candidates(product, self.floor[part] - self.offset[part] - room[part], room[part])
-            if len(q):
-                self._score(q + start, r, ids, rows, squares)
-        if sum(len(p[0]) for p in self.pending) >= max(_MERGE_AT, len(self.q)):
-            self._merge()
+        for part, best in zip(self.parts, self.best, strict=True):
+            block, own = self.vectors[part].astype(np.float64), self.squares[part]
+            # l2: score = 2qr - r*r + (1 - q*q), the first two terms being one product; cosine: product of unit vectors.
+            if self.metric == "l2":
+                left, offset = np.hstack([2.0 * block, np.full((len(block), 1), -1.0)]), 1.0 - own
+            else:
+                left, offset = _unit(block, own), 0.0
+            product = left.astype(kind) @ right.T
+            q, r = self._candidates(product, best.floor - offset - room[part], room[part])
+            step = max(_COMPONENTS_PER_SCORING // max(rows.shape[1], 1), 1)
+            for start in range(0, len(q), step):
+                some, of = q[start : start + step], r[start : start + step]
+                best.offer(some, self._score(block, own, some, of, rows, squares), ids[of])
 
     def _candidates(self, product: np.ndarray, bound: np.ndarray, room: np.ndarray):
         """Pairs that may reach the bound and, where that leaves many, the k best of this product."""
@@ -77,20 +86,44 @@ class RunningTopK:
             near &= product >= (kth - 2.0 * room).astype(product.dtype)[:, None]
         return np.nonzero(near)
 
-    def _score(self, q, r, ids, rows, squares) -> None:
-        left, right = self.vectors[q], rows[r]
+    def _score(self, block, own, q, r, rows, squares) -> np.ndarray:
+        left, right = block[q], rows[r]
         if self.metric == "l2":
             gap = left - right
-            scores = 1.0 - np.einsum("ij,ij->i", gap, gap)
-        else:
-            norms = np.sqrt(self.squares[q]) * np.sqrt(squares[r])
-            dots = np.einsum("ij,ij->i", left, right)
-            scores = np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
+            return 1.0 - np.einsum("ij,ij->i", gap, gap)
+        norms = np.sqrt(own[q]) * np.sqrt(squares[r])
+        dots = np.einsum("ij,ij->i", left, right)
+        return np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
+
+    def results(self) -> Iterator[pd.DataFrame]:
+        """query_id, id, score of the rows kept, by blocks of queries."""
+        for part, best in zip(self.parts, self.best, strict=True):
+            best.merge()
+            if len(best.q):
+                yield pd.DataFrame({"query_id": self.query_ids[part][best.q], "id": best.id, "score": best.score})
+
+    def result(self) -> pd.DataFrame | None:
+        """All of `results`, None without any."""
+        found = list(self.results())
+        return pd.concat(found, ignore_index=True) if found else None
+
+
+class _Pairs:
+    """The k best pairs of each query of one block. `floor` is its part of the floors of all queries, raised in place."""
+
+    def __init__(self, floor: np.ndarray, k: int):
+        self.floor, self.k = floor, k
+        self.q, self.score, self.id = np.empty(0, np.int64), np.empty(0), None
+        self.pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def offer(self, q: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         keep = scores >= self.floor[q]
         if keep.any():
-            self.pending.append((q[keep], scores[keep], ids[r[keep]]))
+            self.pending.append((q[keep], scores[keep], ids[keep]))
+        if sum(len(p[0]) for p in self.pending) >= max(_MERGE_AT, len(self.q)):
+            self.merge()
 
-    def _merge(self) -> None:
+    def merge(self) -> None:
         """Keep the k best of held and pending pairs, and raise the floors to the k-th scores."""
         if not self.pending:
             return
@@ -117,13 +150,6 @@ class RunningTopK:
             q, score, ids = q[stay], score[stay], ids[stay]
         self.q, self.score, self.id = q, score, ids
 
-    def result(self) -> pd.DataFrame | None:
-        """query_id, id, score of the rows kept, None without any."""
-        self._merge()
-        if not len(self.q):
-            return None
-        return pd.DataFrame({"query_id": self.query_ids[self.q], "id": self.id, "score": self.score})
-
 
 def _unit(rows: np.ndarray, squares: np.ndarray) -> np.ndarray:
     """Rows of length one; zero rows stay zero."""

@@ -1,5 +1,7 @@
 """The similarity join against brute force, in both physical forms and under skew."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -263,3 +265,25 @@ def test_running_top_k_for_vectors_of_any_length(scale):
         for i in range(5):
             best = np.sort(scores[i])[-3:]
             assert np.allclose(np.sort(got[got["query_id"] == i]["score"]), best, rtol=1e-12, atol=1e-12)
+
+
+def test_what_a_cell_holds_is_planned_by_its_queries_and_hits(spark):
+    """A task's memory is that of the plan, beside a part that is the same for any number of queries."""
+    dimension, k = 64, 10
+    rng = np.random.default_rng(9)
+    rows = rng.normal(size=(4096, dimension)).astype(np.float32)
+
+    def peak(n):
+        queries = rng.normal(size=(n, dimension)).astype(np.float32)
+        tracemalloc.start()
+        running = RunningTopK(np.arange(n), queries, k, None, "l2")
+        running.add(np.arange(4096), rows)
+        running.result()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    held = dimension * similarity.HELD_PER_COMPONENT + k * similarity.HELD_PER_HIT
+    assert peak(24 * 1024) - peak(4 * 1024) <= 20 * 1024 * held / 2
+    plan = similarity.cell_plan(*(F.lit(x) for x in (1e6, 1e6, float(dimension), 100.0)), k)
+    assert spark.range(1).select(*plan).first()[0] * similarity.HELD_BYTES >= 1e6 * held
