@@ -9,11 +9,12 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,6 +75,10 @@ class Retry:
                 delay *= 2
 
 
+# Rows that a task has under way at a time, and the replies it hands on at once.
+_AHEAD = 256
+_PACKED_ROWS, _PACKED_CHARACTERS = 1024, 1 << 20
+
 _LOG = "_key string, response string, error string, run string"
 AGENT_RETRY = Retry(attempts=5, delay=2.0)
 
@@ -205,28 +210,61 @@ def _hashable(df: DataFrame) -> list[str]:
 
 
 def _caller(provider: ModelCalls, system: str, params: dict, retry: Retry):
-    @F.pandas_udf("response string, error string")
-    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("response string, error string")
+    def call(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         client, window = provider.make_client(), Window(provider.threads, retry.delay)
 
-        def one(row: tuple) -> tuple:
-            request, user = row
-            if request is None:
+        def one(row: dict) -> tuple:
+            if row["request"] is None:
                 return None, None
             try:
-                sent = {"system": system, "request": request, "user": user, **params}
+                sent = {"system": system, "request": row["request"], "user": row["user"], **params}
                 return retry.call(window.call, client, sent), None
             except Exception as error:
                 return None, str(error) or type(error).__name__
 
         with ThreadPoolExecutor(provider.threads) as pool:
-            for batch in batches:
-                rows = zip(batch["request"], batch["user"])
-                yield pd.DataFrame(list(pool.map(one, rows)), columns=["response", "error"])
+            yield from _packed(_in_order(pool, one, _rows(batches), max(_AHEAD, 4 * provider.threads)))
 
     return call.asNondeterministic()  # one call for a row, whatever filters the optimizer moves or infers
 
 
+def _rows(batches: Iterator[pa.Array]) -> Iterator[dict]:
+    """The rows of all batches; few of them are Python objects at a time."""
+    for batch in batches:
+        for start in range(0, len(batch), _AHEAD):
+            yield from batch.slice(start, _AHEAD).to_pylist()
+
+
+def _in_order(pool: ThreadPoolExecutor, fn: Callable, rows: Iterator, ahead: int) -> Iterator:
+    """fn of each row, in the order of the rows; at most `ahead` are handed to the pool before the first of them is done."""
+    under_way: deque = deque()
+    for row in rows:
+        under_way.append(pool.submit(fn, row))
+        if len(under_way) >= ahead:
+            yield under_way.popleft().result()
+    while under_way:
+        yield under_way.popleft().result()
+
+
+def _packed(replies: Iterator[tuple]) -> Iterator[pa.Array]:
+    """Replies in arrays of at most _PACKED_ROWS rows, fewer where they are long."""
+
+    def array(held: list[tuple]) -> pa.Array:
+        columns = [pa.array(values, pa.string(), from_pandas=True) for values in zip(*held, strict=True)]
+        return pa.StructArray.from_arrays(columns, ["response", "error"])
+
+    held, size = [], 0
+    for reply in replies:
+        held.append(reply)
+        size += sum(len(value) for value in reply if isinstance(value, str))
+        if len(held) >= _PACKED_ROWS or size >= _PACKED_CHARACTERS:
+            yield array(held)
+            held, size = [], 0
+    if held:
+        yield array(held)
+
+
 def _named_user(df: DataFrame, name: str) -> Column:
     return F.nullif(column_or(df, name), F.lit(""))
 
