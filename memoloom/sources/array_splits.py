@@ -23,6 +23,8 @@ from memoloom.sources.listing import list_all, opened
 BLOCK_BYTES = 16 << 20
 #: Bytes of elements that a task holds before it hands them on; a longer element is handed on alone.
 _BATCH_BYTES = 4 << 20
+#: Bytes of a block that are looked at at a time: the places of brackets and quotes take many times as much.
+_WINDOW_BYTES = 1 << 20
 _QUOTE, _BACKSLASH, _COMMA = b'"\\,'
 _OPENING, _CLOSING = b"[{", b"]}"
 _WHITE = b" \t\r\n"
@@ -75,20 +77,38 @@ def _outside(at: np.ndarray, kind: np.ndarray, inside: bool) -> tuple[np.ndarray
     return at[out], kind[out]
 
 
-def _effect(at: np.ndarray, kind: np.ndarray, inside: bool) -> dict:
-    """How a block changes the nesting: in all, its lowest point before the last bracket, and commas by relative depth."""
-    _, kind = _outside(at, kind, inside)
-    step = _STEP[kind].astype(np.int64)
-    depth = np.cumsum(step)
-    turns = np.flatnonzero(step)
-    places, counts = np.unique(depth[step == 0], return_counts=True)
-    return {
-        "delta": int(depth[-1]) if len(depth) else 0,
-        "low": int(depth[turns[:-1]].min()) if len(turns) > 1 else None,
-        "brackets": len(turns),
-        "closing": int(kind[turns[-1]]) if len(turns) else None,
-        "commas": list(zip(places.tolist(), counts.tolist(), strict=True)),
-    }
+class _Effect:
+    """How a block changes the nesting: in all, its lowest point before the last bracket, and commas by relative depth; added up
+    window by window."""
+
+    def __init__(self, inside: bool):
+        self.inside = inside
+        self.delta, self.low, self.brackets, self.closing = 0, None, 0, None
+        self.commas: dict[int, int] = {}
+        self._last = None  # depth behind the last bracket so far
+
+    def add(self, at: np.ndarray, kind: np.ndarray) -> None:
+        quotes = int((kind == _QUOTE).sum())
+        _, kind = _outside(at, kind, self.inside)
+        self.inside ^= quotes % 2 == 1
+        step = _STEP[kind]
+        depth = self.delta + np.cumsum(step, dtype=np.int64)
+        places, counts = np.unique(depth[step == 0], return_counts=True)
+        for place, count in zip(places.tolist(), counts.tolist(), strict=True):
+            self.commas[place] = self.commas.get(place, 0) + count
+        turns = np.flatnonzero(step)
+        if len(turns):
+            earlier = [x for x in (self.low, self._last) if x is not None]
+            if len(turns) > 1:
+                earlier.append(int(depth[turns[:-1]].min()))
+            self.low = min(earlier) if earlier else None
+            self._last, self.closing = int(depth[turns[-1]]), int(kind[turns[-1]])
+            self.brackets += len(turns)
+        self.delta = int(depth[-1]) if len(depth) else self.delta
+
+    def row(self) -> dict:
+        found = {"delta": self.delta, "low": self.low, "brackets": self.brackets, "closing": self.closing}
+        return found | {"commas": sorted(self.commas.items())}
 
 
 def _preceded(source: pa.NativeFile, start: int) -> bool:
@@ -105,23 +125,31 @@ def _preceded(source: pa.NativeFile, start: int) -> bool:
     return count % 2 == 1
 
 
+def _summary(source: pa.NativeFile, start: int, length: int) -> dict:
+    before = escaped = _preceded(source, start)
+    quotes, first, last, outer, inner = 0, None, None, _Effect(False), _Effect(True)
+    place, end = start, start + length
+    while place < end:
+        text = source.read_at(min(_WINDOW_BYTES, end - place), place)
+        if not text:
+            break
+        at, kind, escaped = _marks(np.frombuffer(text, np.uint8), escaped)
+        quotes += int((kind == _QUOTE).sum())
+        outer.add(at, kind)
+        inner.add(at, kind)
+        bare = text.strip(_WHITE)
+        if bare:
+            first, last = bare[0] if first is None else first, bare[-1]
+        place += len(text)
+    return {"escaped": before, "quotes": quotes, "first": first, "last": last, "outer": outer.row(), "inner": inner.row()}
+
+
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             system, inner, _ = opened(row["path"])
             with system.open_input_file(inner) as source:
-                escaped = _preceded(source, row["start"])
-                text = source.read_at(row["length"], row["start"])
-            at, kind, _ = _marks(np.frombuffer(text, np.uint8), escaped)
-            bare = text.strip(_WHITE)
-            found = row | {
-                "escaped": escaped,
-                "quotes": int((kind == _QUOTE).sum()),
-                "first": bare[0] if bare else None,
-                "last": bare[-1] if bare else None,
-                "outer": _effect(at, kind, False),
-                "inner": _effect(at, kind, True),
-            }
+                found = row | _summary(source, row["start"], row["length"])
             yield pa.RecordBatch.from_pylist([found], schema=_SUMMARY_TYPE)
 
 
@@ -130,9 +158,8 @@ def _pieces(source: pa.NativeFile, row: dict) -> Iterator[bytes]:
     place, end = row["start"], row["start"] + row["length"]
     inside, depth, escaped = row["inside"], row["depth"], row["escaped"]
     held: list[bytes] | None = None  # parts of the element that is open; None while none is open that starts here
-    size = row["length"]
     while place < end or held is not None:
-        text = source.read_at(size, place)
+        text = source.read_at(min(_WINDOW_BYTES, end - place) if place < end else _WINDOW_BYTES, place)
         if not text:
             return
         data = np.frombuffer(text, np.uint8)
@@ -156,7 +183,6 @@ def _pieces(source: pa.NativeFile, row: dict) -> Iterator[bytes]:
         inside ^= quotes % 2 == 1
         depth = int(level[-1]) if len(level) else depth
         place += len(text)
-        size = 1 << 20
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

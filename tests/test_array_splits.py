@@ -2,13 +2,15 @@
 
 import json
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from conftest import plan_of
 from memoloom.plans import jobs
-from memoloom.sources import json_array, sessions
+from memoloom.sources import array_splits, json_array, sessions
 from memoloom.sources.array_splits import _marks, array_elements
 
 ODD = ['"', "\\", '\\"', "[", "]", "{", "}", ",", "é", " ", "𝄞", " ", "\n", "x", "\\\\", ":"]
@@ -117,3 +119,37 @@ def test_workbooks_and_results_in_small_blocks(spark, tmp_path):
     found = jobs.import_payloads(spark, [str(tmp_path / "in")])
     assert found.count() == 20 and found.where("text like 'Graded item None of R7%'").count() == 20
     assert jobs.import_payloads(spark, [str(tmp_path / "in")], max_items=3).count() == 3
+
+
+def test_blocks_are_summed_up_by_windows_of_any_size(monkeypatch):
+    rng = random.Random(5)
+    for _ in range(60):
+        text = "".join(rng.choice(ODD) for _ in range(rng.randrange(1, 60))).encode()
+        start = rng.randrange(len(text))
+        found = []
+        for window in (1, 2, 5, 1 << 20):
+            monkeypatch.setattr(array_splits, "_WINDOW_BYTES", window)
+            found.append(array_splits._summary(pa.BufferReader(text), start, len(text) - start))
+        assert found[0] == found[1] == found[2] == found[3]
+
+
+def test_elements_are_the_same_by_windows_of_any_size(monkeypatch):
+    rng = random.Random(6)
+    for _ in range(40):
+        items = [value(rng) for _ in range(rng.randrange(1, 12))]
+        text = json.dumps(items, ensure_ascii=False).encode()
+        row = {"start": 0, "length": len(text), "inside": False, "depth": 0, "escaped": False}
+        for window in (1, 3, 1 << 20):
+            monkeypatch.setattr(array_splits, "_WINDOW_BYTES", window)
+            assert [json.loads(x) for x in array_splits._pieces(pa.BufferReader(text), row)] == items
+
+
+def test_a_block_is_not_held_with_all_its_marks():
+    text = ("[" + ",".join(['{"a":["b"]}'] * 400_000) + "]").encode()
+    row = {"start": 0, "length": len(text), "inside": False, "depth": 0, "escaped": False}
+    tracemalloc.start()
+    array_splits._summary(pa.BufferReader(text), 0, len(text))
+    count = sum(1 for _ in array_splits._pieces(pa.BufferReader(text), row))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count == 400_000 and most < 60 << 20
