@@ -113,12 +113,11 @@ class Chunk:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[pa.RecordBatch]]]:
-    """Segments (id, key, base, bytes) of up to about ``SEGMENT`` bytes, from rows (doc_id, text_key, packed text)."""
+    """Segments (id, key, base, bytes) of up to about ``SEGMENT`` bytes, from rows (doc_id, text_key, text)."""
     held, size = [], 0
-    unpack = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
+    for batch in cut_small(batches):
         for i in range(batch.num_rows):
-            data = unpack(batch.column(2)[i].as_py())
+            data = batch.column(2)[i].as_py().encode("utf-8", "surrogatepass")
             for base in range(0, max(len(data) - LENGTH + 1, 0), SEGMENT):
                 part = data[base : base + SEGMENT + LENGTH - 1]
                 if size + len(part) > 2 * SEGMENT:
@@ -384,10 +383,14 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(0xFFFFFFFF)
 
 
-def _packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_key, packed): texts as compressed bytes; the key tells texts apart that share an id."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_key, text); the key tells texts apart that share an id."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text).alias("text_key"), text.alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text).alias("text_key"), text.alias("text"))
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """(doc_id, text_key, packed): texts as compressed bytes, to be sent to other tasks."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
@@ -410,10 +413,11 @@ def _partitions(df: DataFrame) -> int:
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, marks): the ranges of windows that a smaller document has too, in packed form."""
     buckets = _partitions(docs)
-    packed = _packed(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    first = written(_settled(packed.mapInArrow(_send(buckets), _PACKET), False), "repeats-first")
+    rows = _keyed(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
+    # texts as they are: packed ones would take a second Python worker to each task, and workers live on with what they hold
+    first = written(_settled(rows.mapInArrow(_send(buckets), _PACKET), False), "repeats-first")
     waiting = first.where("open").groupBy("doc_id", "text_key").agg(F.collect_list("marks").alias("marks"))
-    joined = packed.join(waiting, ["doc_id", "text_key"])
+    joined = _packed(rows).join(waiting, ["doc_id", "text_key"])
     schema = f"{_prefixed(_CELL, 'c_')}, {_prefixed(_PACKET, 'p_')}"
     opened = written(joined.mapInArrow(_reopen(buckets, CELLS_PER_PARTITION * buckets), schema), "repeats-open")
     cells = opened.where("c_cell is not null").select(*[F.col(f"c_{c}").alias(c) for c in _CELL_NAMES])
@@ -464,6 +468,6 @@ def _cut(whole: bool):
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; text_key and kept_text on demand."""
     marks = repeated_ranges(docs, id_col, text_col).groupBy("doc_id", "text_key").agg(F.collect_list("marks").alias("marks"))
-    rows = _packed(docs, id_col, text_col).join(marks, ["doc_id", "text_key"], "left").select("doc_id", "text_key", "packed", "marks")
+    rows = _packed(_keyed(docs, id_col, text_col)).join(marks, ["doc_id", "text_key"], "left").select("doc_id", "text_key", "packed", "marks")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return rows.mapInArrow(_cut(with_text), schema + ", text_key long, kept_text string" * with_text)

@@ -12,6 +12,7 @@ follow each other, ordered by text. Texts of any length are one value; a group h
 
 from __future__ import annotations
 
+import os
 import sys
 import types
 import zlib
@@ -43,6 +44,13 @@ GROUP_DOCS = 1 << 12
 MARKS = ".,;:!?%&*$#|"
 
 
+def tokenizer(path: str) -> Tokenizer:
+    """The library's tokenizer, at work in its caller's thread: a task has one core, and every thread that the library starts
+    would keep memory of its own in a worker that lives on."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return Tokenizer.from_file(path)
+
+
 def parts(word: str) -> tuple[str, ...]:
     """The shorter words whose ids put together are those of a word."""
     if "<" in word:  # may hold a special token, which is matched as it is written
@@ -60,7 +68,7 @@ class Encoder:
     together = 64
 
     def __init__(self, path: str, remembered: int = GENERATION):
-        self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
+        self.tokenizer, self.remembered = tokenizer(path), remembered
         names = self.tokenizer.get_vocab()
         self.final = np.zeros(max(names.values()) + 1, bool)
         self.final[[i for name, i in names.items() if name.endswith("</w>")]] = True

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+from conftest import plan_of
 
 from memoloom.llm import repeats
 from memoloom.llm.run_index import RunIndex
@@ -91,3 +92,13 @@ def test_matching_statistics():
                 assert any(stream[i : i + n] in t for t in texts)
                 assert i + n == len(stream) or not any(stream[i : i + n + 1] in t for t in texts)
             begin = end + 1
+
+
+def test_texts_go_to_one_worker_a_task(spark, monkeypatch):
+    """Two Python steps in one stage would be two workers to a task, both kept."""
+    plans = {}
+    own = repeats.written
+    monkeypatch.setattr(repeats, "written", lambda df, name: plans.update({name: plan_of(df)}) or own(df, name))
+    repeats.repeated_ranges(spark.createDataFrame([(1, "x" * 60), (2, "x" * 60)], "doc_id long, text string"))
+    steps = [line for line in plans["repeats-first"].splitlines() if "MapInArrow" in line or "Exchange" in line]
+    assert ["Exchange" in line for line in steps] == [False, True, False]

@@ -1,7 +1,11 @@
 """Simple-8b round trips, ids against the tokenizer library on whole texts, files against a plain concatenation."""
 
+import os
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -78,3 +82,19 @@ def test_no_documents(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     tokens.write_ids(docs, str(tmp_path / "none"))
     assert tokens.read_ids(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_the_library_starts_no_threads():
+    code = """
+import os, sys
+from memoloom.llm import alignment, tokens
+count = lambda: len(os.listdir("/proc/self/task"))
+before = count()
+words = [f"word{i} x{i % 7}y" for i in range(5000)]
+tokens.Encoder(tokens.VOCABULARY).encode(words)
+alignment.Pair(alignment.BYTE_LEVEL, alignment.PIECES).encode(words)
+sys.exit(count() - before)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"}
+    env["PYTHONPATH"] = str(Path(tokens.__file__).parents[2])
+    assert subprocess.run([sys.executable, "-c", code], env=env, timeout=120).returncode == 0
