@@ -36,9 +36,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
-from tokenizers import Tokenizer
 
 from memoloom.llm.storage import cut_small, written
+from memoloom.llm.tokens import tokenizer
 
 BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -46,17 +46,19 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RANGE = 1 << 16
 FAN = 16
 SLICE = 1 << 20
-#: Stretches after which a worker starts a new generation of what it remembers.
+#: Stretches after which a worker starts a new generation of what it remembers, and new ones that go to a tokenizer as one text.
 REMEMBERED = 150_000
+TOGETHER = 64
 
 _STRETCH = re.compile(r"\s*\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*\Z)?|\s+")
+_SPACE_AND_WORD = re.compile(r" \S+")
 
 
 class Pair:
     """Both tokenizers, and the id bytes of stretches they have met."""
 
     def __init__(self, a_path: str, b_path: str, remembered: int = REMEMBERED):
-        self.a, self.b = Tokenizer.from_file(a_path), SentencePieceProcessor(model_file=b_path)
+        self.a, self.b = tokenizer(a_path), SentencePieceProcessor(model_file=b_path)
         self.a.encode_special_tokens = True
         with open(a_path, encoding="utf-8") as f:
             stated = json.load(f)
@@ -75,7 +77,7 @@ class Pair:
         by_stretch = stated["normalizer"] is None and cuts.get("type") == "ByteLevel" and cuts.get("use_regex") and not cuts.get("add_prefix_space")
         crossing = re.compile(r"[^\s▁][\n▁ ]")
         self.by_stretch = bool(by_stretch) and not any(crossing.search(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))
-        self.remembered, self.known, self.before = remembered, {}, {}
+        self.remembered, self.known, self.before = remembered, ({}, {}), ({}, {})  # A's and B's; None where a text is lost
         self.digits = self._digits()
 
     def _piece(self, i: int) -> bytes:
@@ -103,29 +105,60 @@ class Pair:
             out.append((np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes()) if same else None)
         return out
 
+    def _learn(self, fresh: set[str]) -> None:
+        """Remember the id bytes of stretches. Words behind one space go many to a text, whose ids are cut where they end; stretches
+        of a text that can't be cut so, and all others, are texts each."""
+        words = [s for s in fresh if _SPACE_AND_WORD.fullmatch(s)]
+        left = list(fresh.difference(words))
+        groups = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        texts = ["".join(g) for g in groups]
+        first = self.a.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+        second = self.b.encode([t[1:] for t in texts], num_threads=1) if texts else []
+        for group, text, a, b in zip(groups, texts, first, second, strict=True):
+            data = text.encode()
+            ends = np.cumsum([len(s) for s in group] if len(data) == len(text) else [len(s.encode()) for s in group])
+            a, b = self._cut(a.ids, self.a_bytes, self.a_sizes, data, ends), self._cut(b, self.b_bytes, self.b_sizes, data, ends)
+            if a is None or b is None:
+                left += group
+                continue
+            for known, ids in zip(self.known, (a, b), strict=True):
+                known.update(zip(group, ids, strict=True))
+        for s, found in zip(left, self._both(left), strict=True):
+            for known, ids in zip(self.known, found or (None, None), strict=True):
+                known[s] = ids
+
+    @staticmethod
+    def _cut(ids: list[int], table: list[bytes], sizes: np.ndarray, data: bytes, ends: np.ndarray) -> list[bytes] | None:
+        """Id bytes between successive ends in a text; None if the tokens don't give it again or one reaches across an end."""
+        if b"".join(map(table.__getitem__, ids)) != data:
+            return None
+        ids = np.array(ids, np.int32)
+        run = np.cumsum(sizes[ids])
+        at = np.searchsorted(run, ends)
+        if (run[at] != ends).any():
+            return None
+        raw, cuts = ids.tobytes(), [0, *((at + 1) * 4).tolist()]
+        return [raw[s:e] for s, e in zip(cuts, cuts[1:], strict=False)]
+
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
         """Id bytes of every text with a leading space, empty where a text has no tokens."""
         spaced = [" " + t if t else "" for t in texts]
         if not self.by_stretch:
             found = iter(self._both([s for s in spaced if s]))
             return [(next(found) or (b"", b"")) if s else (b"", b"") for s in spaced]
-        if len(self.known) > self.remembered:
-            self.known, self.before = {}, self.known
+        if len(self.known[0]) > self.remembered:
+            self.known, self.before = ({}, {}), self.known
         cut = [_STRETCH.findall(s) for s in spaced]
-        fresh = set().union(*cut).difference(self.known)
-        for s in fresh:
-            if s in self.before:
-                self.known[s] = self.before[s]
-        fresh = list(fresh.difference(self.before))
-        self.known.update(zip(fresh, self._both(fresh), strict=True))
+        fresh = set().union(*cut).difference(self.known[0])
+        again = fresh.intersection(self.before[0])
+        for known, before in zip(self.known, self.before, strict=True):
+            known.update(zip(again, map(before.__getitem__, again), strict=True))
+        self._learn(fresh.difference(again))
         out = []
         for stretches in cut:
-            found = list(map(self.known.__getitem__, stretches))
-            if not found or None in found:
-                out.append((b"", b""))
-            else:
-                a, b = zip(*found, strict=True)
-                out.append((b"".join(a), b"".join(b)))
+            a = list(map(self.known[0].__getitem__, stretches))
+            lost = None in a
+            out.append((b"", b"") if lost else (b"".join(a), b"".join(map(self.known[1].__getitem__, stretches))))
         return out
 
 
@@ -204,7 +237,8 @@ class Ranges:
 
     def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(links of every range, distinct pairs of every range, their codes, their times) over closed groups."""
-        ends = np.union1d(self.a_ends[self.a_place == 1], self.b_ends[self.b_place == 1])
+        ends = np.sort(np.r_[self.a_ends[self.a_place == 1], self.b_ends[self.b_place == 1]], kind="stable")  # two ascending runs
+        ends = ends[np.r_[True, ends[1:] != ends[:-1]]] if len(ends) else ends
         i, j = np.searchsorted(self.a_ends, ends), np.searchsorted(self.b_ends, ends)
         codes = self.a[i].astype(np.int64) * len(self.own.b_bytes) + self.b[j] if len(ends) else np.zeros(0, np.int64)
         row = self.a_row[i] if len(ends) else np.zeros(0, np.int64)

@@ -130,3 +130,33 @@ def test_composition_is_associative():
 
 def test_empty_table(spark):
     assert got(spark, []) == []
+
+
+class Counted:
+    """A tokenizer that counts the texts it is asked for."""
+
+    def __init__(self, own):
+        self.own, self.texts = own, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.own.encode_batch_fast(texts, **options)
+
+
+def test_new_words_go_to_the_tokenizer_many_at_a_time():
+    own, plainly = (alignment.Pair(alignment.BYTE_LEVEL, alignment.PIECES) for _ in range(2))
+    own.a, plainly.by_stretch = Counted(own.a), False
+    rng = random.Random(6)
+    words = ["".join(rng.choice("aeinorstéß") for _ in range(9)) for _ in range(1000)]
+    texts = [" ".join(words[k : k + 100]) for k in range(0, 1000, 100)] + ["a lost▁one", words[3]]
+    assert own.encode(texts) == plainly.encode(texts)
+    assert own.a.texts <= 1000 / alignment.TOGETHER + 2 * alignment.TOGETHER
+    assert own.encode(texts[-2:]) == plainly.encode(texts[-2:]) and own.encode(texts[-2:])[0] == (b"", b"")
+
+
+def test_remembered_generations_give_the_same_ids():
+    own, plainly = alignment.Pair(alignment.BYTE_LEVEL, alignment.PIECES, remembered=5), alignment.Pair(alignment.BYTE_LEVEL, alignment.PIECES)
+    plainly.by_stretch = False
+    texts = odd_texts(8)[:60]
+    for text in texts + texts[::-1]:
+        assert own.encode([text]) == plainly.encode([text])
