@@ -37,53 +37,55 @@ def _choices(width: np.ndarray) -> np.ndarray:
     for n in (2, 4, 8, 16, 32, 64):
         half = spans[n // 2]
         spans[n] = half.copy()
-        spans[n][:, : -n // 2] = np.maximum(half[:, : -n // 2], half[:, n // 2 :])
-    best = np.where(width > 60, 0, 15).astype(np.uint8)
+        np.maximum(half[:, : -n // 2], half[:, n // 2 :], out=spans[n][:, : -n // 2])
+    best = np.where(width > 60, np.uint8(0), np.uint8(15))
     for selector in range(14, 0, -1):
         n, bits = SELECTORS[selector]
         base = 1 << (n.bit_length() - 1)
-        widest = spans[base].copy()
+        fits = spans[base] <= bits
         if n > base:
-            widest[:, : -(n - base)] = np.maximum(widest[:, : -(n - base)], spans[base][:, n - base :])
-        best[widest <= bits] = selector
+            fits[:, : -(n - base)] &= fits[:, n - base :].copy()
+        if fits.any():
+            np.putmask(best, fits, selector)
     return best
 
 
 def encode(values: np.ndarray) -> bytes:
-    values = np.ascontiguousarray(values, np.uint64)
     n = len(values)
     blocks = -(-n // BLOCK)
-    padded = np.zeros(blocks * BLOCK, np.uint64)
-    padded[:n] = values
-    width = _widths(padded).reshape(blocks, BLOCK) if blocks else np.zeros((0, BLOCK), np.uint8)
-    best = _choices(width) if blocks else width
-    sizes = np.minimum(BLOCK, n - np.arange(blocks) * BLOCK)
-    at, rows = np.zeros(blocks, np.int64), np.arange(blocks)
-    places, owners = [], []
-    while len(rows):  # one word of every unfinished block at a time
-        places.append(at[rows])
-        owners.append(rows)
-        at[rows] += _COUNT[best[rows, at[rows]]]
-        rows = rows[at[rows] < sizes[rows]]
-    place = np.concatenate(places) if places else np.zeros(0, np.int64)
-    owner = np.concatenate(owners) if owners else place
-    order = np.lexsort((place, owner))
-    place, owner = place[order], owner[order]
-    selector = best[owner, place] if blocks else np.zeros(0, np.uint8)
-    first = owner * BLOCK + place
+    padded = np.zeros((blocks, BLOCK + 128), np.uint64)  # what a block's last word holds beyond it is zero
+    if n:
+        full = n // BLOCK
+        padded[:full, :BLOCK] = values[: full * BLOCK].reshape(full, BLOCK)
+        padded[full:, : n - full * BLOCK] = values[full * BLOCK :]
+    best = _choices(_widths(padded[:, :BLOCK])) if blocks else np.zeros((0, BLOCK), np.uint8)
+    chosen, steps = best.ravel(), _COUNT[best].ravel()
+    begin = np.zeros(blocks * BLOCK, bool)
+    at = np.arange(blocks) * BLOCK
+    ends = np.minimum(at + BLOCK, n)
+    while len(at):  # one word of every unfinished block at a time
+        begin[at] = True
+        at = at + steps[at]
+        open_ = at < ends
+        if not open_.all():
+            at, ends = at[open_], ends[open_]
+    place = np.flatnonzero(begin)
+    selector = chosen[place]
+    first = place + place // BLOCK * 128  # in the padded blocks
+    padded = padded.ravel()
     words = selector.astype(np.uint64) << np.uint64(60)
-    padded = np.r_[padded, np.zeros(128, np.uint64)]
-    ends = owner * BLOCK + (sizes[owner] if blocks else owner)
     for code in range(1, 16):
         count, bits = SELECTORS[code]
-        mine = np.flatnonzero(selector == code)
-        if bits and len(mine):
-            index = first[mine, None] + np.arange(count)
-            chosen = np.where(index < ends[mine, None], padded[index], np.uint64(0))
-            words[mine] |= np.bitwise_or.reduce(chosen << (np.arange(count, dtype=np.uint64) * np.uint64(bits)), axis=1)
+        mine = np.flatnonzero(selector == code) if bits else ()
+        if len(mine):
+            start = first[mine]
+            held = padded[start]
+            for k in range(1, count):
+                held |= padded[start + k] << np.uint64(k * bits)
+            words[mine] |= held
     escaped = np.flatnonzero(selector == 0)
     words[escaped] = np.arange(len(escaped), dtype=np.uint64)
-    offsets = np.searchsorted(owner, np.arange(blocks + 1)).astype("<u4")
+    offsets = np.searchsorted(place, np.arange(blocks + 1) * BLOCK).astype("<u4")
     parts = (struct.pack(_HEAD, MAGIC, n, len(escaped)), offsets.tobytes(), words.astype("<u8").tobytes())
     return b"".join((*parts, padded[first[escaped]].astype("<u8").tobytes()))
 

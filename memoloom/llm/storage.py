@@ -6,7 +6,9 @@ import ctypes
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from memoloom.workspace import materialized
@@ -58,6 +60,19 @@ def cut_small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa
     give_back()
 
 
+def cut_sized(batches: Iterator[pa.RecordBatch], text: int, rows: int = 1024, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many rows, which end with the row that brings their texts to ``size`` bytes."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            full = int(np.searchsorted(ends, size + (int(ends[start - 1]) if start else 0))) + 1
+            end = min(full, start + rows, batch.num_rows)
+            yield batch.slice(start, end - start)
+            start = end
+    give_back()
+
+
 def give_back() -> None:
     """Return freed memory to the system; a worker process lives on after its task."""
     pa.default_memory_pool().release_unused()

@@ -23,13 +23,14 @@ from unicodedata import normalize
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from memoloom.llm.simple8b import decode, encode
-from memoloom.llm.storage import cut_small, give_back
+from memoloom.llm.storage import cut_sized, give_back
 from memoloom.workspace import materialized
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -61,6 +62,13 @@ def parts(word: str) -> tuple[str, ...]:
     return (word.lower() if word.isascii() else word,)
 
 
+def gathered(values: np.ndarray, size: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of values (of these sizes, one after the other) in the order they are chosen, and where each of them ends."""
+    start, own = (np.cumsum(size) - size)[chosen], size[chosen]
+    ends = np.cumsum(own)
+    return values[np.repeat(start - (ends - own), own) + np.arange(own.sum())], ends
+
+
 class Encoder:
     """Ids by the tokenizers library, without special tokens, as little-endian unsigned 32-bit bytes. What is new in a batch
     of texts goes to the library in one call; words of letters alone go many to a text, each ending with its word-final id."""
@@ -75,13 +83,21 @@ class Encoder:
         self.words: dict[str, bytes] = {"": b""}
         self.before: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        """Arrow cuts the texts and numbers their distinct words; only these are looked up."""
         if len(self.words) > self.remembered:
             self.words, self.before = {"": b""}, self.words
-        cut = [(text or "").replace("\n", " ").split(" ") for text in texts]
-        self._learn(set().union(*cut).difference(self.words))
-        known = self.words.__getitem__
-        return [b"".join(map(known, words)) for words in cut]
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        cut = pc.split_pattern(pc.replace_substring(column.fill_null(""), "\n", " "), " ")
+        words = pc.dictionary_encode(cut.flatten())
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn(set(distinct).difference(self.words))
+        ids = list(map(self.words.__getitem__, distinct))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        found, ends = gathered(np.frombuffer(b"".join(ids), "<u4"), size, words.indices.to_numpy())
+        cuts = (np.r_[0, ends][np.asarray(cut.offsets)] * 4).tolist()
+        data = found.tobytes()
+        return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def _recalled(self, words: set[str]) -> list[str]:
         """Take words over from the generation before; those that it does not know either."""
@@ -98,11 +114,17 @@ class Encoder:
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
 
     def _learn(self, words: set[str]) -> None:
-        cut = {word: parts(word) for word in self._recalled(words)}
-        asked = self._recalled(set().union(*cut.values()).difference(self.words))
-        letters = [word for word in asked if normalize("NFC", word).lower().isalpha()]
-        left = set(asked).difference(letters)
         known = self.words
+        new = self._recalled(words)
+        letters = [word for word in new if word.isascii() and word.isalpha() and word.islower()]  # most, and whole
+        cut = {word: parts(word) for word in set(new).difference(letters)}
+        asked = {word for word, own in cut.items() if own == (word,)}
+        for word in asked:
+            del cut[word]
+        asked.update(self._recalled(set().union(*cut.values()).difference(known, asked, letters)))
+        more = [word for word in asked if normalize("NFC", word).lower().isalpha()]
+        left = asked.difference(more)
+        letters += more
         groups = [letters[k : k + self.together] for k in range(0, len(letters), self.together)]
         for words, found in zip(groups, self._asked([" ".join(g) for g in groups]), strict=True):
             ids = np.array(found.ids, "<u4")
@@ -137,8 +159,8 @@ def encoded(
     goes with its task."""
     frugal = remembered < GENERATION
     own = Encoder(path, remembered) if frugal else encoder(path, remembered)
-    for part in cut_small(batches):
-        yield part, own.encode(part.column(text).to_pylist())
+    for part in cut_sized(batches, text):
+        yield part, own.encode(part.column(text))
     if frugal:
         del own
         give_back()

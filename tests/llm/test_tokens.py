@@ -8,12 +8,13 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from memoloom.llm import tokens
+from memoloom.llm import storage, tokens
 from memoloom.llm.simple8b import BLOCK, MAGIC, decode, encode
 
 
@@ -60,6 +61,23 @@ def test_ids_are_the_librarys():
         assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == want
 
 
+def test_arrow_columns_and_their_slices():
+    texts = [*ODD, "The cat sat.", None, "the cat, the CAT."]
+    library = Tokenizer.from_file(tokens.VOCABULARY)
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    column = pa.chunked_array([["before", *texts, "after"]]).chunk(0)
+    own = tokens.Encoder(tokens.VOCABULARY)
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(column.slice(1, len(texts)))] == want
+    assert own.encode(column.slice(0, 0)) == [] and own.encode(pa.nulls(2, pa.string())) == [b"", b""]
+
+
+@pytest.mark.parametrize(("rows", "size", "want"), [(2, 100, [2, 2, 1]), (10, 3, [2, 1, 2]), (10, 1, [1, 1, 1, 2]), (10, 9, [3, 2])])
+def test_batches_are_cut_by_rows_and_bytes(rows, size, want):
+    batch = pa.record_batch({"id": [1, 2, 3, 4, 5], "text": ["ab", "é", "x" * 50, None, "z"]})
+    cut = list(storage.cut_sized(iter([batch, batch.slice(0, 0)]), 1, rows, size))
+    assert [b.num_rows for b in cut] == want and pa.Table.from_batches(cut).equals(pa.Table.from_batches([batch]))
+
+
 def test_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tokens, "GROUP_DOCS", 7)
     texts = [(i * 3 % 101, f"text number {i} " * (i % 9)) for i in range(101)] + [(500 + i, t) for i, t in enumerate(ODD)]
