@@ -30,14 +30,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 50 bytes that a smaller id has too; documents that were nothing else go. Characters stay
     whole: one goes when all its bytes do."""
-    marked = repeats.without_repeats(docs, with_text=True).where("n_removed > 0")
-    cut = F.when(F.col("n_removed") < F.col("n_bytes"), F.col("kept_text"))
-    # only documents that lose something are written and joined: (id, key of the text, what is left or null)
-    changed = materialized(marked.select("doc_id", "text_key", cut.alias("cut"), F.lit(True).alias("changed")).distinct(), "pipeline-cuts")
-    keyed = docs.withColumn("text_key", repeats.text_key(F.col("text")))
-    out = keyed.join(changed, ["doc_id", "text_key"], "left").where("changed is null or cut is not null")
-    text = F.when(F.col("changed"), F.col("cut")).otherwise(F.col("text"))
-    return out.select("doc_id", text.alias("text"), "lang", "source", F.char_length(text).cast("long").alias("n_chars"))
+    # one pass: the other columns go along with the compressed texts, so no text is sent or written twice
+    cut = repeats.without_repeats(docs, with_text=True, others=("lang", "source")).where("n_removed = 0 or n_removed < n_bytes")
+    text = F.col("kept_text")
+    return cut.select("doc_id", text.alias("text"), "others.lang", "others.source", F.char_length(text).cast("long").alias("n_chars"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

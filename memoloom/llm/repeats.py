@@ -23,7 +23,7 @@ overlapping segments, so memory in a task does not depend on them; the last step
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memoloom.llm.run_index import RunIndex
-from memoloom.llm.storage import cut_small, written
+from memoloom.llm.storage import cut_small, dropped, written
 
 LENGTH = 50
 ANCHOR = 24
@@ -390,15 +390,17 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _packed(rows: DataFrame) -> DataFrame:
-    """(doc_id, text_key, packed): texts as compressed bytes, to be sent to other tasks."""
+    """(doc_id, text_key, packed) and any further columns: texts as compressed bytes, to be sent to other tasks."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in cut_small(batches):
-            packed = [squeeze(t.encode("utf-8", "surrogatepass")) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc_id", "text_key", "packed"])
+            packed = [None if t is None else squeeze(t.encode("utf-8", "surrogatepass")) for t in batch.column(2).to_pylist()]
+            columns = [*batch.columns[:2], pa.array(packed, pa.binary()), *batch.columns[3:]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "packed", *batch.schema.names[3:]])
 
-    return rows.mapInArrow(pack, "doc_id long, text_key long, packed binary")
+    others = [f", {f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[3:]]
+    return rows.mapInArrow(pack, "doc_id long, text_key long, packed binary" + "".join(others))
 
 
 def _settled(packets: DataFrame, single: bool) -> DataFrame:
@@ -411,7 +413,8 @@ def _partitions(df: DataFrame) -> int:
 
 
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_key, marks): the ranges of windows that a smaller document has too, in packed form."""
+    """(doc_id, text_key, marks): the ranges of windows that a smaller document has too, in packed form, as a written table; what
+    led to them goes."""
     buckets = _partitions(docs)
     rows = _keyed(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
     # texts as they are: packed ones would take a second Python worker to each task, and workers live on with what they hold
@@ -424,26 +427,30 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cells = cells.repartition("cell").sortWithinPartitions("cell")
     windows = opened.where("p_bucket is not null").select(*[F.col(f"p_{c}").alias(c) for c in _PACKET_NAMES])
     found = first.where("not open").union(_settled(windows, True)).union(cells.mapInArrow(_matched, _MARKED))
-    return found.select("doc_id", "text_key", "marks")
+    marks = written(found.select("doc_id", "text_key", "marks"), "repeats-marks")
+    dropped(first)
+    dropped(opened)
+    return marks
 
 
 def _cut(whole: bool):
-    """Over (doc_id, packed, marks): counts, digest and on demand the text that is left."""
+    """Over (doc_id, text_key, packed, marks, any others): counts, digest and on demand the text that is left and the others."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in cut_small(batches):
             out = []
-            for doc_id, key, packed, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = unpack(packed)
+            for doc_id, key, packed, marks in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
+                data = b"" if packed is None else unpack(packed)
                 gone = removed(len(data), marks or [])
                 left = np.frombuffer(data, np.uint8)[~gone].tobytes() if gone.any() else data
                 spans = int((np.diff(np.r_[0, gone.astype(np.int8)]) == 1).sum())
                 row = (doc_id, len(data), int(gone.sum()), spans, hashlib.sha256(left).hexdigest())
-                out.append((*row, key, characters(data, gone)) if whole else row)
+                out.append((*row, key, None if packed is None else characters(data, gone)) if whole else row)
             kinds = [pa.int64()] * 4 + [pa.string()] + [pa.int64(), pa.string()] * whole
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["text_key", "kept_text"] * whole
-            yield _batch(out, names, kinds)
+            cut = _batch(out, names, kinds)
+            yield pa.RecordBatch.from_arrays([*cut.columns, *batch.columns[4:]], [*names, *batch.schema.names[4:]])
 
     def removed(size: int, packed: list[bytes]) -> np.ndarray:
         marks = np.frombuffer(b"".join(packed), "<i8")
@@ -465,9 +472,15 @@ def _cut(whole: bool):
     return task
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; text_key and kept_text on demand."""
+def without_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, others: Sequence[str] = ()
+) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; on demand text_key and kept_text (null if the text is),
+    and other columns of the row as the fields of one, others."""
     marks = repeated_ranges(docs, id_col, text_col).groupBy("doc_id", "text_key").agg(F.collect_list("marks").alias("marks"))
-    rows = _packed(_keyed(docs, id_col, text_col)).join(marks, ["doc_id", "text_key"], "left").select("doc_id", "text_key", "packed", "marks")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return rows.mapInArrow(_cut(with_text), schema + ", text_key long, kept_text string" * with_text)
+    further = [F.struct(*others).alias("others")] if others else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"), *further)
+    names = ["others"] if others else []
+    sent = _packed(rows).join(marks, ["doc_id", "text_key"], "left").select("doc_id", "text_key", "packed", "marks", *names)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text_key long, kept_text string" * with_text
+    return sent.mapInArrow(_cut(with_text), schema + "".join(f", {n} {sent.schema[n].dataType.simpleString()}" for n in names))

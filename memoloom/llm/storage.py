@@ -36,7 +36,7 @@ def dropped(df: DataFrame) -> None:
     files = df.inputFiles()
     if files:
         context = df.sparkSession.sparkContext
-        folder = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder = context._jvm.org.apache.hadoop.fs.Path(context._jvm.java.net.URI(files[0])).getParent()
         folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import test_contamination
 import test_repeats
+from conftest import plan_of
 from memoloom.workspace import materialized
 from test_near_copies import plain_components
 
@@ -78,6 +79,16 @@ def test_repeats_are_cut(stages):
     assert "closing passage" not in after[9002]["text"] and "closing passage" in after[9001]["text"]
 
 
+def test_texts_are_sent_once_to_be_cut(spark, stages, monkeypatch):
+    """Marks come to the texts in one shuffle; cut texts are not written and joined to the documents again."""
+    written = []
+    monkeypatch.setattr(corpus_pipeline, "materialized", lambda df, name: written.append(name) or materialized(df, name))
+    plan = plan_of(corpus_pipeline.cut_repeats(spark, stages[2], SF_DIR))
+    assert written == [] and plan.count("Join") == 1
+    empty = {r["doc_id"]: (r["text"], r["lang"], r["source"], r["n_chars"]) for r in stages[3].where("doc_id is null or doc_id in (9006, 9007)").collect()}
+    assert all(empty[r["doc_id"]] == (r["text"], r["lang"], r["source"], None if r["text"] is None else len(r["text"])) for r in stages[2].where("doc_id is null or doc_id in (9006, 9007)").collect())
+
+
 def test_leaks_go(spark, stages):
     items = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").select("item_id", "text").collect()]
     want = sorted(r[0] for r in test_contamination.plain(rows(stages[3]), items) if not r[5] and r[0] is not None)

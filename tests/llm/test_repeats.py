@@ -6,6 +6,7 @@ import random
 import pytest
 from conftest import plan_of
 
+from memoloom import workspace
 from memoloom.llm import repeats
 from memoloom.llm.run_index import RunIndex
 
@@ -102,3 +103,20 @@ def test_texts_go_to_one_worker_a_task(spark, monkeypatch):
     repeats.repeated_ranges(spark.createDataFrame([(1, "x" * 60), (2, "x" * 60)], "doc_id long, text string"))
     steps = [line for line in plans["repeats-first"].splitlines() if "MapInArrow" in line or "Exchange" in line]
     assert ["Exchange" in line for line in steps] == [False, True, False]
+
+
+def test_only_marks_stay_on_disk(spark, tmp_path, monkeypatch):
+    """What leads to the marks is read no more once they are written."""
+    monkeypatch.setattr(workspace, "shared_folder", lambda spark: f"file://{tmp_path}/with a space")
+    rows = corpus(3)[:60]
+    assert got(spark, rows) == plain(rows)
+    assert {p.name.rsplit("-", 1)[0] for p in tmp_path.glob("*/*/repeats-*")} == {"repeats-marks"}
+
+
+def test_other_columns_go_along(spark):
+    passage = "a passage that stands in two of the texts, word for word, from here to here"
+    rows = [(1, passage, "en", 1, "m"), (2, passage + "!", None, 2, None), (3, None, "de", None, "o"), (4, "", "fr", 4, "p"), (None, passage, "it", 5, "q"), (2, passage + "!", "es", 6, "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, packed string, doc int, marks string")
+    cut = repeats.without_repeats(docs.repartition(3), with_text=True, others=("packed", "doc", "marks"))
+    found = cut.select("doc_id", "kept_text", "others.*").collect()
+    assert sorted(map(tuple, found), key=repr) == sorted([(i, "!" if i == 2 else t, *rest) for i, t, *rest in rows], key=repr)
