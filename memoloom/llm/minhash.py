@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memoloom.llm.components import components
-from memoloom.llm.storage import cut_small, written
+from memoloom.llm.storage import cut_small, dropped, written
 
 WORDS = 4
 BANDS, BAND_ROWS = 32, 4
@@ -266,6 +266,8 @@ def classes(rows: DataFrame, words: int = WORDS, empty_alike: bool = False, prop
     more = written(across(_cells(members, linked, nodes, sets)), "minhash-across")
     if not more.isEmpty():
         linked = written(components(found.union(more)), "minhash-linked")
+    for read in (sets, members, dealt):  # links are all that is left of them
+        dropped(read)
     named = nodes.join(linked, "node", "left").select("key", "n", "first_id", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     classes_ = named.where(F.lit(empty_alike) | (F.col("n") > 0)).join(least, "component").select("key", "component_id")

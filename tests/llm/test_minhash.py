@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from memoloom import workspace
 from memoloom.llm import minhash
 
 
@@ -127,3 +128,12 @@ def test_unlike_texts_of_one_line_give_no_pairs(spark):
     nodes = minhash._prints(docs, 4).select("doc_id", "bands")
     shared = nodes.selectExpr("doc_id", "explode(bands) as b").groupBy("b").count().where("count > 1")
     assert shared.count() < 100
+
+
+def test_sets_and_buckets_go_once_links_are_written(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(workspace, "shared_folder", lambda spark: f"file://{tmp_path}")
+    rows = [(i, f"these are words that {i // 2} and its copy share between them") for i in range(8)]
+    assert got(spark, rows) == plain(rows)
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.glob("*/minhash-*")}
+    assert {"minhash-prints", "minhash-nodes", "minhash-linked"} <= left
+    assert not left & {"minhash-sets", "minhash-members", "minhash-buckets"}
