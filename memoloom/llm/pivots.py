@@ -37,14 +37,14 @@ SCALE = 1024
 PIVOTS = 32
 SAMPLE = 2048
 QUERY_BLOCK = 512
-BLOCK = 2048
+BLOCK = 1024
 #: Candidates with one bound.
 GROUP = 64
 #: Queries of one matrix product; hits that wait to be sorted in.
-TOGETHER = 512
+TOGETHER = 1024
 WAITING = 1 << 16
 #: Bytes of a stored block's vectors (8 for each component), and of the queries that a task holds.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 HELD_BYTES = 192 << 20
 _LOWEST = np.iinfo(np.int64).min
 
@@ -372,6 +372,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     many = F.coalesce(F.sum("n"), F.lit(0)).alias("n")
     n_asked, dims = asked.agg(many, F.max("dims")).first()
     if not n_asked:
+        dropped(blocks)
         return spark.createDataFrame([], empty)
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cores = spark.sparkContext.defaultParallelism

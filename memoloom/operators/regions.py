@@ -103,7 +103,7 @@ def fit(memories: DataFrame, regions: int, metric: str) -> tuple[DataFrame, Regi
     """The usable memories (id, vector, scope, spread) with their region, stored, and what is known of the regions."""
     place = F.pmod(F.xxhash64("id", "spread"), F.lit(SAMPLE))
     first = F.min_by("vector", F.struct(F.xxhash64("id", "spread"), "id"))
-    sample = [r["vector"] for r in memories.groupBy(place.alias("place")).agg(first.alias("vector")).collect()]  # at most SAMPLE rows
+    sample = [r["vector"] for r in memories.groupBy(place.alias("place")).agg(first.alias("vector")).head(SAMPLE)]  # a row for each place
     if not sample:
         return memories.withColumn("region", F.lit(0)), None
     if len({len(v) for v in sample}) > 1:
@@ -122,7 +122,7 @@ def fit(memories: DataFrame, regions: int, metric: str) -> tuple[DataFrame, Regi
     schema = T.StructType([*memories.schema.fields, T.StructField("region", T.IntegerType()), T.StructField("gap", T.DoubleType())])
     stored = materialized(memories.mapInArrow(place_rows, schema), "regions")
     known = stored.groupBy("region").agg(F.count("*").alias("n"), F.min("gap").alias("least"), F.max("gap").alias("most"))
-    for r in known.collect():  # at most a row for each region
+    for r in known.head(regions):  # a row for each region
         found.rows[r["region"]], found.least[r["region"]], found.most[r["region"]] = r["n"], r["least"], r["most"]
     return stored.drop("gap"), found
 
